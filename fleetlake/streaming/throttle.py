@@ -1,0 +1,38 @@
+"""The adaptive throttle over a stream of gate readings."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.metrics import HOLD, LOWER, RAISE, UNIT, throttle_step
+
+OUTPUT = "instance string, ts timestamp, wait double"
+STATE = "wait bigint, was_open boolean"
+
+
+def throttle_stream(stream: DataFrame, start: float = 0.2, compat: bool = False) -> DataFrame:
+    """The wait after every reading, kept per instance between micro-batches.
+
+    The stream has ``instance``, ``ts``, ``gate_open`` and ``relaxed``, and its
+    readings arrive in time order across batches.
+    """
+    first = round(start * UNIT)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        wait, was_open = state.get if state.exists else (first, True)
+        rows = pd.concat(list(batches)).sort_values("ts")
+        after = []
+        for is_open, relaxed in zip(rows["gate_open"], rows["relaxed"]):
+            change = RAISE if not is_open and was_open else LOWER if is_open and relaxed else HOLD
+            wait = throttle_step(int(wait), HOLD, change, compat)
+            was_open = bool(is_open)
+            after.append(wait / UNIT)
+        state.update((int(wait), bool(was_open)))
+        yield pd.DataFrame({"instance": key[0], "ts": rows["ts"].to_numpy(), "wait": after})
+
+    return stream.groupBy("instance").applyInPandasWithState(
+        step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
