@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,12 +22,13 @@ def match_tags(tags: ColumnLike, spec: str | dict[str, list[str]], as_map: bool
         spec = {k: v.split(",") for k, v in (part.split("=", 1) for part in spec.split(";"))}
     entries = F.map_entries(as_col(tags)) if as_map else as_col(tags)
     key, value = ("key", "value") if as_map else ("Key", "Value")
-    verdict = F.lit(True)
-    for name, values in spec.items():
-        own = F.filter(entries, lambda e, n=name: F.upper(e[key]) == n.upper())
+
+    def has(name: str, values: list[str]) -> Column:
+        own = F.filter(entries, lambda e: F.upper(e[key]) == name.upper())
         last = F.try_element_at(own, F.lit(-1))[value]
-        verdict = verdict & F.coalesce(F.upper(last).isin([v.upper() for v in values]), F.lit(False))
-    return verdict
+        return F.coalesce(F.upper(last).isin([v.upper() for v in values]), F.lit(False))
+
+    return reduce(lambda a, b: a & b, [has(n, v) for n, v in spec.items()])
 
 
 def is_primary(

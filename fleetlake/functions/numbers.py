@@ -45,7 +45,7 @@ def bytes_text(size: ColumnLike, unit: str = "g", digits: int = 2) -> Column:
 
 def fmt_num(value: ColumnLike, pattern: str = "999,999,999,999") -> Column:
     """A number in a digit pattern, right-aligned with one place for the sign."""
-    digits = F.trim(F.to_char(as_col(value), F.lit(pattern)))
+    digits = F.coalesce(F.nullif(F.trim(F.to_char(as_col(value), F.lit(pattern))), F.lit("")), F.when(as_col(value) == 0, F.lit("0")))
     return F.lpad(digits, len(pattern) + 1, " ")
 
 

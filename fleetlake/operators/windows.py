@@ -60,7 +60,8 @@ def share_of_total(
         joined = join_null_safe(df, totals, list(by))
     else:
         joined = df.withColumn("_total", df.agg(F.sum(value)).scalar())
-    pct = F.try_divide(value * F.lit(100), F.col("_total"))
+    # Sums stay in the type of the metric; only the quotient is a double.
+    pct = F.try_divide(value.cast("double") * F.lit(100), F.col("_total").cast("double"))
     return joined.withColumn(name, F.round(pct, digits)).drop("_total")
 
 
