@@ -20,7 +20,7 @@ def read_broker(spark: SparkSession, options: Mapping[str, str], source: str = "
     reader = spark.readStream.format(source)
     if source == "kafka":
         reader = reader.option("startingOffsets", "earliest")
-    rows = reader.options(**options).load(options["path"]) if source == "text" else reader.options(**options).load()
+    rows = reader.options(**options).load()
     return rows.select(F.col("value").cast("string").alias("value"))
 
 
