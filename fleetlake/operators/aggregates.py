@@ -294,26 +294,23 @@ def inventory_tree(
     def text(depth: int, key: Column, tail: str = ":") -> Column:
         return F.concat(F.lit("  " * depth), key, F.lit(tail))
 
-    lines = []
     trunk: list[Column] = [F.lit("all")]
-    depth = 0
-    root = rows.limit(1)
-    lines.append(root.select(path(trunk).alias("path"), text(depth, F.lit("all")).alias("line")))
+    above = [(path(trunk), text(0, F.lit("all")))]
     for i, level in enumerate(levels):
-        groups = rows.select(*levels[: i + 1]).distinct()
-        above = groups.select(*levels[:i]).distinct() if i else root
-        lines.append(above.select(path([*trunk, F.lit("children")]).alias("path"),
-                                  text(depth + 1, F.lit("children")).alias("line")))
+        above.append((path([*trunk, F.lit("children")]), text(2 * i + 1, F.lit("children"))))
         trunk = [*trunk, F.lit("children"), F.col(level)]
-        depth += 2
-        lines.append(groups.select(path(trunk).alias("path"), text(depth, F.col(level)).alias("line")))
-    groups = rows.select(*levels).distinct()
-    lines.append(groups.select(path([*trunk, F.lit("hosts")]).alias("path"), text(depth + 1, F.lit("hosts")).alias("line")))
-    entries = rows.dropDuplicates([*levels, name])
+        above.append((path(trunk), text(2 * i + 2, F.col(level))))
+    depth = 2 * len(levels)
+    above.append((path([*trunk, F.lit("hosts")]), text(depth + 1, F.lit("hosts"))))
     leaf = [*trunk, F.lit("hosts"), F.col(name)]
-    lines.append(entries.select(path(leaf).alias("path"), text(depth + 2, F.col(name)).alias("line")))
-    for label, col in (("host", host), ("port", port)):
-        lines.append(entries.select(
-            path([*leaf, F.lit(label)]).alias("path"),
-            F.concat(text(depth + 3, F.lit(label), ": "), F.col(col).cast("string")).alias("line")))
-    return reduce(DataFrame.unionByName, lines)
+    below = [(path(leaf), text(depth + 2, F.col(name)))] + [
+        (path([*leaf, F.lit(label)]), F.concat(text(depth + 3, F.lit(label), ": "), F.col(c).cast("string")))
+        for label, c in (("host", host), ("port", port))
+    ]
+
+    def lines(df: DataFrame, parts: list[tuple[Column, Column]]) -> DataFrame:
+        pairs = F.array(*[F.struct(p.alias("path"), x.alias("line")) for p, x in parts])
+        return df.select(F.explode(pairs).alias("_l")).select("_l.path", "_l.line")
+
+    groups = lines(rows.select(*levels).distinct(), above).distinct()
+    return groups.unionByName(lines(rows.dropDuplicates([*levels, name]), below))

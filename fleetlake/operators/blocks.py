@@ -28,13 +28,19 @@ def time_block(ts: Column, unit: str = "day") -> Column:
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on equal columns where null equals null, keeping the left copy of ``on``."""
+    """Join on equal columns where null equals null, keeping the left copy of ``on``.
+
+    A column that is never null on one side is compared by plain equality, which
+    lets the join use a partitioning by that column.
+    """
     if not on:
         raise ValueError("no columns to join on")
     renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
-    cond = F.lit(True)
+    cond = None
     for c in on:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_right_{c}"))
+        both_null = left.schema[c].nullable and right.schema[c].nullable
+        same = F.col(c).eqNullSafe(F.col(f"_right_{c}")) if both_null else F.col(c) == F.col(f"_right_{c}")
+        cond = same if cond is None else cond & same
     return left.join(renamed, cond, how).drop(*[f"_right_{c}" for c in on])
 
 
@@ -69,60 +75,49 @@ def with_halo(df: DataFrame, by: Sequence[str], order: str, block: Column, n: in
     return marked.withColumn("_halo", F.lit(False)).unionByName(copies)
 
 
-def row_numbers(
-    df: DataFrame, key: str, by: Sequence[str] = (), block: Column | None = None, name: str = "row_no"
+def running(
+    df: DataFrame, order: str, value: Column, by: Sequence[str] = (), block: Column | None = None,
+    agg=F.sum, name: str = "running", current: bool = True,
 ) -> DataFrame:
-    """Number the rows of each series from 1 in the order of a unique ``key``."""
+    """``agg`` of ``value`` over the rows of a series up to each row (``current=False``: before it).
+
+    Each block gets one row in front of its own that carries the result of all
+    earlier blocks, so the rows are shuffled once and never joined. ``agg`` must
+    combine partial results, as sum and max do.
+    """
     by = list(by)
-    marked = df.withColumn("_block", int_block(F.col(key)) if block is None else block)
-    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        marked.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .drop("_rows")
+    marked = df.withColumns({
+        "_block": int_block(F.col(order)) if block is None else block, "_v": value, "_rank": F.lit(1)})
+    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per block: a summary that a single task can order.
+    carried = (
+        marked.groupBy(*by, "_block").agg(agg("_v").alias("_v"))
+        .select(*by, "_block", agg("_v").over(earlier).alias("_v"), F.lit(0).alias("_rank"))
     )
-    within = Window.partitionBy(*by, "_block").orderBy(key)
-    numbered = marked.withColumn("_n", F.row_number().over(within).cast("bigint"))
+    upto = Window.partitionBy(*by, "_block").orderBy("_rank", order).rowsBetween(
+        Window.unboundedPreceding, 0 if current else -1)
     return (
-        join_null_safe(numbered, starts, [*by, "_block"])
-        .withColumn(name, F.col("_n") + F.col("_start"))
-        .drop("_block", "_n", "_start")
+        marked.unionByName(carried, allowMissingColumns=True)
+        .withColumn(name, agg("_v").over(upto)).filter(F.col("_rank") == 1).drop("_block", "_v", "_rank")
     )
 
 
+def row_numbers(
+    df: DataFrame, key: str, by: Sequence[str] = (), block: Column | None = None, name: str = "row_no"
+) -> DataFrame:
+    """Number the rows of each series from 1 in the order of a unique ``key``."""
+    return running(df, key, F.lit(1).cast("bigint"), by, block, F.sum, name)
+
+
 def running_sum(
     df: DataFrame, key: str, value: str, by: Sequence[str] = (), block: Column | None = None, name: str = "cumulative"
 ) -> DataFrame:
     """Sum of ``value`` up to and including each row, in the order of a unique ``key``."""
-    by = list(by)
-    marked = df.withColumn("_block", int_block(F.col(key)) if block is None else block)
-    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        marked.groupBy(*by, "_block").agg(F.sum(value).alias("_sum"))
-        .withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    )
-    within = Window.partitionBy(*by, "_block").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        join_null_safe(marked.withColumn("_sum", F.sum(value).over(within)), starts, [*by, "_block"])
-        .withColumn(name, F.col("_sum") + F.col("_start"))
-        .drop("_block", "_sum", "_start")
-    )
+    return running(df, key, F.col(value), by, block, F.sum, name)
 
 
 def greatest_before(
     df: DataFrame, by: Sequence[str], order: str, value: str, block: Column, name: str
 ) -> DataFrame:
-    """The greatest non-null ``value`` of the rows strictly before each row of its series."""
-    by = list(by)
-    marked = df.withColumn("_block", block)
-    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        marked.groupBy(*by, "_block").agg(F.max(value).alias("_max"))
-        .withColumn("_carry", F.max("_max").over(earlier)).drop("_max")
-    )
-    within = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        join_null_safe(marked.withColumn("_own", F.max(value).over(within)), carried, [*by, "_block"])
-        .withColumn(name, F.greatest("_own", "_carry"))
-        .drop("_block", "_own", "_carry")
-    )
+    """The greatest non-null ``value`` of the rows before each row of its series."""
+    return running(df, order, F.col(value), by, block, F.max, name, current=False)

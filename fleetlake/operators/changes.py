@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import as_time
+from ..session import broadcast_if_small, cut_lineage, fits_broadcast
 from .blocks import greatest_before, int_block
 from .recursion import list_roots
 
@@ -27,7 +28,8 @@ def decode_changes(df: DataFrame, keep: Sequence[str] = ("database", "seq")) ->
     is not the same as null.
     """
     kept = [c for c in df.columns if c != "change"] if keep is None else list(keep)
-    each = df.select(*kept, F.posexplode("change").alias("pos", "_c"))
+    # The outer form keeps the optimizer from testing the array's size first, which would parse every line twice.
+    each = df.select(*kept, F.posexplode_outer("change").alias("pos", "_c")).filter(F.col("pos").isNotNull())
     return each.select(
         *kept, "pos", F.col("_c.kind").alias("kind"), F.col("_c.schema").alias("schema"), F.col("_c.table").alias("table"),
         F.map_from_arrays("_c.columnnames", "_c.columnvalues").alias("cols"),
@@ -117,26 +119,52 @@ def net_effect(flat: DataFrame, keys: Sequence[str], columns: Sequence[str], gro
 
     The last insert or delete resets the row. A column's value is the last one
     listed, and it stands if it is not older than the reset; so the reset need
-    not be known before the values are gathered.
+    not be known before the values are gathered. ``_moved`` tells whether some
+    update takes a row away from the key.
     """
     reset = F.col("_kind").isin("insert", "delete")
     aggs = [
         F.max(F.when(reset, F.col("_seq"))).alias("_reset"),
         F.max_by(F.when(reset, F.col("_kind")), F.when(reset, F.col("_seq"))).alias("_reset_kind"),
+        F.max(key_changed(keys)).alias("_moved"),
     ]
     for c in columns:
         listed = F.col(f"_has_{c}") & (F.col("_kind") != "delete")
         at = F.when(listed, F.col("_seq"))
         aggs += [F.max(at).alias(f"_at_{c}"), F.max_by(F.col(c), at).alias(f"_new_{c}")]
-    by = list(group) or [F.col(f"_{k}").alias(k) for k in keys]
-    return flat.groupBy(*by).agg(*aggs)
+    # A change finds its row by the old key.
+    by = list(group) or [F.col(f"_old_{k}").alias(k) for k in keys]
+    effect = flat.groupBy(*by).agg(*aggs)
+    names = list(group) or list(keys)
+    # Only the values that stand go on; the positions have served their turn.
+    return effect.select(
+        *names, "_reset_kind", "_moved",
+        *[x for c in columns for x in (stands(c).alias(f"_has_{c}"), F.when(stands(c), F.col(f"_new_{c}")).alias(f"_new_{c}"))],
+    )
+
+
+def stands(c: str) -> Column:
+    at, reset = F.col(f"_at_{c}"), F.col("_reset")
+    return at.isNotNull() & F.coalesce(at >= reset, F.lit(True))
 
 
 def apply_effect(base: DataFrame, effect: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """The table after ``net_effect``; an update of an absent row does nothing."""
+    """The table after ``net_effect``; an update of an absent row does nothing.
+
+    A full outer join shuffles the whole table. When the effect, measured, is
+    small enough to be broadcast, the table is passed through in place, and new
+    rows are the inserts whose key was not met.
+    """
+    keys = list(keys)
     old = base.select(*keys, *[F.col(c).alias(f"_base_{c}") for c in columns], F.lit(True).alias("_in_base"))
-    joined = old.join(effect, list(keys), "full_outer")
-    return joined.filter(alive()).select(*keys, *[final_value(c).alias(c) for c in columns])
+    out = [*keys, *[final_value(c).alias(c) for c in columns]]
+    if not fits_broadcast(effect):
+        return old.join(effect, keys, "full_outer").filter(alive()).select(*out)
+    small = F.broadcast(effect)
+    kept = old.join(small, keys, "left").filter(alive()).select(*out)
+    met = base.select(*keys).join(F.broadcast(effect.select(*keys)), keys, "left_semi")
+    born = effect.filter(F.col("_reset_kind") == "insert").join(met, keys, "left_anti")
+    return kept.unionByName(born.select(*keys, *[F.when(F.col(f"_has_{c}"), F.col(f"_new_{c}")).alias(c) for c in columns]))
 
 
 def alive() -> Column:
@@ -144,9 +172,7 @@ def alive() -> Column:
 
 
 def final_value(c: str) -> Column:
-    no_reset = F.col("_reset").isNull()
-    stands = F.col(f"_at_{c}").isNotNull() & (no_reset | (F.col(f"_at_{c}") >= F.col("_reset")))
-    return F.when(stands, F.col(f"_new_{c}")).when(no_reset, F.col(f"_base_{c}"))
+    return F.when(F.col(f"_has_{c}"), F.col(f"_new_{c}")).when(F.col("_reset_kind").isNull(), F.col(f"_base_{c}"))
 
 
 def key_changed(keys: Sequence[str]) -> Column:
@@ -166,23 +192,23 @@ def replay_flat(
     ``block`` cuts the order of the log into blocks (needed if ``_seq`` is no integer).
     """
     keys, columns = list(keys), list(columns)
-    if key_changes is None:
-        key_changes = not flat.filter(key_changed(keys)).isEmpty()
     if not key_changes:
-        return apply_effect(base, net_effect(flat, keys, columns), keys, columns)
+        # One pass over the log; what is written out has one row per changed key.
+        effect = cut_lineage(net_effect(flat, keys, columns))
+        if key_changes is False or effect.filter("_moved").isEmpty():
+            return apply_effect(base, effect.drop("_moved"), keys, columns)
     moves = flat.filter(key_changed(keys))
-    touched = (
+    touched = cut_lineage(
         moves.select(*[F.col(f"_old_{k}").alias(k) for k in keys])
         .unionByName(moves.select(*[F.col(f"_{k}").alias(k) for k in keys])).distinct()
     )
+    touched = broadcast_if_small(touched)
     # A change belongs to the touched part when the key it finds its row by does.
-    found_by = [F.col(f"_old_{k}") for k in keys]
-    marked = flat.withColumns({f"_find_{k}": c for k, c in zip(keys, found_by)})
-    finds = touched.toDF(*[f"_find_{k}" for k in keys])
-    find_cols = [f"_find_{k}" for k in keys]
-    plain = marked.join(finds, find_cols, "left_anti").drop(*find_cols)
-    hot = marked.join(finds, find_cols, "left_semi").drop(*find_cols)
-    calm = apply_effect(base.join(touched, keys, "left_anti"), net_effect(plain, keys, columns), keys, columns)
+    finds = touched.toDF(*[f"_old_{k}" for k in keys])
+    plain = flat.join(finds, finds.columns, "left_anti")
+    hot = cut_lineage(flat.join(finds, finds.columns, "left_semi").select(*flat.columns))
+    effect = cut_lineage(net_effect(plain, keys, columns)).drop("_moved")
+    calm = apply_effect(base.join(touched, keys, "left_anti"), effect, keys, columns)
     moved = replay_moves(base.join(touched, keys, "left_semi"), hot, keys, columns, block)
     return calm.unionByName(moved)
 
@@ -220,7 +246,7 @@ def replay_moves(
         *keys, F.struct(F.col("start").alias("s"), F.lit(1).alias("r")).alias("_order"), "start",
         F.lit(None).cast(looks.schema["_row"].dataType).alias("_row"))
     timeline = looks.unionByName(marks).withColumn("_seq", F.col("_order.s"))
-    placed = (
+    placed = cut_lineage(
         greatest_before(timeline, keys, "_order", "start", block, "_episode")
         .filter(F.col("_row").isNotNull()).select(*[F.col(k).alias(f"_at_{k}") for k in keys], "_episode", "_row.*")
     )
@@ -240,7 +266,7 @@ def replay_moves(
             node(keys, "start").alias("node"), F.lit("base").alias("type")))
     graph = links.withColumn("type", F.lit("arrival")).unionByName(others.withColumn("prev", F.lit(None).cast(links.schema["prev"].dataType)))
     # A struct with a null field does not join on equality, so nodes go by a text form.
-    graph = graph.select(F.to_json("node").alias("id"), F.to_json("prev").alias("prev"), "node", "type")
+    graph = cut_lineage(graph.select(F.to_json("node").alias("id"), F.to_json("prev").alias("prev"), "node", "type"))
     roots = list_roots(graph.select("id", "prev"), "id", "prev")
 
     kinds = graph.select(F.col("id").alias("root"), F.col("type").alias("root_type"), F.col("node").alias("root_node"))

@@ -22,15 +22,19 @@ def missing_children(
     parent: DataFrame, child: DataFrame, on: Sequence[str], condition: Column | None = None,
     exclude: Column | None = None,
 ) -> DataFrame:
-    """Parents without a child that meets ``condition``, such as tables without a primary key."""
-    kids = (child.filter(condition) if condition is not None else child).select(*on)
+    """Parents without a child that meets ``condition``, such as tables without a primary key.
+
+    Child keys are made distinct before the shuffle, so a parent with very many
+    children costs one row per task.
+    """
+    kids = (child.filter(condition) if condition is not None else child).select(*on).distinct()
     parents = parent.filter(~F.coalesce(exclude, F.lit(False))) if exclude is not None else parent
     return parents.join(kids, list(on), "left_anti")
 
 
 def orphans(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows of ``a`` whose key does not occur in ``b``."""
-    return a.join(b.select(*on), list(on), "left_anti")
+    return a.join(b.select(*on).distinct(), list(on), "left_anti")
 
 
 def lock_holders(
@@ -43,7 +47,7 @@ def lock_holders(
 
 def semi(df: DataFrame, keys: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows whose key tuple occurs in ``keys``; as with ``IN``, a null matches nothing."""
-    return df.join(keys.select(*cols), list(cols), "left_semi")
+    return df.join(keys.select(*cols).distinct(), list(cols), "left_semi")
 
 
 def with_scalar(df: DataFrame, scalars: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -173,7 +173,7 @@ def orphan_sequence_targets(
 ) -> DataFrame:
     """Sequences no table owns, with the next value to set."""
     return (
-        seqs.join(attached.select(*on), list(on), "left_anti")
+        seqs.join(attached.select(*on).distinct(), list(on), "left_anti")
         .select(*on, (F.col(last) + 1).alias("set_to"))
     )
 
@@ -216,7 +216,7 @@ def readiness(
     ``references`` one row per foreign key that points at the table.
     """
     on = list(on)
-    leads = index_cols.filter(F.col("position") == 1).select(*on, F.col(attname).alias(key))
+    leads = index_cols.filter(F.col("position") == 1).select(*on, F.col(attname).alias(key)).distinct()
     no_index = tables.join(leads, [*on, key], "left_anti").select(*on, F.lit("key leads no index").alias("obstacle"))
     width = constraints.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     no_key = (
@@ -225,7 +225,7 @@ def readiness(
                 .when(F.col("_n") > 1, F.lit("composite primary key")).alias("obstacle"))
         .filter(F.col("obstacle").isNotNull())
     )
-    referred = tables.join(references.select(*on), on, "left_semi").select(
+    referred = tables.join(references.select(*on).distinct(), on, "left_semi").select(
         *on, F.lit("referenced by other tables").alias("obstacle"))
     return no_index.unionByName(no_key).unionByName(referred)
 

@@ -20,23 +20,22 @@ def gaps(df: DataFrame, key: str, by: Sequence[str] = (), top: int | None = 10,
     of them.
     """
     by = list(by)
-    ids = df.select(*by, F.col(key).cast("bigint").alias("_id"))
+    ids = df.select(*by, F.col(key).cast("bigint").alias("_id")).filter(F.col("_id").isNotNull())
     looked = with_halo(ids, by, "_id", int_block(F.col("_id"), span))
     w = Window.partitionBy(*by, "_block").orderBy("_id")
-    inner = (
+    # Only the first key of a series has nothing before it; its gap is the head row.
+    head = F.col("_prev").isNull()
+    found = (
         looked.withColumn("_prev", F.lag("_id").over(w))
-        .filter(~F.col("_halo") & (F.col("_prev") + 1 != F.col("_id")))
+        .filter(~F.col("_halo") & (head | (F.col("_prev") + 1 != F.col("_id"))))
         .select(
-            *by, (F.col("_prev") + 1).alias("gap_start"), (F.col("_id") - 1).alias("gap_end"),
-            (F.col("_id") - F.col("_prev")).alias("diff"), (F.col("_id") - F.col("_prev") - 1).alias("missing"),
+            *by, F.when(head, F.lit(0)).otherwise(F.col("_prev") + 1).alias("gap_start"),
+            F.when(head, F.col("_id")).otherwise(F.col("_id") - 1).alias("gap_end"),
+            (F.col("_id") - F.coalesce("_prev", F.lit(0))).alias("diff"),
+            F.when(head, F.col("_id")).otherwise(F.col("_id") - F.col("_prev") - 1).alias("missing"),
         )
+        .withColumn("last_missing", F.col("gap_start") + F.col("missing") - 1)
     )
-    least = ids.groupBy(*by) if by else ids
-    head = least.agg(F.min("_id").alias("_id")).filter(F.col("_id").isNotNull()).select(
-        *by, F.lit(0).cast("bigint").alias("gap_start"), F.col("_id").alias("gap_end"),
-        F.col("_id").alias("diff"), F.col("_id").alias("missing"),
-    )
-    found = inner.unionByName(head).withColumn("last_missing", F.col("gap_start") + F.col("missing") - 1)
     order = [F.col("diff").desc(), F.col("gap_start").asc()]
     if top is None:
         return found

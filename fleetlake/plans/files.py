@@ -34,12 +34,12 @@ def _(t):
 def sliced_lines(t):
     from ..functions import slice_name
 
-    return envelope_lines(t).select("value", "seq", slice_name("ts", 7200).alias("slice"))
+    return envelope_lines(t).select("value", "seq", slice_name("ts", 43200).alias("slice"))
 
 
 @query("src4_read_change_log", """
     WITH s AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS e FROM v_changes)
-    SELECT database, kind, table_name AS "table", e - e % 7200 AS slice_epoch, count(*) AS n FROM s GROUP BY ALL""")
+    SELECT database, kind, table_name AS "table", e - e % 43200 AS slice_epoch, count(*) AS n FROM s GROUP BY ALL""")
 def _(t):
     path = scratch(t.spark, "changelog")
     write_change_log(sliced_lines(t), path)
