@@ -21,3 +21,8 @@ def as_time(value) -> Column:
     if isinstance(value, dt.datetime):
         value = value.isoformat(sep=" ")
     return F.lit(str(value)).cast("timestamp_ntz")
+
+
+def int_div(a: Column, b: int | Column) -> Column:
+    """Integer quotient, cut towards zero; exact for every bigint."""
+    return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))

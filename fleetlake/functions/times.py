@@ -8,23 +8,40 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import ColumnLike, as_col, as_time
+from .columns import ColumnLike, as_col, as_time, int_div
 
 SLICE_PATTERN = "yyyyMMdd-HHmmss"
 SLICE_REGEX = r"(\d{8}-\d{6})"
 
 
+def micros_between(start: Column, end: Column) -> Column:
+    """Microseconds between two timestamps without zone; no session time zone plays a part."""
+    gap = end.cast("timestamp_ntz") - start.cast("timestamp_ntz")
+
+    def part(unit: str, micros: int) -> Column:
+        return (F.extract(F.lit(unit), gap) * F.lit(micros).cast("bigint")).cast("bigint")
+
+    return part("DAY", 86400 * 1000000) + part("HOUR", 3600 * 1000000) + part("MINUTE", 60 * 1000000) + part("SECOND", 1000000)
+
+
 def epoch_micros(ts: ColumnLike) -> Column:
     """Microseconds since 1970 of a timestamp (a zoneless one is read as UTC)."""
-    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", start, as_col(ts).cast("timestamp_ntz"))
+    return micros_between(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), as_col(ts))
+
+
+def epoch_seconds(ts: ColumnLike) -> Column:
+    """Whole seconds since 1970, rounded down."""
+    return floor_div(epoch_micros(ts), 1000000)
+
+
+def floor_div(a: Column, b: int) -> Column:
+    return int_div(a - F.pmod(a, F.lit(b).cast("bigint")), b)
 
 
 def seconds_between(start, end) -> Column:
     """Whole seconds from ``start`` to ``end``, rounded down."""
     first = as_col(start) if isinstance(start, (str, Column)) else as_time(start)
-    gap = F.timestamp_diff("MICROSECOND", first.cast("timestamp_ntz"), as_time(end).cast("timestamp_ntz"))
-    return F.floor(gap / F.lit(1000000)).cast("bigint")
+    return floor_div(micros_between(first, as_time(end)), 1000000)
 
 
 def delay_text(start: ColumnLike, as_of, compat: bool = False) -> Column:
@@ -32,11 +49,11 @@ def delay_text(start: ColumnLike, as_of, compat: bool = False) -> Column:
 
     With ``compat`` whole days are left out of the hours.
     """
-    gap = F.timestamp_diff("MICROSECOND", as_col(start).cast("timestamp_ntz"), as_time(as_of).cast("timestamp_ntz"))
-    hours = F.floor(gap / F.lit(3600 * 1000000))
+    gap = micros_between(as_col(start), as_time(as_of))
+    hours = int_div(gap, 3600 * 1000000)
     if compat:
         hours = hours % 24
-    minutes = F.floor(gap / F.lit(60 * 1000000)) % 60
+    minutes = int_div(gap, 60 * 1000000) % 60
     seconds = ((gap % (60 * 1000000)).cast("decimal(20,0)") / F.lit(1000000)).cast("decimal(20,6)")
     return F.concat(
         hours.cast("bigint").cast("string"), F.lit(" hours "),
@@ -73,6 +90,7 @@ def slice_time(name: ColumnLike) -> Column:
 
 def slice_name(ts: ColumnLike, every_seconds: int = 120) -> Column:
     """Name of the slice of ``every_seconds`` that holds ``ts``."""
-    second = F.floor(epoch_micros(ts) / F.lit(1000000)).cast("bigint")
-    start = F.timestamp_seconds(second - F.pmod(second, F.lit(every_seconds)))
-    return F.date_format(start, SLICE_PATTERN)
+    second = epoch_seconds(ts)
+    start = second - F.pmod(second, F.lit(every_seconds))
+    origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.date_format(origin + F.make_dt_interval(secs=start.cast("decimal(18,6)")), SLICE_PATTERN)

@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DOCUMENT_SYSTEM_DATABASE_REGEX
+from ..functions.columns import int_div
 from ..functions.numbers import size_pretty
 from ..functions.times import seconds_between
+from ..session import cut_lineage
 from .blocks import join_null_safe
 
 PAGE = 1000
@@ -69,7 +71,7 @@ def signature(cols: Sequence[str], wide: bool = False) -> Column:
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
     if wide:
         lengths = [F.length(p).cast("string") for p in parts]
-        return F.sha2(F.concat_ws("\n", *lengths, *parts), 256)
+        return F.coalesce(F.sha2(F.concat_ws("\n", *lengths, *parts), 256), F.lit(""))
     return F.struct(*[p.alias(f"s{i}") for i, p in enumerate(parts)])
 
 
@@ -80,10 +82,14 @@ def duplicate_groups(
     """Groups that agree in all of ``sig_cols``: count, total size, and the first ``keep`` members.
 
     Only ``keep`` members per group leave a task, whatever the group's size.
+    With ``wide`` the digests are written out once, so long texts are read and
+    hashed a single time for the two passes over them.
     """
     by = list(by)
     rows = df.select(*by, signature(sig_cols, wide).alias("_sig"), F.col(member).alias("_m"),
                      F.col(size).cast("bigint").alias("_size"))
+    if wide:
+        rows = cut_lineage(rows)
     groups = (
         rows.groupBy(*by, "_sig")
         .agg(F.count(F.lit(1)).alias("members"), F.sum("_size").alias("bytes"))
@@ -200,7 +206,7 @@ def ordered_concat(
 ) -> DataFrame:
     """Texts joined in the order of an integer position; page ``p`` holds positions ``p*page`` to ``(p+1)*page - 1``."""
     place = F.col(position).cast("bigint")
-    number = ((place - F.pmod(place, F.lit(page).cast("bigint"))) / F.lit(page)).cast("bigint")
+    number = int_div(place, page)
     ordered = F.array_sort(F.collect_list(F.struct(place.alias("p"), F.col(value).cast("string").alias("v"))))
     return df.groupBy(*by, number.alias("page")).agg(
         F.array_join(F.transform(ordered, lambda e: e["v"]), sep).alias(out))

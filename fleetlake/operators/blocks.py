@@ -54,6 +54,12 @@ def with_halo(df: DataFrame, by: Sequence[str], order: str, block: Column, n: in
     by = list(by)
     cols = df.columns
     marked = df.withColumn("_block", block)
+    if n == 1 and set(cols) <= {*by, order}:
+        # Nothing but the order column to carry: a plain maximum per block.
+        ends = marked.groupBy(*by, "_block").agg(F.max(order).alias("_end"))
+        before = F.lag("_end").over(Window.partitionBy(*by).orderBy("_block"))
+        copies = ends.select(*by, "_block", before.alias(order), F.lit(True).alias("_halo")).filter(F.col(order).isNotNull())
+        return marked.withColumn("_halo", F.lit(False)).unionByName(copies)
     row = F.struct(F.col(order).alias("_o"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(cols)])
     if n == 1:
         tails = marked.groupBy(*by, "_block").agg(F.array(F.max(row)).alias("_tail"))

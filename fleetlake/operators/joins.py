@@ -71,10 +71,14 @@ def fk_map(constraints: DataFrame, key_usage: DataFrame, column_usage: DataFrame
     """Foreign keys with their own and their referenced columns, each a sorted distinct list."""
     on = ["table_schema", "constraint_name"]
     foreign = constraints.filter(F.col("constraint_type") == "FOREIGN KEY").select(*on, "table_name")
-    own = key_usage.groupBy(*on).agg(F.array_join(F.array_sort(F.collect_set("column_name")), ",").alias("original_tab_columns"))
-    theirs = column_usage.groupBy(
-        *on, F.col("foreign_table_schema"), F.col("foreign_table_name"),
-    ).agg(F.array_join(F.array_sort(F.collect_set("column_name")), ",").alias("foreign_column_names"))
+
+    def listed(usage: DataFrame, by: list[str], name: str) -> DataFrame:
+        # Distinct first, in a hash aggregate: only the distinct names are gathered.
+        names = usage.select(*by, "column_name").distinct()
+        return names.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("column_name")), ",").alias(name))
+
+    own = listed(key_usage, on, "original_tab_columns")
+    theirs = listed(column_usage, [*on, "foreign_table_schema", "foreign_table_name"], "foreign_column_names")
     return foreign.join(own, on).join(theirs, on)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import as_time
+from ..functions.columns import as_time, int_div
 from .blocks import int_block, row_numbers, running_sum, time_block
 
 HUGE_TABLE_ROWS = 10_000_000
@@ -41,21 +41,20 @@ def purge(
     A row whose predicate is null is kept. Without a single-column key the call
     is refused, unless ``force`` allows batches of whole row tuples.
     """
-    hit = F.coalesce(where, F.lit(False))
-    kept, purged = df.filter(~hit), df.filter(hit)
+    # The bare predicate can reach the scan; a null one is not true and so stays with the kept rows.
+    kept, purged = df.filter(~where | where.isNull()), df.filter(where)
     cols = [key] if isinstance(key, str) else list(key or [])
     if len(cols) == 1:
         numbered = row_numbers(purged.select(*cols), cols[0], block=key_block(df, cols[0], span))
-        batch = (F.col("row_no") - 1 - F.pmod(F.col("row_no") - 1, F.lit(limit))) / F.lit(limit) + 1
-        plan = numbered.select(*cols, batch.cast("bigint").alias("batch"), F.lit(1).cast("bigint").alias("rows"))
+        batch = int_div(F.col("row_no") - 1, limit) + 1
+        plan = numbered.select(*cols, batch.alias("batch"), F.lit(1).cast("bigint").alias("rows"))
         return Purge(kept, purged, plan)
     if not force:
         raise ValueError("the table has no single-column key; pass force=True to purge by whole rows")
     # Equal rows go together, as a row-tuple IN removes them, and are counted before the shuffle.
     tuples = purged.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("rows")).withColumn("_hash", F.xxhash64(*df.columns))
     numbered = row_numbers(tuples, "_hash", block=F.shiftright("_hash", 48))
-    batch = (F.col("row_no") - 1 - F.pmod(F.col("row_no") - 1, F.lit(limit))) / F.lit(limit) + 1
-    return Purge(kept, purged, numbered.withColumn("batch", batch.cast("bigint")).drop("_hash", "row_no"))
+    return Purge(kept, purged, numbered.withColumn("batch", int_div(F.col("row_no") - 1, limit) + 1).drop("_hash", "row_no"))
 
 
 def purge_progress(plan: DataFrame, span: int = 1 << 16) -> DataFrame:
@@ -75,8 +74,7 @@ def chunk_plan(spark: SparkSession, lo: int, hi: int, step: int = 200, jobs: int
 
 def chunk_of(key: str | Column, lo: int, step: int = 200) -> Column:
     """Number of the stripe that holds a key."""
-    offset = (F.col(key) if isinstance(key, str) else key).cast("bigint") - F.lit(lo)
-    return ((offset - F.pmod(offset, F.lit(step + 1))) / F.lit(step + 1)).cast("bigint")
+    return int_div((F.col(key) if isinstance(key, str) else key).cast("bigint") - F.lit(lo), step + 1)
 
 
 def step_seconds(rows: Column, lo: Column, hi: Column, data_type: str = "timestamp") -> Column:
@@ -201,8 +199,8 @@ def repartition_table(
 
 
 def write_partitioned(df: DataFrame, path: str, part: str = "part", mode: str = "overwrite") -> None:
-    """Write one folder per partition; rows are spread by partition and a hash, so a hot one gets many files."""
-    df.write.mode(mode).partitionBy(part).parquet(path)
+    """Write one folder per partition in files of even size: small partitions share a task, a hot one is split."""
+    df.hint("rebalance", part).write.mode(mode).partitionBy(part).parquet(path)
 
 
 def readiness(

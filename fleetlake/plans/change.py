@@ -9,6 +9,7 @@ from ..operators import changes as C
 from ..sources.change_log import parse_envelopes
 from ..streaming import apply_stream, change_rate, current_state, deduplicated
 from ..streaming.apply import write_base
+from ..functions.times import epoch_seconds
 from .registry import query, scratch
 from .shapes import SHAPES
 
@@ -73,7 +74,7 @@ def _(t):
     from ..functions import slice_name, slice_time
 
     rows = t.events.select("event_id", slice_time(slice_name("ts", 7200)).alias("slice_ts"))
-    return C.select_slices(rows, "2024-01-09 22:00:00", "2024-01-10 04:00:00").select("event_id", F.unix_seconds(F.col("slice_ts").cast("timestamp")).alias("slice_epoch"))
+    return C.select_slices(rows, "2024-01-09 22:00:00", "2024-01-10 04:00:00").select("event_id", epoch_seconds("slice_ts").alias("slice_epoch"))
 
 
 @query("cdc4_route", "SELECT seq, database, kind FROM v_changes WHERE database IN ('db1', 'db5')")

@@ -13,6 +13,7 @@ from ..sources import (
 from ..sources.findings import findings
 from ..streaming import read_broker, write_slices
 from .change import envelope_lines
+from ..functions.times import epoch_seconds
 from .registry import query, scratch
 from .shapes import AS_OF
 
@@ -44,7 +45,7 @@ def _(t):
     path = scratch(t.spark, "changelog")
     write_change_log(sliced_lines(t), path)
     rows = decode_changes(read_change_log(t.spark, path), ["database", "slice_ts", "seq"])
-    return rows.groupBy("database", "kind", "table", F.unix_seconds(F.col("slice_ts").cast("timestamp")).alias("slice_epoch")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("database", "kind", "table", epoch_seconds("slice_ts").alias("slice_epoch")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("src5_write_slices", "SELECT database, kind, count(*) AS n FROM v_changes GROUP BY ALL")

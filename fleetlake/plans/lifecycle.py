@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import joins as J
 from ..operators import lifecycle as L
 from ..operators.aggregates import key_bounds
+from ..functions.times import epoch_seconds
 from .registry import query, scratch
 from .relational import index_frames
 from .shapes import AS_OF
@@ -73,8 +74,8 @@ def _(t):
     SELECT o_custkey, CAST(CASE WHEN round_even(d, 0) > 10000 THEN 15 WHEN k IS NOT NULL THEN round_even(d * k, 0) ELSE 43200 END AS BIGINT) AS step FROM f""")
 def _(t):
     g = t.orders.groupBy("o_custkey").agg(
-        (F.count(F.lit(1)) * 10000000).alias("n"), F.unix_seconds(F.min("o_orderdate").cast("timestamp")).alias("lo"),
-        (F.unix_seconds(F.max("o_orderdate").cast("timestamp")) + 1000).alias("hi"))
+        (F.count(F.lit(1)) * 10000000).alias("n"), epoch_seconds(F.min("o_orderdate")).alias("lo"),
+        (epoch_seconds(F.max("o_orderdate")) + 1000).alias("hi"))
     return g.select("o_custkey", L.step_seconds(F.col("n"), F.col("lo"), F.col("hi")).alias("step"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
+from ..functions.times import epoch_seconds
 from .registry import query
 from .shapes import AS_OF
 
@@ -17,7 +18,7 @@ OPEN = "cpu < 250 AND dq < 300 AND bb >= 50 AND rl <= 300 AND lag / 1073741824.0
 
 
 def day(c="ts"):
-    return F.unix_seconds(F.col(c).cast("timestamp"))
+    return epoch_seconds(c)
 
 
 @query("stm1_metric_gate", f"SELECT instance, day_epoch, round(cpu, 2) AS cpu, {OPEN} AS gate_open FROM ({WIDE})")

@@ -9,6 +9,7 @@ from ..operators import joins as J
 from ..operators import ordering as O
 from ..operators import windows as W
 from ..operators.recursion import page_items, walk
+from ..functions.times import epoch_seconds
 from .registry import query
 from .shapes import AS_OF, TABLES
 from .twins import size_sql
@@ -399,7 +400,7 @@ def _(t):
     FROM v_metrics WINDOW w AS (PARTITION BY instance, metric ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
 def _(t):
     sloped = W.trend(t.v_metrics, ["instance", "metric"], "ts", "value", 5, "week")
-    return sloped.select("instance", "metric", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "samples", F.round(F.col("slope") * 86400, 4).alias("per_day"))
+    return sloped.select("instance", "metric", epoch_seconds("ts").alias("at"), "samples", F.round(F.col("slope") * 86400, 4).alias("per_day"))
 
 
 @query("win5_eta", """
@@ -408,7 +409,7 @@ def _(t):
     SELECT instance, metric, day_epoch, round(value - before, 4) AS delta, eta, CASE WHEN eta < 0 THEN 'Close to end' ELSE concat(CAST(eta AS STRING), ' seconds') END AS eta_text FROM e""")
 def _(t):
     rows = W.eta(t.v_metrics, ["instance", "metric"], "ts", "value", "week")
-    return rows.select("instance", "metric", F.unix_seconds(F.col("ts").cast("timestamp")).alias("day_epoch"), F.round("delta", 4).alias("delta"), "eta", "eta_text")
+    return rows.select("instance", "metric", epoch_seconds("ts").alias("day_epoch"), F.round("delta", 4).alias("delta"), "eta", "eta_text")
 
 
 @query("win6_latest", """

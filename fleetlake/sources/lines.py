@@ -5,25 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small, cut_lineage
+
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines with a stable 0-based number over all files in the order of their names.
 
     Line ids run on within a file split, so the first id of a split turns them
     into places; the counts of the earlier splits give where the split begins.
+    The lines are written out with their ids first: a second read could cut the
+    files differently when executors have come or gone.
     """
     split = ["_file", "_at"]
-    lines = spark.read.text(path).select(
+    lines = cut_lineage(spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"),
-        F.monotonically_increasing_id().alias("_id"))
+        F.monotonically_increasing_id().alias("_id")))
     before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per file split.
-    starts = (
+    # One row per file split, measured so that the lines need no shuffle.
+    starts = cut_lineage(
         lines.groupBy(*split).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
         .withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first"))
         .select(*split, "_start")
     )
-    return lines.join(starts, split).select((F.col("_id") + F.col("_start")).alias("line_no"), F.col("value").alias("line"))
+    return lines.join(broadcast_if_small(starts), split).select((F.col("_id") + F.col("_start")).alias("line_no"), F.col("value").alias("line"))
 
 
 def read_lines_from(spark: SparkSession, path: str, offset: int = 0) -> DataFrame:

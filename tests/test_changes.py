@@ -135,6 +135,18 @@ def test_slices_across_midnight(spark, tmp_path):
         (tmp_path / "log" / name).write_text(envelope(("delete", 1, {})))
     log = read_change_log(spark, str(tmp_path / "log"))
     assert C.select_slices(log, "2024-01-31 23:50:00", "2024-02-01 00:10:00").count() == 2
+    pruned = read_change_log(spark, str(tmp_path / "log"), "2024-01-31 23:50:00", "2024-02-01 00:10:00")
+    assert pruned.count() == 2
+    assert files_read(pruned) == 2
+
+
+def files_read(df):
+    """Files the scan opened, from its own metric."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    while plan.children().size():
+        plan = plan.children().head()
+    return plan.metrics().apply("numFiles").value()
 
 
 def test_values_that_do_not_fit_are_reported(spark, tmp_path):
