@@ -15,13 +15,11 @@ SLICE_REGEX = r"(\d{8}-\d{6})"
 
 
 def micros_between(start: Column, end: Column) -> Column:
-    """Microseconds between two timestamps without zone; no session time zone plays a part."""
-    gap = end.cast("timestamp_ntz") - start.cast("timestamp_ntz")
+    """Microseconds between two timestamps without zone.
 
-    def part(unit: str, micros: int) -> Column:
-        return (F.extract(F.lit(unit), gap) * F.lit(micros).cast("bigint")).cast("bigint")
-
-    return part("DAY", 86400 * 1000000) + part("HOUR", 3600 * 1000000) + part("MINUTE", 60 * 1000000) + part("SECOND", 1000000)
+    The function compares local times, so the session's zone plays no part.
+    """
+    return F.timestamp_diff("MICROSECOND", start.cast("timestamp_ntz"), end.cast("timestamp_ntz"))
 
 
 def epoch_micros(ts: ColumnLike) -> Column:
@@ -35,7 +33,8 @@ def epoch_seconds(ts: ColumnLike) -> Column:
 
 
 def floor_div(a: Column, b: int) -> Column:
-    return int_div(a - F.pmod(a, F.lit(b).cast("bigint")), b)
+    """Quotient rounded down; exact for the microseconds of any date, which stay below 2^53."""
+    return F.floor(a / F.lit(b)).cast("bigint")
 
 
 def seconds_between(start, end) -> Column:
@@ -90,7 +89,6 @@ def slice_time(name: ColumnLike) -> Column:
 
 def slice_name(ts: ColumnLike, every_seconds: int = 120) -> Column:
     """Name of the slice of ``every_seconds`` that holds ``ts``."""
-    second = epoch_seconds(ts)
-    start = second - F.pmod(second, F.lit(every_seconds))
+    start = floor_div(epoch_micros(ts), every_seconds * 1000000) * every_seconds
     origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return F.date_format(origin + F.make_dt_interval(secs=start.cast("decimal(18,6)")), SLICE_PATTERN)

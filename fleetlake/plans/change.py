@@ -165,4 +165,4 @@ def _(t):
     FROM v_changes GROUP BY ALL""")
 def _(t):
     rate = change_rate(t.v_changes.withColumnRenamed("table_name", "table"), "2 hours", "ts")
-    return rate.select(F.unix_seconds("start").alias("start_epoch"), "database", "table", "kind", "changes")
+    return rate.select(epoch_seconds("start").alias("start_epoch"), "database", "table", "kind", "changes")

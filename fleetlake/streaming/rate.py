@@ -13,10 +13,9 @@ def change_rate(
     delay: str = "10 minutes",
 ) -> DataFrame:
     """Changes per database, table and kind in tumbling intervals; for streams and for tables."""
-    at = F.col(ts).cast("timestamp")
-    rows = df.withColumn("_ts", at)
+    rows = df.withColumn("_ts", F.col(ts))
     if df.isStreaming:
-        rows = rows.withWatermark("_ts", delay)
+        rows = rows.withColumn("_ts", F.col("_ts").cast("timestamp")).withWatermark("_ts", delay)
     return (
         rows.groupBy(F.window("_ts", every), *by).agg(F.count(F.lit(1)).alias("changes"))
         .select(F.col("window.start").alias("start"), *by, "changes")
