@@ -125,11 +125,15 @@ def _(t):
     return C.replay_flat(base, flat, ["key"], ["amount"])
 
 
-def flat_stream(t) -> DataFrame:
-    """The change log as a file stream, in the shape replay works on."""
+def changes_stream(t) -> DataFrame:
+    """The change log as a file stream."""
     events = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(f"{t.folder}/events.parque[t]")
-    changes = t.spark.sql(SHAPES["v_changes"].replace("FROM events", "FROM {events}"), events=events)
-    return changes.select(
+    return t.spark.sql(SHAPES["v_changes"].replace("FROM events", "FROM {events}"), events=events)
+
+
+def flat_stream(t) -> DataFrame:
+    """The change stream in the shape replay works on."""
+    return changes_stream(t).select(
         F.col("seq").alias("_seq"), F.col("kind").alias("_kind"), F.col("key").alias("_old_key"), F.col("key").alias("_key"),
         (F.col("has_label") & (F.col("kind") != "delete")).alias("_has_label"), "label",
         (F.col("has_amount") & (F.col("kind") != "delete")).alias("_has_amount"), "amount", "ts", "database")
@@ -154,15 +158,30 @@ def _(t):
     return t.spark.read.parquet(f"{path}/out").groupBy("database").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"))
 
 
-@query("cdc9_mirror", REPLAY.format(cond="table_name = 't1'", base="user_id % 3 = 1"))
+@query("cdc9_mirror", REPLAY.format(cond="table_name = 't1'", base="true"))
 def _(t):
-    clone = users(t).filter("key % 3 = 1")
-    return C.mirror(clone, decoded(t), "public", "t1", KEYS, COLUMNS)
+    return C.mirror(users(t), decoded(t), "public", "t1", KEYS, COLUMNS)
 
 
-@query("cdc10_change_rate", """
+RATE = """
     SELECT CAST(epoch(time_bucket(INTERVAL 2 HOUR, ts)) AS BIGINT) AS start_epoch, database, table_name AS "table", kind, count(*) AS changes
-    FROM v_changes GROUP BY ALL""")
+    FROM v_changes GROUP BY ALL"""
+
+
+@query("cdc10_change_rate", RATE)
 def _(t):
     rate = change_rate(t.v_changes.withColumnRenamed("table_name", "table"), "2 hours", "ts")
     return rate.select(epoch_seconds("start").alias("start_epoch"), "database", "table", "kind", "changes")
+
+
+@query("cdc10_change_rate_stream", RATE)
+def _(t):
+    path = scratch(t.spark, "rate")
+    rate = change_rate(changes_stream(t).withColumnRenamed("table_name", "table"), "2 hours", "ts", delay="1 hour")
+
+    def save(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out")
+
+    rate.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{path}/checkpoint").trigger(
+        availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{path}/out").select(epoch_seconds("start").alias("start_epoch"), "database", "table", "kind", "changes")

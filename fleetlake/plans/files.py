@@ -70,19 +70,33 @@ def _(t):
     return t.spark.read.text(f"{path}/out").select(cut.alias("seq"), F.regexp_extract("value", '"kind":"(\\w+)"', 1).alias("kind"))
 
 
-@query("src7_inventory", """
+INVENTORY = """
     SELECT 'ar' AS country, 'mod' AS instance_module, lower(cluster) AS instance_alias, lower(identifier) AS instance_name, lower(concat(identifier, '.Host')) AS instance_endpoint,
-           '' AS instance_cname, '5432' AS instance_port, CAST(retention_days AS STRING) AS instance_tunnel_port, lower(instance_class) AS instance_role FROM v_instances""")
+           '' AS instance_cname, '5432' AS instance_port, CAST(retention_days AS STRING) AS instance_tunnel_port, lower(instance_class) AS instance_role FROM v_instances"""
+
+
+def inventory_rows(t):
+    return t.v_instances.select(
+        F.lit("AR").alias("country"), F.lit("Mod").alias("instance_module"), F.col("cluster").alias("instance_alias"), F.col("identifier").alias("instance_name"),
+        F.concat("identifier", F.lit(".Host")).alias("instance_endpoint"), F.lit(None).cast("string").alias("instance_cname"), F.lit("5432").alias("instance_port"),
+        F.col("retention_days").cast("string").alias("instance_tunnel_port"), F.col("instance_class").alias("instance_role"))
+
+
+@query("src7_read_inventory", INVENTORY)
 def _(t):
     path = scratch(t.spark, "inventory")
-    i = t.v_instances
-    rows = i.select(F.lit("AR").alias("country"), F.lit("Mod").alias("instance_module"), F.col("cluster").alias("instance_alias"), F.col("identifier").alias("instance_name"),
-                    F.concat("identifier", F.lit(".Host")).alias("instance_endpoint"), F.lit(None).cast("string").alias("instance_cname"), F.lit("5432").alias("instance_port"),
-                    F.col("retention_days").cast("string").alias("instance_tunnel_port"), F.col("instance_class").alias("instance_role"))
-    write_inventory(rows, path)
+    write_inventory(inventory_rows(t), path)
     return read_inventory(t.spark, path)
 
 
+@query("src8_write_inventory", """
+    SELECT concat('AR:Mod:', cluster, ':', identifier, ':', identifier, '.Host::5432:', CAST(retention_days AS STRING), ':', instance_class) AS line FROM v_instances""")
+def _(t):
+    path = scratch(t.spark, "inventory")
+    write_inventory(inventory_rows(t), path)
+    return t.spark.read.text(path).withColumnRenamed("value", "line")
+
+
 @query("src9_kv_scan", """
     SELECT 'eq' AS mode, concat('user', CAST(user_id AS STRING), '/', CAST(event_id AS STRING)) AS id, props AS value FROM events WHERE props = '{"k": 7}'
     UNION ALL SELECT 'contains', concat('user', CAST(user_id AS STRING), '/', CAST(event_id AS STRING)), props FROM events WHERE contains(concat('user', CAST(user_id AS STRING), '/', CAST(event_id AS STRING)), 'r12/')""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import functions as X
+from ..functions.times import epoch_micros
 from ..operators import filters
 from ..operators import health as H
 from ..operators.aggregates import activity_rollup
@@ -21,10 +22,9 @@ def _(t):
     return H.database_sizes(t.v_databases, active_only=True, keys=["instance"])
 
 
-@query("hlt1_largest_databases", f"""
-    SELECT datname, size_bytes, {size_sql('size_bytes')} AS db_size FROM v_databases ORDER BY size_bytes DESC, datname LIMIT 10""")
+@query("hlt1_all_database_sizes", f"SELECT instance, datname, size_bytes, {size_sql('size_bytes')} AS db_size FROM v_databases")
 def _(t):
-    return H.database_sizes(t.v_databases, top=10)
+    return H.database_sizes(t.v_databases, keys=["instance"])
 
 
 TABLE_SIZES = """SELECT t.schemaname, t.relid, t.relname, t.table_bytes + coalesce(i.index_bytes, 0) + coalesce(t.toast, 0) AS total_bytes,
@@ -151,9 +151,9 @@ def _(t):
 @query("hlt9_unused_few_scans", f"""
     SELECT i.relid, i.indexrelname, i.idx_scan AS index_scans, i.index_bytes, i.index_bytes // nullif(i.idx_scan, 0) AS bytes_per_scan, {size_sql('i.index_bytes')} AS index_size
     FROM v_indexes i JOIN v_tables t ON i.relid = t.relid WHERE NOT i.is_unique AND i.idx_scan < 3 AND t.table_bytes > 40960
-    ORDER BY bytes_per_scan DESC NULLS FIRST, i.index_bytes DESC, i.indexrelname LIMIT 5000""")
+""")
 def _(t):
-    return H.unused_indexes(t.v_indexes, t.v_tables, "few_scans", max_scans=3, top=5000)
+    return H.unused_indexes(t.v_indexes, t.v_tables, "few_scans", max_scans=3)
 
 
 @query("hlt10_index_usage", f"""
@@ -229,8 +229,6 @@ def _(t):
     readings = t.events.select("user_id", "ts", F.concat(F.lit("2/"), F.hex(far)).alias("current_lsn"),
                                F.concat(F.lit("2/"), F.hex(F.col("event_id") * 16)).alias("confirmed_flush_lsn"))
     out = H.catch_up(readings, ["user_id"], "ts", unit="week")
-    from ..functions.times import epoch_micros
-
     return out.select("user_id", epoch_micros("ts").alias("at_us"), "distance", "status", "eta")
 
 
@@ -240,7 +238,7 @@ def _(t):
 
 
 @query("hlt15_txid_limit", """
-    SELECT seqname AS instance, abs(last_value) AS used, CASE WHEN data_type = 'integer' THEN 400000000 ELSE 200000000 END AS "limit" FROM v_sequences
+    SELECT seqname AS instance, abs(last_value) AS used, CAST(CASE WHEN data_type = 'integer' THEN 400000000 ELSE 200000000 END AS BIGINT) AS "limit" FROM v_sequences
     WHERE CASE WHEN data_type = 'integer' THEN 400000000 ELSE 200000000 END <= abs(last_value) * 1.05""")
 def _(t):
     used = t.v_sequences.select(F.col("seqname").alias("instance"), F.abs("last_value").alias("value"))

@@ -290,9 +290,12 @@ def _(t):
     return A.collect_names(t.part, ["p_brand"], "p_name").withColumn("names", F.array_join("names", "|"))
 
 
-@query("agg14_key_bounds", "SELECT min(o_orderkey) AS min_key, max(o_orderkey) AS max_key FROM orders WHERE o_orderkey <= 10000")
+@query("agg14_key_bounds", """
+    SELECT min(l_shipdate) AS min_key, max(l_shipdate) AS max_key FROM lineitem
+    UNION ALL SELECT min(l_shipdate), max(l_shipdate) FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-06-15 12:00:00'""")
 def _(t):
-    return A.key_bounds(t.orders, "o_orderkey", 10000)
+    upper = F.lit("1998-06-15 12:00:00").cast("timestamp_ntz")
+    return A.key_bounds(t.lineitem, "l_shipdate").unionByName(A.key_bounds(t.lineitem, "l_shipdate", upper))
 
 
 @query("agg15_area_team_counts", """

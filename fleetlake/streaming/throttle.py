@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.metrics import HOLD, LOWER, RAISE, UNIT, throttle_step
+from ..operators.metrics import HOLD, LOWER, RAISE, UNIT, throttle_table
 
 OUTPUT = "instance string, ts timestamp, wait double"
 STATE = "wait bigint, was_open boolean"
@@ -20,18 +20,22 @@ def throttle_stream(stream: DataFrame, start: float = 0.2, compat: bool = False)
     The stream has ``instance``, ``ts``, ``gate_open`` and ``relaxed``, and its
     readings arrive in time order across batches.
     """
-    first = round(start * UNIT)
+    # Plain values only: what the function below holds travels to the executors with it.
+    states, moves = throttle_table(round(start * UNIT), compat)
+    place = {wait: i for i, wait in enumerate(states)}
+    unit, hold, higher, lower = UNIT, HOLD, RAISE, LOWER
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        wait, was_open = state.get if state.exists else (first, True)
+        wait, was_open = state.get if state.exists else (states[0], True)
+        at = place[int(wait)]
         rows = pd.concat(list(batches)).sort_values("ts")
         after = []
         for is_open, relaxed in zip(rows["gate_open"], rows["relaxed"]):
-            change = RAISE if not is_open and was_open else LOWER if is_open and relaxed else HOLD
-            wait = throttle_step(int(wait), HOLD, change, compat)
+            change = higher if not is_open and was_open else lower if is_open and relaxed else hold
+            at = int(moves[change][at])
             was_open = bool(is_open)
-            after.append(wait / UNIT)
-        state.update((int(wait), bool(was_open)))
+            after.append(states[at] / unit)
+        state.update((states[at], was_open))
         yield pd.DataFrame({"instance": key[0], "ts": rows["ts"].to_numpy(), "wait": after})
 
     return stream.groupBy("instance").applyInPandasWithState(
