@@ -189,9 +189,13 @@ def replay_flat(
     """``base`` after the changes of ``flat``.
 
     ``key_changes`` says whether some update changes a key; ``None`` looks.
-    ``block`` cuts the order of the log into blocks (needed if ``_seq`` is no integer).
+    ``block`` cuts the order of the log into blocks; by default spans of an
+    integer ``_seq``, or the first field (the slice) of a struct.
     """
     keys, columns = list(keys), list(columns)
+    order_type = flat.schema["_seq"].dataType
+    if block is None and isinstance(order_type, T.StructType):
+        block = F.col("_seq")[order_type.fieldNames()[0]]
     if not key_changes:
         # One pass over the log; what is written out has one row per changed key.
         effect = cut_lineage(net_effect(flat, keys, columns))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..constants import INSTANCE_SIZES
 from ..functions.identity import enum_rank
-from .blocks import join_null_safe
 from .windows import latest
 
 

@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Checkpoint files go when the frame that reads them is gone.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -87,7 +87,7 @@ def test_replay_equals_fold(spark, tmp_path, seed, renames):
     log = random_log(rnd, base, 60, renames)
     write_log(tmp_path / "log", log)
     changes = C.decode_changes(read_change_log(spark, str(tmp_path / "log")), ["seq", "slice_ts"])
-    got = C.replay(table(spark, base), changes, KEYS, COLUMNS, block=F.col("_seq.slice"))
+    got = C.replay(table(spark, base), changes, KEYS, COLUMNS)
     assert as_state(got) == fold(base, log)
 
 
@@ -109,14 +109,14 @@ def test_key_change_then_delete_leaves_neither(spark, tmp_path):
     base = {1: {"a": "x", "b": 1.0}}
     write_log(tmp_path / "log", [("update", 1, {"id": 2}), ("delete", 2, {})])
     changes = C.decode_changes(read_change_log(spark, str(tmp_path / "log")), ["seq"])
-    assert C.replay(table(spark, base), changes, KEYS, COLUMNS, block=F.col("_seq.slice")).count() == 0
+    assert C.replay(table(spark, base), changes, KEYS, COLUMNS).count() == 0
 
 
 def test_chain_of_key_changes_carries_columns(spark, tmp_path):
     base = {1: {"a": "x", "b": 1.0}}
     write_log(tmp_path / "log", [("update", 1, {"id": 2, "a": "y"}), ("update", 2, {"id": 3}), ("update", 3, {"id": 4, "b": 2.0}), ("update", 4, {"id": 5})], per_slice=1)
     changes = C.decode_changes(read_change_log(spark, str(tmp_path / "log")), ["seq"])
-    got = C.replay(table(spark, base), changes, KEYS, COLUMNS, block=F.col("_seq.slice"))
+    got = C.replay(table(spark, base), changes, KEYS, COLUMNS)
     assert as_state(got) == {5: {"a": "y", "b": 2.0}}
 
 
