@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash_bktree
+from . import additive_model, secret_grammar, simhash_bktree, weak_supervision
 from .frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,18 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 @query
 def op4_simhash_bktree(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_bktree.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op2_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
+    return weak_supervision.judge(table(spark, folder, "documents"))
+
+
+@query
+def op8_additive_model(spark: SparkSession, folder: str) -> DataFrame:
+    return additive_model.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op3_secret_grammar(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_grammar.report(table(spark, folder, "documents"))
