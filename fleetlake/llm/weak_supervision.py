@@ -27,7 +27,7 @@ def _share(a: str, b: str) -> Column:
 
 
 #: Pseudo-documents per rule: votes (bad, good) on good documents, on bad ones. A rule seldom accuses a good document.
-PSEUDO = np.array([[[0.05, 9.95]], [[1.0, 1.0]]])
+PSEUDO = np.array([[[0.1, 99.9]], [[1.0, 1.0]]])
 
 
 @dataclass(frozen=True)
