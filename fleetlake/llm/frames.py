@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def held_out(doc_id: str, folds: int) -> Column:
 def pieces_of(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of ``column`` each, a single longer row on its own."""
     start, size = 0, 0
-    lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
+    lengths = pc.binary_length(batch.column(column)).to_pylist()
     for i, n in enumerate(lengths):
         if size and size + (n or 0) > most:
             yield batch.slice(start, i - start)

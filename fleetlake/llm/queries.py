@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive_model, secret_grammar, simhash_bktree, weak_supervision
+from . import additive_model, packing, secret_grammar, simhash_bktree, string_tiling, weak_supervision
 from .frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +37,13 @@ def op8_additive_model(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_secret_grammar(spark: SparkSession, folder: str) -> DataFrame:
     return secret_grammar.report(table(spark, folder, "documents"))
+
+
+@query
+def op1_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
+    return string_tiling.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op10_config_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
