@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,13 +12,18 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, cut_lineage
 
-__all__ = ["checkpoint_dir", "cut_lineage", "held_out", "pieces_of", "table"]
+__all__ = ["checkpoint_dir", "cut_lineage", "held_out", "pieces_of", "shared_path", "table"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def held_out(doc_id: str, folds: int) -> Column:
     """Whether crc32 of the identifier as text has remainder 1 (a null identifier: false)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 1, F.lit(False))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive_model, packing, secret_grammar, simhash_bktree, string_tiling, weak_supervision
-from .frames import table
+from . import additive_model, packing, secret_grammar, simhash_bktree, string_tiling, token_files, weak_supervision
+from .frames import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,3 +47,10 @@ def op1_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_config_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op7_wavelet_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared_path(spark, "tokens")
+    token_files.write_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_documents(spark, path).drop("ids")
