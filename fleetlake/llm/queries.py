@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive_model, packing, secret_grammar, simhash_bktree, string_tiling, token_files, weak_supervision
+from . import additive_model, packing, secret_grammar, simhash_bktree, string_tiling, suffix_tree, token_files, weak_supervision
 from .frames import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,8 @@ def op7_wavelet_files(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     token_files.write_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.read_documents(spark, path).drop("ids")
+
+
+@query
+def op6_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_tree.score_texts(table(spark, folder, "documents"))
