@@ -1,10 +1,12 @@
 """Token ids of texts with the tokenizers library, each distinct word encoded once per task.
 
 Both vocabularies used here split a text before they merge, and never join
-characters on either side of a boundary "no white space, then white space".
-So a text is cut there, the pieces are encoded, and their ids are strung
-together; a text with white space beyond blank, tab and line ends is encoded
-whole.
+characters on either side of a boundary "no white space, then white space" or
+"letter, then other". So a text is cut into words and those into runs of
+letters and of others; only runs not met before are encoded, and the ids of a
+text are strung together. Words with an apostrophe or with characters beyond
+ASCII and Latin-1 letters are encoded whole, as are texts with white space
+beyond blank, tab and line ends.
 """
 
 from __future__ import annotations
@@ -16,10 +18,33 @@ from itertools import chain
 
 import numpy as np
 
-_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_PIECE = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
-#: Distinct pieces remembered by a task before it starts afresh.
-MEMORY = 300_000
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_WORD = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
+#: White space before a blank, or at either end: not every blank then starts a word.
+_RUN = re.compile(r"[ \t\r\n] |^[ \t\r\n]|[ \t\r\n]\Z")
+_WHOLE = re.compile(rf"[^\x00-\x7f{_LETTER}]|'")
+_PIECE = re.compile(rf"[ \t\r\n]*[{_LETTER}]+|[ \t\r\n]*[^ \t\r\n{_LETTER}]+|[ \t\r\n]+")
+_PLAIN = re.compile(rf" ?[{_LETTER}]+\Z")
+#: Distinct words remembered by a task before it starts afresh.
+MEMORY = 600_000
+
+
+class _Ids:
+    """Ids of numbered strings in one array."""
+
+    def __init__(self):
+        self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings in a row, and how many each has."""
+        first = self.ends[numbers]
+        n = self.ends[numbers + 1] - first
+        return self.ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
 
 class _Numbers(dict):
@@ -33,6 +58,9 @@ class _Numbers(dict):
         self.new.append(key)
         return n
 
+    def of(self, keys: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+
 
 class Encoder:
     def __init__(self, path: str):
@@ -42,43 +70,96 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.blanks_count = self._ids([" a"])[0] != self._ids(["a"])[0]
+        self.lower = self._ids(["A", "Ä"]) == self._ids(["a", "ä"])
+        line = self._ids(["\n"])[0]
+        self.line = line[0] if len(line) == 1 else None
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self._forget()
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _forget(self) -> None:
-        self.numbers, self.ids, self.ends = _Numbers(), np.empty(0, np.uint32), np.zeros(1, np.int64)
-
-    def _pieces(self, text: str) -> list[str]:
+        self.words, self.word_ids = _Numbers(), _Ids()
+        self.pieces, self.piece_ids = _Numbers(), _Ids()
+
+    def _one_by_one(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self._ids(pieces)
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Runs of letters encoded as one text: cheaper. None if the ids don't show where each ends."""
+        between = "\n" if self.blanks_count else " "
+        ids = np.array(self._ids([between.join(pieces)])[0], np.uint32)
+        if self.blanks_count:
+            line = ids == self.line
+            ends = np.append(np.flatnonzero(line), len(ids)) - np.arange(int(line.sum()) + 1)
+            ids = ids[~line]
+        else:
+            ends = np.flatnonzero(self.last[ids]) + 1
+        sizes = np.diff(ends, prepend=0)
+        return (ids, sizes) if len(sizes) == len(pieces) and ends[-1] == len(ids) and (sizes > 0).all() else None
+
+    def _learn_pieces(self) -> None:
+        new, self.pieces.new = self.pieces.new, []
+        plain = np.fromiter((_PLAIN.match(p) is not None for p in new), bool, len(new))
+        found = _Ids()
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        runs, rest = [new[i] for i in order[:plain.sum()].tolist()], [new[i] for i in order[plain.sum():].tolist()]
+        for i in range(0, len(runs), 10_000):
+            part = runs[i:i + 10_000]
+            found.append(*(self._together(part) or self._one_by_one(part)))
+        for i in range(0, len(rest), 10_000):
+            found.append(*self._one_by_one(rest[i:i + 10_000]))
+        place = np.empty(len(new), np.int64)
+        place[order] = np.arange(len(new))
+        self.piece_ids.append(*found.gather(place))
+
+    def _learn_words(self) -> None:
+        new, self.words.new = self.words.new, []
+        numbers, sizes = [], np.zeros(len(new), np.int64)
+        for k, key in enumerate(new):
+            word = key if isinstance(key, str) and not self.blanks_count else " " + key if isinstance(key, str) else key[0]
+            if _WHOLE.search(word) or _ODD.search(word):
+                pieces = [word]
+            else:
+                pieces = _PIECE.findall(word.lower() if self.lower else word)
+            sizes[k] = len(pieces)
+            numbers += map(self.pieces.__getitem__, pieces)
+        if self.pieces.new:
+            self._learn_pieces()
+        ids, each = self.piece_ids.gather(np.array(numbers, np.int64))
+        ends = np.concatenate(([0], np.cumsum(each)))[np.cumsum(sizes)]
+        self.word_ids.append(ids, np.diff(ends, prepend=0))
+
+    def _split(self, text: str) -> list:
+        """Words of a text: a string stands for itself after a blank (where blanks count), a tuple for its text as it is."""
         if _ODD.search(text):
-            return [text]
-        return _PIECE.findall(text) if self.blanks_count else text.split()
+            return [(text,)]
+        if not self.blanks_count:
+            return text.split()
+        if _RUN.search(text):
+            return [(w,) for w in _WORD.findall(text)]
+        words = text.split(" ")
+        words[0] = (words[0],)
+        return words
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and the number of each; ``end`` is appended to every text. A null text is empty."""
-        if len(self.numbers) > MEMORY:
+        if len(self.words) > MEMORY:
             self._forget()
-        number, at = self.numbers.__getitem__, []
-        for text in texts:
-            pieces = self._pieces(text) if text else []
-            at.append(np.fromiter(map(number, pieces), np.int32, len(pieces)))
-        if new := self.numbers.new:
-            ids, sizes = [self.ids], []
-            for i in range(0, len(new), 20_000):
-                found = self._ids(new[i:i + 20_000])
-                ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
-                sizes += map(len, found)
-            self.ids = np.concatenate(ids)
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-            self.numbers.new = []
+        at = [self.words.of(self._split(text)) if text else np.empty(0, np.int64) for text in texts]
+        if self.words.new:
+            self._learn_words()
         out, sizes = [], np.zeros(len(texts), np.int64)
         tail = np.array([] if end is None else [end], np.uint32)
-        for k, pieces in enumerate(at):
-            first, n = self.ends[pieces], self.ends[pieces + 1] - self.ends[pieces]
-            total = int(n.sum())
-            out += [self.ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(total)], tail]
-            sizes[k] = total + len(tail)
+        for k, words in enumerate(at):
+            ids, _ = self.word_ids.gather(words)
+            out += [ids, tail]
+            sizes[k] = len(ids) + len(tail)
         return np.concatenate(out) if out else np.empty(0, np.uint32), sizes
 
 

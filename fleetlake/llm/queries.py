@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive_model, packing, secret_grammar, simhash_bktree, string_tiling, suffix_tree, token_files, weak_supervision
+from . import additive_model, packing, repeated_bytes, secret_grammar, simhash_bktree, string_tiling, suffix_tree, token_files, weak_supervision
 from .frames import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,8 @@ def op7_wavelet_files(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_tree.score_texts(table(spark, folder, "documents"))
+
+
+@query
+def op9_bucket_refinement(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_bytes.remove_repeats(table(spark, folder, "documents")).drop("kept")

@@ -20,29 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .hashing import run_hashes
+
 LEAST = 5
 COVERAGE = 0.5
 #: Characters of test items that are sent to the tasks at once; more items are taken in several blocks.
 BLOCK_CHARS = 16_000_000
 _WORD = re.compile(r"\w+")
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    """Karp-Rabin hash of every run of ``n`` ids, modulo 2 to the 64."""
-    if len(ids) < n:
-        return np.empty(0, np.uint64)
-    value, out, size = ids.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(1), None, 0
-    width, power = 1, _BASE
-    while n:
-        if n & 1:
-            out = value[:len(ids) - size - width + 1].copy() if out is None else out[:len(ids) - size - width + 1] * power + value[size:]
-            size += width
-        n >>= 1
-        if n:
-            value = value[:-width] * power + value[width:]
-            power, width = power * power, width * 2
-    return out
 
 
 def tile(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -55,7 +39,7 @@ def tile(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
             return np.empty(0, int), np.empty(0, np.uint64)
         closed = np.concatenate(([0], np.cumsum(~free)))
         at = np.flatnonzero(closed[n:] == closed[:-n])
-        return at, _hashes(ids, n)[at]
+        return at, run_hashes(ids, n)[at]
 
     while True:
         at_text, hash_text = open_runs(free_text, text)
@@ -95,7 +79,7 @@ class Items:
             np.array([self.number.setdefault(w, len(self.number)) for w in _WORD.findall((t or "").lower())], np.int64) for t in texts]
         seeds, item, place = [np.empty(0, np.uint64)], [np.empty(0, int)], [np.empty(0, int)]
         for k, ids in enumerate(self.words):
-            h = _hashes(ids, least)
+            h = run_hashes(ids, least)
             seeds.append(h)
             item.append(np.full(len(h), k))
             place.append(np.arange(len(h)))
@@ -113,7 +97,7 @@ class Items:
         at = np.flatnonzero(unknown[least:] == unknown[:-least])
         if not len(at):
             return []
-        h = _hashes(ids, least)[at]
+        h = run_hashes(ids, least)[at]
         first = np.searchsorted(self.seeds, h)
         n = np.searchsorted(self.seeds, h, side="right") - first
         pair = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
