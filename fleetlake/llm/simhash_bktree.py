@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -173,6 +173,15 @@ def link_fingerprints(prints: DataFrame, radius: int = 3) -> DataFrame:
     return rows.groupBy("shard").applyInPandas(_shard_links(radius), "a long, b long")
 
 
+def _classes(prints: DataFrame, radius: int) -> DataFrame:
+    """``(fp, root, component_id)`` per distinct fingerprint: its class and the smallest identifier in it."""
+    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = cut_lineage(components(link_fingerprints(distinct.select("fp"), radius)))
+    member = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    return cut_lineage(member.join(least, "root").select("fp", "root", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
     """``(id_col, fingerprint, component_id)`` per row: the smallest identifier reachable over links of ``radius`` bits.
 
@@ -181,10 +190,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are null. Repeated rows repeat in the result, an empty table gives none.
     """
     prints = cut_lineage(fingerprints(docs, id_col, text_col, words))
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = cut_lineage(components(link_fingerprints(distinct.select("fp"), radius)))
-    member = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut_lineage(member.join(least, "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select(
+    return prints.join(_classes(prints, radius), "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
+    """One row of each component, with its columns as they are: the one with the smallest identifier.
+
+    A null identifier is kept only where its component has no other. Of rows
+    with the same identifier and fingerprint one stays.
+    """
+    prints = cut_lineage(fingerprints(docs, id_col, text_col, words))
+    first = prints.join(_classes(prints, radius), "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("first"))
+    first = cut_lineage(first.select(F.col("first.id").alias("__first_id"), F.col("first.fp").alias("__first_fp")))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), _fingerprints(words)(F.col(text_col)).alias("fp"))
+    kept = row.join(first, row.id.eqNullSafe(first["__first_id"]) & (row.fp == first["__first_fp"]), "left_semi")
+    again = F.row_number().over(Window.partitionBy("id", "fp").orderBy(F.lit(0)))
+    return kept.withColumn("again", again).where("again = 1").select("row.*")
