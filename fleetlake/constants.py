@@ -5,6 +5,8 @@ SYSTEM_DATABASES = ["rdsadmin", "template1", "template0", "postgres"]
 INACTIVE_DATABASE_PATTERN = "rdsadmin|template%|postgres|%delete_me"
 SERVICE_OWNER_PATTERN = "dba_%|%delete_me"
 EXPECTED_ROLE_PATTERN = "postgres|dba_%|rds%|dms%"
+DOCUMENT_SYSTEM_DATABASES = ["admin", "config", "local"]
+# The same by the fleet's scripts, which test for a part of the name and misspell one.
 DOCUMENT_SYSTEM_DATABASE_REGEX = "admin|Cnfig|local"
 SYSTEM_SCHEMAS = ["pg_catalog", "information_schema"]
 REPLICATION_SCHEMAS = ["pglogical", "pg_catalog", "information_schema"]

@@ -13,12 +13,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import DOCUMENT_SYSTEM_DATABASE_REGEX
+from ..constants import DOCUMENT_SYSTEM_DATABASE_REGEX, DOCUMENT_SYSTEM_DATABASES
 from ..functions.columns import int_div
 from ..functions.numbers import size_pretty
 from ..functions.times import seconds_between
 from ..session import cut_lineage
-from .blocks import join_null_safe
+from .blocks import join_null_safe, name_block, row_numbers
 
 PAGE = 1000
 
@@ -46,7 +46,8 @@ def activity_rollup(
     out = df.groupBy(*group).agg(*aggs, F.count(F.lit(1)).alias("total"))
     if role and distinct_col:
         clients = distinct_per(df, [role], distinct_col, "instances")
-        out = join_null_safe(out, clients, [role], "left")
+        # A null role is no role: it has no clients of its own.
+        out = out.join(clients, role, "left").withColumn("instances", F.coalesce("instances", F.lit(0).cast("bigint")))
     if role and limits is not None:
         out = out.join(limits.select(role, "max_conn"), role, "left")
     return out
@@ -76,25 +77,27 @@ def signature(cols: Sequence[str], wide: bool = False) -> Column:
 
 
 def duplicate_groups(
-    df: DataFrame, sig_cols: Sequence[str], member: str, size: str, keep: int = 4, by: Sequence[str] = (),
+    df: DataFrame, sig_cols: Sequence[str], member: str, size: str, keep: int | None = None, by: Sequence[str] = (),
     wide: bool = False,
 ) -> DataFrame:
-    """Groups that agree in all of ``sig_cols``: count, total size, and the first ``keep`` members.
+    """Groups that agree in all of ``sig_cols``: count, total size, and if asked the first ``keep`` members.
 
-    Only ``keep`` members per group leave a task, whatever the group's size.
-    With ``wide`` the digests are written out once, so long texts are read and
-    hashed a single time for the two passes over them.
+    All members are ``duplicate_members``. Only ``keep`` members per group leave
+    a task, whatever the group's size. The signatures are written out once, so
+    the input is read and reduced a single time for the two passes over them.
     """
     by = list(by)
     rows = df.select(*by, signature(sig_cols, wide).alias("_sig"), F.col(member).alias("_m"),
                      F.col(size).cast("bigint").alias("_size"))
-    if wide:
+    if keep is not None or wide:
         rows = cut_lineage(rows)
     groups = (
         rows.groupBy(*by, "_sig")
         .agg(F.count(F.lit(1)).alias("members"), F.sum("_size").alias("bytes"))
         .filter(F.col("members") > 1)
     )
+    if keep is None:
+        return groups.withColumn("size", size_pretty("bytes")).drop("_sig")
     first = Window.partitionBy(*by, "_sig").orderBy("_m")
     listed = (
         rows.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= keep)
@@ -103,6 +106,17 @@ def duplicate_groups(
     return join_null_safe(groups, listed, [*by, "_sig"]).withColumn("size", size_pretty("bytes")).drop("_sig")
 
 
+def duplicate_members(
+    df: DataFrame, sig_cols: Sequence[str], member: str, size: str, by: Sequence[str] = (), wide: bool = False,
+) -> DataFrame:
+    """Every member of every group that agrees in all of ``sig_cols``, with the group's least member, count and size."""
+    by = list(by)
+    rows = cut_lineage(df.select(*by, signature(sig_cols, wide).alias("_sig"), member, F.col(size).cast("bigint").alias("_size")))
+    groups = rows.groupBy(*by, "_sig").agg(
+        F.min(member).alias("first_member"), F.count(F.lit(1)).alias("members"), F.sum("_size").alias("bytes")).filter(F.col("members") > 1)
+    return join_null_safe(rows.drop("_size"), groups, [*by, "_sig"]).drop("_sig")
+
+
 def hit_rates(index_io: DataFrame, table_io: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Share of block reads served from the cache, for indexes and for tables."""
     def rate(df: DataFrame, prefix: str, label: str) -> DataFrame:
@@ -152,17 +166,18 @@ def connections_by_host(df: DataFrame, client: str = "client", total: bool = Fal
 
 def storage_totals(
     df: DataFrame, name: str = "name", sizes: Sequence[str] = ("dataSize", "storageSize", "indexSize"),
-    count: str | None = None, exclude: str = DOCUMENT_SYSTEM_DATABASE_REGEX, total_name: str = "Total",
+    count: str | None = None, exclude: Sequence[str] = DOCUMENT_SYSTEM_DATABASES, total_name: str = "Total", compat: bool = False,
 ) -> DataFrame:
     """Sizes per database and over all of them, without the server's own databases.
 
+    ``compat`` leaves out names that merely contain one of the fleet's old patterns.
     ``count`` is the object count that gives the average object size, data size over count.
     """
     aggs = [F.sum(F.col(s).cast("bigint")).alias(s) for s in sizes]
     if count:
         aggs.append(F.sum(F.col(count).cast("bigint")).alias("objects"))
     out = (
-        df.filter(~F.col(name).rlike(exclude)).rollup(name).agg(*aggs, F.grouping(name).alias("_total"))
+        df.filter(~(F.col(name).rlike(DOCUMENT_SYSTEM_DATABASE_REGEX) if compat else F.col(name).isin(list(exclude)))).rollup(name).agg(*aggs, F.grouping(name).alias("_total"))
         .withColumn(name, F.when(F.col("_total") == 1, F.lit(total_name)).otherwise(F.col(name))).drop("_total")
     )
     return out if not count else out.withColumn(
@@ -176,18 +191,21 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-def paged_lists(df: DataFrame, by: Sequence[str], name: str, page: int = PAGE, out: str = "names") -> DataFrame:
-    """Distinct names per key as sorted lists of about ``page`` names, numbered from 0.
+def ranked_names(df: DataFrame, by: Sequence[str], name: str, place: str = "place") -> DataFrame:
+    """The distinct names of each key, one row each with its place in sorted order, from 1.
 
-    A key with up to ``page`` names has the one page 0. A larger key is spread
-    over pages by the hash of the name, so no list grows with the data.
+    Names are sorted over all tasks and numbered by block, so a key that holds
+    most of them is not one task's work.
     """
     by = list(by)
     names = df.select(*by, name).filter(F.col(name).isNotNull()).distinct()
-    pages = names.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(page)).cast("bigint").alias("_pages"))
-    spread = join_null_safe(names, pages, by) if by else names.withColumn("_pages", pages.scalar())
+    return row_numbers(names, name, by, block=name_block(names, name), name=place)
+
+
+def paged_lists(df: DataFrame, by: Sequence[str], name: str, page: int = PAGE, out: str = "names") -> DataFrame:
+    """The names of ``ranked_names`` as lists: page ``p`` holds the places ``p*page + 1`` to ``(p+1)*page``, whatever the size of the key."""
     return (
-        spread.withColumn("page", F.pmod(F.xxhash64(name), F.col("_pages")).cast("bigint"))
+        ranked_names(df, by, name, "_place").withColumn("page", int_div(F.col("_place") - 1, page))
         .groupBy(*by, "page").agg(F.array_sort(F.collect_list(name)).alias(out))
     )
 
@@ -213,7 +231,7 @@ def ordered_concat(
 
 
 def key_bounds(df: DataFrame, key: str, upper=None) -> DataFrame:
-    """Least and greatest key, optionally of the rows up to ``upper``."""
+    """Least and greatest key, optionally of the rows up to ``upper``; a scan of the key column alone."""
     rows = df if upper is None else df.filter(F.col(key) <= F.lit(upper))
     return rows.agg(F.min(key).alias("min_key"), F.max(key).alias("max_key"))
 
@@ -227,7 +245,7 @@ def area_team_counts(df: DataFrame, area: str = "area", team: str = "team") -> D
 
 def cache_share(
     buffers: DataFrame, relations: DataFrame, pool_blocks: int, on: Sequence[str] = ("relfilenode",),
-    name: str = "relname", size: str = "total_bytes", block: int = 8192, top: int | None = 30,
+    name: str = "relname", size: str = "total_bytes", block: int = 8192, top: int | None = None,
 ) -> DataFrame:
     """Cached blocks per relation: as size, as share of the pool and of the relation."""
     held = buffers.groupBy(*on).agg(F.count(F.lit(1)).alias("buffers"))

@@ -1,28 +1,88 @@
 """Ordered computations that hold when one series has a large share of all rows.
 
 A window over a whole table, or over one hot series, ends in a single task.
-Here the order column is cut into blocks (a fixed span of an integer key, or a
-calendar unit of a time). Rows are shuffled by (series, block), each block is
-worked on by itself, and what crosses a border is carried by a summary that
-has a few rows per block.
+Here the order column is cut into blocks: of about equal numbers of rows by
+its quantiles (``with_blocks``), or of a calendar unit of a time. Rows are
+shuffled by (series, block), each block is worked on by itself, and what
+crosses a border is carried by a summary that has a few rows per block.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.times import epoch_micros
 
 DEFAULT_SPAN = 1 << 20
 
 
+#: Most blocks a table is cut into; beyond that blocks grow.
+MAX_BLOCKS = 10_000
+
+
+def place_of(df: DataFrame, key: str) -> Column:
+    """An integer, date or time as a double in the same order."""
+    kind, c = df.schema[key].dataType, F.col(key)
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return c.cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return epoch_micros(c).cast("double")
+    raise TypeError(f"{key}: a key to cut by must be an integer, a date or a time, not {kind.simpleString()}")
+
+
+def with_blocks(df: DataFrame, key: str, rows: int = DEFAULT_SPAN, name: str = "_blk") -> DataFrame:
+    """``df`` with the block each row belongs to: about ``rows`` rows, in the order of ``key``.
+
+    The borders are quantiles, so sparse or clustered keys fill blocks like any
+    others. A value with more than ``rows`` rows gets several blocks, dealt by
+    a hash of the row. One job over the key column finds the borders; ``df``
+    should be cheap to read again (``cut_lineage``).
+    """
+    place = place_of(df, key)
+    probabilities = [i / 1000 for i in range(1, 1000)]
+    n, rough = df.agg(F.count(key), F.percentile_approx(place, probabilities, 20_000)).first()
+    k = min(MAX_BLOCKS, n // max(rows, 1))
+    if k < 2:
+        return df.withColumn(name, F.struct(F.lit(0.0).alias("bucket"), F.lit(0).alias("part")))
+    cuts = [rough[min(998, i * 1000 // k)] for i in range(k - 1)] if k <= 1000 else df.agg(
+        F.percentile_approx(place, [i / k for i in range(1, k)], 10 * k)).first()[0]
+    times = Counter(cuts)
+    splits = [float("-inf"), *sorted(times), float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="_place", outputCol="_bucket", handleInvalid="keep").transform(df.withColumn("_place", place))
+    part = F.lit(0)
+    if hot := {v: m for v, m in times.items() if m > 1}:
+        parts = F.try_element_at(F.create_map(*[F.lit(x) for v, m in hot.items() for x in (v, m)]), F.col("_place"))
+        # Rows equal to a hot border come before the others of its bucket.
+        part = F.coalesce(F.pmod(F.xxhash64(*df.columns), parts).cast("int"), F.lit(MAX_BLOCKS))
+    return cut.withColumn(name, F.struct(F.col("_bucket").alias("bucket"), part.alias("part"))).drop("_place", "_bucket")
+
+
 def int_block(key: Column, span: int = DEFAULT_SPAN) -> Column:
     """First key of the block of ``span`` consecutive integers that holds ``key``."""
     wide = key.cast("bigint")
     return wide - F.pmod(wide, F.lit(span).cast("bigint"))
 
 
+def name_block(df: DataFrame, name: str, rows: int = DEFAULT_SPAN) -> Column:
+    """Blocks of about ``rows`` rows for a text column: its first characters, as many as it takes.
+
+    A shorter text sorts before its continuations, so the blocks are in order.
+    """
+    shares = df.agg(*[F.approx_count_distinct(F.left(name, F.lit(n))).alias(str(n)) for n in (1, 2, 4, 8, 16)], F.count(F.lit(1)).alias("n")).first()
+    for n in (1, 2, 4, 8):
+        if shares[str(n)] * rows >= shares["n"]:
+            return F.left(F.col(name), F.lit(n))
+    return F.left(F.col(name), F.lit(16))
+
+
 def time_block(ts: Column, unit: str = "day") -> Column:
     return F.date_trunc(unit, ts)
 
@@ -54,12 +114,12 @@ def with_halo(df: DataFrame, by: Sequence[str], order: str, block: Column, n: in
     by = list(by)
     cols = df.columns
     marked = df.withColumn("_block", block)
-    if n == 1 and set(cols) <= {*by, order}:
+    if n == 1 and set(cols) <= {*by, order, "_blk"}:
         # Nothing but the order column to carry: a plain maximum per block.
         ends = marked.groupBy(*by, "_block").agg(F.max(order).alias("_end"))
         before = F.lag("_end").over(Window.partitionBy(*by).orderBy("_block"))
         copies = ends.select(*by, "_block", before.alias(order), F.lit(True).alias("_halo")).filter(F.col(order).isNotNull())
-        return marked.withColumn("_halo", F.lit(False)).unionByName(copies)
+        return marked.drop("_blk").withColumn("_halo", F.lit(False)).unionByName(copies)
     row = F.struct(F.col(order).alias("_o"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(cols)])
     if n == 1:
         tails = marked.groupBy(*by, "_block").agg(F.array(F.max(row)).alias("_tail"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import as_time
-from ..session import broadcast_if_small, cut_lineage, fits_broadcast
+from ..session import cut_lineage
 from .blocks import greatest_before, int_block
 from .recursion import list_roots
 
@@ -17,7 +17,7 @@ CHANGE_TYPE = (
     "array<struct<kind:string, schema:string, `table`:string, columnnames:array<string>, "
     "columnvalues:array<variant>, oldkeys:struct<keynames:array<string>, keyvalues:array<variant>>>>"
 )
-ENVELOPE = f"database string, change {CHANGE_TYPE}"
+ENVELOPE = f"database string, partition int, seq bigint, change {CHANGE_TYPE}"
 
 
 def decode_changes(df: DataFrame, keep: Sequence[str] = ("database", "seq")) -> DataFrame:
@@ -37,6 +37,23 @@ def decode_changes(df: DataFrame, keep: Sequence[str] = ("database", "seq")) ->
     )
 
 
+def broker_changes(
+    rows: DataFrame, keys: dict[str, str], columns: dict[str, str], value: str = "value", partition: str = "partition",
+    offset: str = "offset", keep: Sequence[str] = (),
+) -> DataFrame:
+    """Records of a broker to the flat changes replay works on, in the order of the broker.
+
+    A key's changes share a partition, where the offset orders transactions and
+    ``pos`` the changes in one. Bad lines fail the job (``parse_envelopes``).
+    """
+    from ..sources.change_log import parse_envelopes
+
+    place = rows.withColumnsRenamed({partition: "_partition", offset: "_offset"})
+    parsed = parse_envelopes(place, value)
+    changes = decode_changes(parsed, ["database", "_partition", "_offset", *keep])
+    return flatten_changes(changes, keys, columns, F.struct("_offset", "pos"), keep=keep)
+
+
 def tag(df: DataFrame, database: str) -> DataFrame:
     return df.withColumn("database", F.lit(database))
 
@@ -151,19 +168,15 @@ def stands(c: str) -> Column:
 def apply_effect(base: DataFrame, effect: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """The table after ``net_effect``; an update of an absent row does nothing.
 
-    A full outer join shuffles the whole table. When the effect, measured, is
-    small enough to be broadcast, the table is passed through in place, and new
-    rows are the inserts whose key was not met.
+    Rows stay in place under a left join, whose smaller side adaptive execution
+    broadcasts by its measured size; new rows are the inserts whose key is not
+    in the table.
     """
     keys = list(keys)
     old = base.select(*keys, *[F.col(c).alias(f"_base_{c}") for c in columns], F.lit(True).alias("_in_base"))
     out = [*keys, *[final_value(c).alias(c) for c in columns]]
-    if not fits_broadcast(effect):
-        return old.join(effect, keys, "full_outer").filter(alive()).select(*out)
-    small = F.broadcast(effect)
-    kept = old.join(small, keys, "left").filter(alive()).select(*out)
-    met = base.select(*keys).join(F.broadcast(effect.select(*keys)), keys, "left_semi")
-    born = effect.filter(F.col("_reset_kind") == "insert").join(met, keys, "left_anti")
+    kept = old.join(effect, keys, "left").filter(alive()).select(*out)
+    born = effect.filter(F.col("_reset_kind") == "insert").join(base.select(*keys), keys, "left_anti")
     return kept.unionByName(born.select(*keys, *[F.when(F.col(f"_has_{c}"), F.col(f"_new_{c}")).alias(c) for c in columns]))
 
 
@@ -206,7 +219,6 @@ def replay_flat(
         moves.select(*[F.col(f"_old_{k}").alias(k) for k in keys])
         .unionByName(moves.select(*[F.col(f"_{k}").alias(k) for k in keys])).distinct()
     )
-    touched = broadcast_if_small(touched)
     # A change belongs to the touched part when the key it finds its row by does.
     finds = touched.toDF(*[f"_old_{k}" for k in keys])
     plain = flat.join(finds, finds.columns, "left_anti")
@@ -217,6 +229,13 @@ def replay_flat(
     return calm.unionByName(moved)
 
 
+def exact_text(node: str | Column) -> Column:
+    """A struct as text without loss: times to the microsecond."""
+    # JSON cuts times to milliseconds unless told otherwise.
+    form = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    return F.to_json(node, {"timestampFormat": form + "XXX", "timestampNTZFormat": form})
+
+
 def replay_moves(
     base: DataFrame, flat: DataFrame, keys: Sequence[str], columns: Sequence[str], block: Column | None = None,
 ) -> DataFrame:
@@ -269,8 +288,8 @@ def replay_moves(
         first.withColumn("start", F.lit(None).cast(flat.schema["_seq"].dataType)).select(
             node(keys, "start").alias("node"), F.lit("base").alias("type")))
     graph = links.withColumn("type", F.lit("arrival")).unionByName(others.withColumn("prev", F.lit(None).cast(links.schema["prev"].dataType)))
-    # A struct with a null field does not join on equality, so nodes go by a text form.
-    graph = cut_lineage(graph.select(F.to_json("node").alias("id"), F.to_json("prev").alias("prev"), "node", "type"))
+    # A struct with a null field does not join on equality, so nodes go by a text form that keeps every digit.
+    graph = cut_lineage(graph.select(exact_text("node").alias("id"), exact_text("prev").alias("prev"), "node", "type"))
     roots = list_roots(graph.select("id", "prev"), "id", "prev")
 
     kinds = graph.select(F.col("id").alias("root"), F.col("type").alias("root_type"), F.col("node").alias("root_node"))
@@ -290,7 +309,7 @@ def replay_moves(
         .filter(F.col("root_type").isin("insert", "base"))
     )
     # Values: the last listed over all changes of the chain.
-    ep = F.to_json(F.struct(*[F.col(f"_ep_{k}").alias(f"k{i}") for i, k in enumerate(keys)], F.col("_ep_start").alias("start")))
+    ep = exact_text(F.struct(*[F.col(f"_ep_{k}").alias(f"k{i}") for i, k in enumerate(keys)], F.col("_ep_start").alias("start")))
     member_roots = members.withColumn("id", ep).join(roots, "id").filter(F.col("_kind") != "delete")
     effect = net_effect(member_roots, keys, columns, group=["root"])
     old = base.select(*[F.col(k).alias(f"_root_{k}") for k in keys], *[F.col(c).alias(f"_base_{c}") for c in columns],

@@ -51,10 +51,10 @@ def unexpected_sessions(df: DataFrame, role: str = "usename", pattern: str = EXP
 
 
 def running(
-    df: DataFrame, start: str, as_of, text: str | None = None, n: int = 82, keep: Sequence[str] = (),
+    df: DataFrame, start: str, as_of, text: str | None = None, n: int | None = None, keep: Sequence[str] = (),
     condition: Column | None = None, name: str = "running_seconds",
 ) -> DataFrame:
-    """Elapsed whole seconds per row with the statement cut to ``n`` characters (``None`` keeps it whole).
+    """Elapsed whole seconds per row with the statement, whole or cut to ``n`` characters.
 
     The rows are not sorted here; ``ordering.order`` or ``ordering.top`` does that.
     """

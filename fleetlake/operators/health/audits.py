@@ -74,9 +74,10 @@ def class_drift(
     return desired.select(*on, wanted).join(actual.select(*on, have, status), list(on)).withColumn("result", verdict)
 
 
-def txid_age(df: DataFrame, age: str = "frozen_age", keep: Sequence[str] = ("datname",), top: int = 20) -> DataFrame:
-    """Databases or tables with the oldest transactions."""
-    return df.select(*keep, age).orderBy(F.col(age).desc(), *keep).limit(top)
+def txid_age(df: DataFrame, age: str = "frozen_age", keep: Sequence[str] = ("datname",), top: int | None = None) -> DataFrame:
+    """Databases or tables with the age of their transactions; with ``top`` the oldest ones, in order."""
+    out = df.select(*keep, age)
+    return out if top is None else out.orderBy(F.col(age).desc(), *keep).limit(top)
 
 
 def txid_limit(

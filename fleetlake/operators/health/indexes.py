@@ -12,14 +12,13 @@ from ..aggregates import table_traffic
 
 # Verdict texts.
 PRIORITIES = ["Minor Problem", "Major Problem", "Extreme Problem"]
-TOO_LARGE_TO_COUNT = "Exceeds 500 megs, too large to count in a view. For a count, count individually"
 
 
 def index_ratio(
     indexes: DataFrame, relations: DataFrame, on: Sequence[str] = ("relid",), index: str = "indexrelname",
-    index_size: str = "index_bytes", table_size: str = "table_bytes", top: int | None = 60,
+    index_size: str = "index_bytes", table_size: str = "table_bytes", top: int | None = None,
 ) -> DataFrame:
-    """Index size as a share of its table's, for the largest indexes."""
+    """Index size as a share of its table's; with ``top`` for the largest indexes, in order."""
     out = (
         indexes.select(*on, index, index_size)
         .join(relations.filter(F.col(table_size) > 0).select(*on, table_size), list(on))
@@ -37,6 +36,7 @@ def missing_index(
     stats: DataFrame, rule: str = "scan_gap", size: str = "table_bytes", seq: str = "seq_scan", idx: str = "idx_scan",
     live: str = "n_live_tup", schema: str = "schemaname", name: str = "relname", min_size: int | None = None,
     min_rows: int = 10000, min_seq: int | None = None, top: int | None = None, keys: Sequence[str] = (),
+    only_schema: str | None = None,
 ) -> DataFrame:
     """Tables read mostly without an index, by one of four rule sets.
 
@@ -46,8 +46,11 @@ def missing_index(
     ``scan_ratio``    share of full scans above 0.10 percent.
 
     The first two compare with a null scan count, so a table without any index
-    is left out there; ``two_percent`` counts null as zero.
+    is left out there; ``two_percent`` counts null as zero. ``only_schema``
+    keeps the tables of one schema.
     """
+    if only_schema is not None:
+        stats = stats.filter(F.col(schema) == only_schema)
     s, i, bytes_ = F.col(seq), F.col(idx), F.col(size)
     base = [*keys, schema, name]
     if rule == "positive_gap":
@@ -62,7 +65,6 @@ def missing_index(
         rows = stats.filter((s > i) & (s > (100 if min_seq is None else min_seq)) & (F.col(schema) != "pg_catalog"))
         out = rows.select(
             *base, F.concat_ws(".", schema, name).alias("table_in_trouble"), bytes_.alias("size_bytes"), seq, idx,
-            F.when(bytes_ > 500000000, F.lit(TOO_LARGE_TO_COUNT)).otherwise(F.lit("1")).alias("record_count"),
             severity(s - i, [500, 2500], PRIORITIES).alias("priority"),
         )
         order = [F.col("priority").desc(), s, *base]
@@ -124,7 +126,7 @@ def unused_indexes(
 def index_usage(
     tables: DataFrame, indexes: DataFrame, on: Sequence[str] = ("relid",), name: str = "relname",
     rows: str = "n_live_tup", table_size: str = "table_bytes", index: str = "indexrelname", size: str = "index_bytes",
-    unique: str = "is_unique", counters: dict[str, str] | None = None, top: int | None = 50,
+    unique: str = "is_unique", counters: dict[str, str] | None = None, top: int | None = None,
 ) -> DataFrame:
     """Every table with its indexes and their use; a table without index has one row."""
     counters = counters or {"idx_scan": "number_of_scans"}

@@ -34,7 +34,7 @@ def non_admin_databases(df: DataFrame, name: str = "datname", doomed: bool = Fal
 
 def table_sizes(
     df: DataFrame, part: str = "table", schema: str = "nspname", name: str = "relname", total: str = "total_bytes",
-    index: str = "index_bytes", toast: str = "toast_bytes", top: int | None = 30, keys: Sequence[str] = (),
+    index: str = "index_bytes", toast: str = "toast_bytes", top: int | None = None, keys: Sequence[str] = (),
 ) -> DataFrame:
     """Total, index, overflow and derived table size; the largest ``top`` by ``part``."""
     own = F.col(total) - F.col(index) - F.coalesce(F.col(toast), F.lit(0))

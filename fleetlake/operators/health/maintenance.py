@@ -18,7 +18,7 @@ def whole_percent(part: Column, whole: Column) -> Column:
 
 def dead_rows(
     stats: DataFrame, live: str = "n_live_tup", dead: str = "n_dead_tup", schema: str = "schemaname",
-    name: str = "relname", top: int | None = 30, guard: bool = False, keys: Sequence[str] = (),
+    name: str = "relname", top: int | None = None, guard: bool = False, keys: Sequence[str] = (),
 ) -> DataFrame:
     """Dead-row percentage and the clean-up statement of the tables with most dead rows.
 
@@ -36,17 +36,28 @@ def dead_rows(
 def maintenance_due(
     stats: DataFrame, kind: str = "vacuum", threshold: int = 50, scale: float = 0.2, options: str = "reloptions",
     live: str = "n_live_tup", dead: str = "n_dead_tup", keep: Sequence[str] = ("schemaname", "relname"),
+    settings: DataFrame | None = None, on: Sequence[str] = (), pages: str = "relpages",
 ) -> DataFrame:
-    """Tables whose dead rows exceed ``threshold + scale * rows``; a table's own options come first."""
+    """Tables whose dead rows exceed ``threshold + scale * rows``; a table's own options come first.
+
+    ``settings`` holds the servers' ``autovacuum_<kind>_threshold`` and
+    ``_scale_factor``, one row per ``on`` (one row in all without ``on``); they
+    take the place of the two arguments. The times of the last upkeep are shown
+    where the table has them. The limit is compared as it is and rounded for
+    display only.
+    """
     prefix = f"autovacuum_{kind}"
-    limit = (
-        option_or_default(options, f"{prefix}_threshold", threshold)
-        + option_or_default(options, f"{prefix}_scale_factor", scale) * F.col(live)
-    )
-    return (
-        stats.select(*keep, live, dead, F.round(limit, 4).alias("threshold"))
-        .withColumn("due", F.when(F.col("threshold") < F.col(dead), F.lit("yes")))
-    )
+    names = [f"{prefix}_threshold", f"{prefix}_scale_factor"]
+    rows, defaults = stats, [F.lit(threshold), F.lit(scale)]
+    if settings is not None:
+        own = settings.select(*on, *[F.col(n).alias(f"_{n}") for n in names])
+        rows = stats.join(own, list(on), "left") if on else stats.crossJoin(F.broadcast(own.limit(1)))
+        defaults = [F.coalesce(F.col(f"_{n}"), d) for n, d in zip(names, defaults)]
+    limit = option_or_default(options, names[0], defaults[0]) + option_or_default(options, names[1], defaults[1]) * F.col(live)
+    last = [c for c in (f"last_{kind}", f"last_auto{kind}") if c in stats.columns]
+    return rows.select(
+        *keep, *last, live, dead, F.round(limit, 4).alias("threshold"), F.when(limit < F.col(dead), F.lit("yes")).alias("due"),
+        F.round(F.try_divide(F.col(live).cast("double"), F.nullif(F.col(pages), F.lit(0)).cast("double")), 2).alias("rows_per_page"))
 
 
 def vacuum_progress(

@@ -55,12 +55,12 @@ def subscription_status(
     name: str = "subname", enabled: str = "subenabled", slot: str = "subslotname", received: str = "received_lsn",
     keep: Sequence[str] = (), tables: DataFrame | None = None, table: str = "relname",
 ) -> DataFrame:
-    """State, slot and received position per subscription; ``tables`` adds its table names, page by page."""
+    """State, slot and received position per subscription; ``tables`` adds a row per table name with its ``place``."""
     out = subscriptions.join(stats, list(on)).select(
         *on, name, F.when(F.col(enabled), F.lit("replicating")).otherwise(F.lit("disabled")).alias("state"),
         slot, received, *keep)
     if tables is None:
         return out
-    from ..aggregates import distinct_concat
+    from ..aggregates import ranked_names
 
-    return out.join(distinct_concat(tables, on, table, out="tables"), list(on), "left")
+    return out.join(ranked_names(tables, on, table), list(on), "left")

@@ -58,12 +58,27 @@ def with_constants(df: DataFrame, **constants) -> DataFrame:
     return df.withColumns({k: F.lit(v) for k, v in constants.items()})
 
 
+RANGE_STEP = 4096
+
+
 def expand_range(df: DataFrame, lo: str | Column, hi: str | Column, name: str = "i") -> DataFrame:
-    """One row per integer from ``lo`` to ``hi``; none when ``hi`` is below ``lo``."""
-    first = F.col(lo) if isinstance(lo, str) else lo
-    last = F.col(hi) if isinstance(hi, str) else hi
-    series = F.sequence(first.cast("bigint"), last.cast("bigint"))
-    return df.filter(first <= last).withColumn(name, F.explode(series))
+    """One row per integer from ``lo`` to ``hi``; none when ``hi`` is below ``lo``.
+
+    A range is cut into up to RANGE_STEP equal parts, each of those again, and
+    so on until a part fits one array: no cell holds more than RANGE_STEP
+    numbers. The parts of a long range are dealt to all tasks.
+    """
+    first = (F.col(lo) if isinstance(lo, str) else lo).cast("bigint")
+    last = (F.col(hi) if isinstance(hi, str) else hi).cast("bigint")
+    out = df.withColumns({"_lo": first, "_hi": last}).filter("_lo <= _hi")
+    for width in (RANGE_STEP ** 4, RANGE_STEP ** 3, RANGE_STEP ** 2, RANGE_STEP):
+        # Most ranges are shorter than a part and stay one row.
+        parts = F.expr(f"sequence(_lo, _hi, CAST(least(greatest(_hi - _lo, 1), {width}) AS BIGINT))")
+        begins = F.when(F.col("_hi") - F.col("_lo") < width, F.array("_lo")).otherwise(parts)
+        out = out.withColumn("_from", F.explode(begins)).withColumn(
+            "_to", F.when(F.col("_hi") - F.col("_lo") < width, F.col("_hi")).otherwise(F.least(F.col("_from") + (width - 1), F.col("_hi"))))
+        out = out.drop("_lo", "_hi").withColumnsRenamed({"_from": "_lo", "_to": "_hi"})
+    return out.withColumn(name, F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
 
 
 def fk_map(constraints: DataFrame, key_usage: DataFrame, column_usage: DataFrame) -> DataFrame:

@@ -6,12 +6,13 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import as_time, int_div
-from .blocks import int_block, row_numbers, running_sum, time_block
+from ..session import cut_lineage
+from .blocks import int_block, row_numbers, running_sum, with_blocks
 
 HUGE_TABLE_ROWS = 10_000_000
 
@@ -22,16 +23,6 @@ class Purge(NamedTuple):
     plan: DataFrame
 
 
-def key_block(df: DataFrame, key: str, span: int) -> Column:
-    """Blocks for an ordered key: a span of integers, or a day of dates and times."""
-    kind = df.schema[key].dataType
-    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return int_block(F.col(key), span)
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return time_block(F.col(key))
-    raise TypeError(f"{key}: a purge key must be an integer, a date or a timestamp, not {kind.simpleString()}")
-
-
 def purge(
     df: DataFrame, where: Column, key: str | Sequence[str] | None, limit: int = 1000, force: bool = False,
     span: int = 1 << 20,
@@ -39,13 +30,15 @@ def purge(
     """Split rows by a predicate and deal the purged ones into batches of ``limit`` in key order.
 
     A row whose predicate is null is kept. Without a single-column key the call
-    is refused, unless ``force`` allows batches of whole row tuples.
+    is refused, unless ``force`` allows batches of whole row tuples. The purged
+    keys are written out and numbered in blocks of about ``span`` rows.
     """
     # The bare predicate can reach the scan; a null one is not true and so stays with the kept rows.
     kept, purged = df.filter(~where | where.isNull()), df.filter(where)
     cols = [key] if isinstance(key, str) else list(key or [])
     if len(cols) == 1:
-        numbered = row_numbers(purged.select(*cols), cols[0], block=key_block(df, cols[0], span))
+        keys = with_blocks(cut_lineage(purged.select(*cols)), cols[0], span)
+        numbered = row_numbers(keys, cols[0], block=F.col("_blk"))
         batch = int_div(F.col("row_no") - 1, limit) + 1
         plan = numbered.select(*cols, batch.alias("batch"), F.lit(1).cast("bigint").alias("rows"))
         return Purge(kept, purged, plan)
@@ -60,52 +53,25 @@ def purge(
 def purge_progress(plan: DataFrame, span: int = 1 << 16) -> DataFrame:
     """Rows per batch and the total after it."""
     sizes = plan.groupBy("batch").agg(F.sum("rows").alias("rows"))
+    # Batches are numbered without gaps, so equal spans hold equal numbers of rows.
     return running_sum(sizes, "batch", "rows", block=int_block(F.col("batch"), span))
 
 
-def chunk_plan(spark: SparkSession, lo: int, hi: int, step: int = 200, jobs: int = 2) -> DataFrame:
-    """Inclusive key stripes ``[lo + k*(step+1), +step]`` up to ``hi``, dealt to workers ``k mod jobs``."""
-    count = max(0, (hi - lo) // (step + 1) + 1) if hi >= lo else 0
-    first = F.lit(lo).cast("bigint") + F.col("id") * (step + 1)
-    return spark.range(count).select(
-        F.col("id").alias("chunk"), first.alias("begin"),
-        F.least(first + step, F.lit(hi).cast("bigint")).alias("end"), (F.col("id") % jobs).alias("worker"))
-
-
-def chunk_of(key: str | Column, lo: int, step: int = 200) -> Column:
-    """Number of the stripe that holds a key."""
-    return int_div((F.col(key) if isinstance(key, str) else key).cast("bigint") - F.lit(lo), step + 1)
-
-
-def step_seconds(rows: Column, lo: Column, hi: Column, data_type: str = "timestamp") -> Column:
-    """Width of a time stripe from the row density between two epoch seconds.
-
-    Fixed rules: a day for dates; 15 s above 10 000 rows a second; else the
-    density times 30, 60, 120, 240 or 1000 by table size; 43 200 s below ten million rows.
-    """
-    if data_type == "date":
-        return F.lit(86400).cast("bigint")
-    density = F.try_divide(rows.cast("double"), (hi - lo).cast("double"))
-    factor = (
-        F.when(rows > 1_000_000_000, F.lit(30)).when(rows > 500_000_000, F.lit(60)).when(rows > 100_000_000, F.lit(120))
-        .when(rows > 50_000_000, F.lit(240)).when(rows > 10_000_000, F.lit(1000))
-    )
-    return (
-        F.when(F.bround(density, 0) > 10000, F.lit(15))
-        .when(factor.isNotNull(), F.bround(density * factor, 0)).otherwise(F.lit(43200)).cast("bigint")
-    )
-
-
 def copy_range(
     src: DataFrame, dst: DataFrame, key: str, lo, hi, unique: Sequence[str],
 ) -> DataFrame:
     """Rows of ``src`` in ``[lo, hi]`` that ``dst`` does not hold yet, one per unique key.
 
+    As in a database, keys with a null are never equal: such rows are all copied.
     When ``key`` is part of the unique key the target is read in the same range only.
     """
     span = F.col(key).between(F.lit(lo), F.lit(hi))
     present = dst.filter(span) if key in unique else dst
-    return src.filter(span).dropDuplicates(list(unique)).join(present.select(*unique), list(unique), "left_anti")
+    rows, whole = src.filter(span), F.lit(True)
+    for c in unique:
+        whole = whole & F.col(c).isNotNull()
+    once = rows.filter(whole).dropDuplicates(list(unique)).join(present.select(*unique), list(unique), "left_anti").select(*src.columns)
+    return once.unionByName(rows.filter(~whole))
 
 
 def resume_point(progress: DataFrame, value: str = "value", by: Sequence[str] = ()) -> DataFrame:
@@ -113,10 +79,13 @@ def resume_point(progress: DataFrame, value: str = "value", by: Sequence[str] =
     return (progress.groupBy(*by) if by else progress).agg(F.min(value).alias("resume_from"))
 
 
-def widen_schema(df: DataFrame, rows: int, threshold: int = HUGE_TABLE_ROWS) -> DataFrame:
-    """The table with its integers as bigints when it has more than ``threshold`` rows."""
-    if rows <= threshold:
-        return df
+def huge_tables(counts: DataFrame, rows: str = "row_count", threshold: int = HUGE_TABLE_ROWS) -> DataFrame:
+    """The tables of a count report with more than ``threshold`` rows: those whose integers should be widened."""
+    return counts.filter(F.col(rows) > threshold)
+
+
+def widen_schema(df: DataFrame) -> DataFrame:
+    """The table with its integers as bigints; ``huge_tables`` says which tables need it."""
     return df.select(*[
         F.col(f.name).cast("bigint").alias(f.name) if isinstance(f.dataType, T.IntegerType) else F.col(f.name)
         for f in df.schema.fields
@@ -140,7 +109,9 @@ def compare_counts(a: DataFrame, b: DataFrame, content: bool = False) -> DataFra
     def summary(df: DataFrame, side: str) -> DataFrame:
         aggs = [F.count(F.lit(1)).alias("n")]
         if content:
-            aggs.append(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h"))
+            # A null adds nothing to a hash of its own, so its place is hashed beside the values.
+            nulls = [F.col(c).isNull() for c in df.columns]
+            aggs.append(F.sum(F.xxhash64(*nulls, *df.columns).cast("decimal(38,0)")).alias("h"))
         return df.agg(*aggs).withColumn("side", F.lit(side))
 
     both = summary(a, "source").unionByName(summary(b, "target"))

@@ -1,12 +1,10 @@
-"""Gates, trends and the adaptive throttle over instance metrics."""
+"""Gates and trends over instance metrics."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import COPY_LIMITS, METRICS, MISSING_METRIC
@@ -118,119 +116,3 @@ def trend_verdict(df: DataFrame, limits: dict[str, float] | None = None, name: s
         idle = idle & below(m, f)
     return df.withColumn(name, F.when(rising, F.lit("rising")).when(falling, F.lit("falling"))
                          .when(idle, F.lit("idle")).otherwise(F.lit("steady")))
-
-
-# The throttle counts in units of 0.0001 seconds, the precision waits are rounded to.
-UNIT = 10000
-CAP = 60 * UNIT
-CEILING = 240 * UNIT
-HOLD, RAISE, LOWER = 0, 1, 2
-
-
-def raise_wait(w: int, compat: bool = False) -> int:
-    """Below 0.001 to 0.01; below 60 doubled; above 60 to 60. At exactly 0.001 and 60, ``compat`` halves."""
-    if w < 10:
-        return 100
-    if w > CAP:
-        return CAP
-    if compat and w in (10, CAP):
-        return lower_wait(w)
-    return w if w == CAP else 2 * w
-
-
-def lower_wait(w: int) -> int:
-    return CAP if w > CAP else (w + 1) // 2
-
-
-def throttle_step(w: int, by_trend: int, by_gate: int, compat: bool = False) -> int:
-    """One reading: the trend's change, the ceiling of 240 s, then the gate's change."""
-    if by_trend == RAISE:
-        w = raise_wait(w, compat)
-    elif by_trend == LOWER and w > 1:
-        w = lower_wait(w)
-    w = min(w, CEILING)
-    if by_gate == RAISE:
-        return raise_wait(w, compat)
-    return lower_wait(w) if by_gate == LOWER else w
-
-
-def throttle_table(start: int, compat: bool = False) -> tuple[list[int], np.ndarray]:
-    """All waits reachable from ``start`` and, for the nine kinds of reading, the wait each leads to."""
-    states, place, i = [start], {start: 0}, 0
-    rows: list[list[int]] = []
-    while i < len(states):
-        row = []
-        for op in range(9):
-            after = throttle_step(states[i], op // 3, op % 3, compat)
-            if after not in place:
-                place[after] = len(states)
-                states.append(after)
-            row.append(place[after])
-        rows.append(row)
-        i += 1
-    return states, np.array(rows, dtype=np.int32).T.copy()
-
-
-def throttle_series(
-    df: DataFrame, by: Sequence[str] = ("instance",), ts: str = "ts", gate: str = "gate_open", relaxed: str = "relaxed",
-    verdict: str | None = None, start: float = 0.2, unit: str = "day", compat: bool = False,
-) -> DataFrame:
-    """The wait per transaction after every reading, carried over time.
-
-    The gate closing raises the wait, an open gate with ample headroom
-    (``relaxed``) lowers it; ``verdict`` adds the trend's share. Few waits can be
-    reached from the start, so a block of readings is a small table from the
-    wait before it to the wait after it. Blocks are reduced to these tables side
-    by side, the tables of an instance are chained, and every block is replayed
-    from its own start.
-    """
-    by = list(by)
-    states, moves = throttle_table(round(start * UNIT), compat)
-    seconds = np.array(states, dtype=np.float64) / UNIT
-    looked = with_halo(df.select(*by, ts, gate, relaxed, *([verdict] if verdict else [])), by, ts, time_block(F.col(ts), unit), 1)
-    was_open = F.coalesce(F.lag(gate).over(Window.partitionBy(*by, "_block").orderBy(ts)), F.lit(True))
-    by_gate = (
-        F.when(~F.col(gate) & F.col("_was_open"), F.lit(RAISE)).when(F.col(gate) & F.col(relaxed), F.lit(LOWER))
-        .otherwise(F.lit(HOLD))
-    )
-    by_trend = F.lit(HOLD) if verdict is None else (
-        F.when(F.col(verdict) == "rising", F.lit(RAISE)).when(F.col(verdict).isin("falling", "idle"), F.lit(LOWER))
-        .otherwise(F.lit(HOLD))
-    )
-    coded = (
-        looked.withColumn("_was_open", was_open).filter(~F.col("_halo"))
-        .select(*by, "_block", ts, (by_trend * 3 + by_gate).alias("_op"))
-    )
-    fields = coded.select(*by, "_block").schema
-    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    key_cols = [*by, "_block"]
-
-    def reduce_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        now = np.arange(len(states), dtype=np.int32)
-        for op in pdf.sort_values(ts)["_op"].to_numpy():
-            now = moves[op][now]
-        head = pdf.iloc[:1][key_cols].copy()
-        head["_table"] = [now.tolist()]
-        return head
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values("_block").reset_index(drop=True)
-        at, starts = 0, []
-        for table in ordered["_table"]:
-            starts.append(at)
-            at = int(table[at])
-        return ordered[key_cols].assign(_start=starts)
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(ts).reset_index(drop=True)
-        at, after = int(ordered["_start"].iloc[0]), []
-        for op in ordered["_op"].to_numpy():
-            at = moves[op][at]
-            after.append(at)
-        return ordered[[*by, ts]].assign(wait=seconds[np.array(after)])
-
-    tables = coded.groupBy(*key_cols).applyInPandas(reduce_block, f"{key_ddl}, _table array<int>")
-    starts = tables.groupBy(*by).applyInPandas(chain, f"{key_ddl}, _start int")
-    out = coded.select(*by, ts).schema
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", wait double"
-    return coded.join(starts, key_cols).groupBy(*key_cols).applyInPandas(replay, ddl)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import ceil, log2
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -17,28 +17,28 @@ def follow(nodes: DataFrame, by: Sequence[str], node: str, prev: str) -> DataFra
     Every round joins each unfinished node with the node its pointer names and
     adds up the distances, so a chain of n nodes takes log2(n) rounds. A node
     whose chain has no head (a cycle, or a missing node) is not reached and not
-    returned. Each round is written out, so a lost executor does not repeat the
-    earlier ones.
+    returned. A round writes out the open nodes and those it finished; the
+    finished ones of earlier rounds stay in their files.
     """
     by = list(by)
-    state = nodes.select(
+    state = cut_lineage(nodes.select(
         *by, F.col(node).alias("_node"), F.col(prev).alias("_ptr"), F.col(node).alias("_head"),
-        F.lit(1).cast("bigint").alias("_dist"))
-    state = cut_lineage(state)
+        F.lit(1).cast("bigint").alias("_dist")))
     total, open_ = state.agg(F.count(F.lit(1)), F.count("_ptr")).first()
     rounds = ceil(log2(total + 1)) + 1 if total else 0
+    done, left = state.filter(F.col("_ptr").isNull()), state.filter(F.col("_ptr").isNotNull())
     while open_ and rounds:
-        hop = state.select(*by, F.col("_node").alias("_ptr"), F.col("_ptr").alias("_next"), F.col("_head").alias("_far"),
-                           F.col("_dist").alias("_more"))
-        moved = (
-            state.filter(F.col("_ptr").isNotNull()).drop("_head").join(hop, [*by, "_ptr"])
+        hop = done.unionByName(left).select(
+            *by, F.col("_node").alias("_ptr"), F.col("_ptr").alias("_next"), F.col("_head").alias("_far"), F.col("_dist").alias("_more"))
+        moved = cut_lineage(
+            left.drop("_head").join(hop, [*by, "_ptr"])
             .select(*by, "_node", F.col("_next").alias("_ptr"), F.col("_far").alias("_head"),
                     (F.col("_dist") + F.col("_more")).alias("_dist"))
         )
-        state = cut_lineage(state.filter(F.col("_ptr").isNull()).unionByName(moved))
-        open_ = state.agg(F.count("_ptr")).first()[0]
+        done, left = done.unionByName(moved.filter(F.col("_ptr").isNull())), moved.filter(F.col("_ptr").isNotNull())
+        open_ = left.agg(F.count("_ptr")).first()[0]
         rounds -= 1
-    return state.filter(F.col("_ptr").isNull())
+    return done
 
 
 def list_positions(nodes: DataFrame, by: Sequence[str], node: str, prev: str, name: str = "item") -> DataFrame:
@@ -49,52 +49,3 @@ def list_positions(nodes: DataFrame, by: Sequence[str], node: str, prev: str, na
 def list_roots(nodes: DataFrame, node: str, prev: str, by: Sequence[str] = (), name: str = "root") -> DataFrame:
     """Head of the linked list each node belongs to."""
     return follow(nodes, by, node, prev).select(*by, F.col("_node").alias(node), F.col("_head").alias(name))
-
-
-def walk(
-    pages: DataFrame, by: Sequence[str] = ("idx",), node: str = "blkno", prev: str = "btpo_prev",
-    level: str = "btpo", root_level: str | None = None, head=0,
-) -> DataFrame:
-    """Level walk of linked pages from the root: each page with its place in its level.
-
-    ``head`` is the value of ``prev`` that marks a leftmost page. A level is
-    reached when every level between it and the root has a leftmost page. The
-    root level is the greatest one, or the column ``root_level``.
-    """
-    by = list(by)
-    linked = pages.withColumn("_prev", F.when(F.col(prev) != F.lit(head), F.col(prev)))
-    top = F.col(root_level) if root_level else F.col(level)
-    heads = linked.filter(F.col("_prev").isNull()).groupBy(*by, F.col(level).alias("_level")).agg(F.max(top).alias("_top"))
-    # A tree has few levels, so this window sorts a handful of rows per tree.
-    down = Window.partitionBy(*by).orderBy(F.col("_level").desc())
-    root = F.max("_top").over(Window.partitionBy(*by))
-    reached = (
-        heads.withColumn("_root", root).filter(F.col("_level") <= F.col("_root"))
-        .withColumn("_r", F.row_number().over(down))
-        .filter(F.col("_root") - F.col("_level") + 1 == F.col("_r"))
-        .select(*by, F.col("_level").alias(level))
-    )
-    places = list_positions(linked, by, node, "_prev")
-    return pages.join(reached, [*by, level], "left_semi").join(places, [*by, node])
-
-
-def page_items(
-    walked: DataFrame, items: DataFrame, by: Sequence[str] = ("idx",), node: str = "blkno", next_: str = "btpo_next",
-) -> DataFrame:
-    """Distinct keys and pointers per walked page, and the high key of pages that have a right neighbour.
-
-    ``items`` has ``itemoffset``, ``data`` and ``block``; on a page with a right
-    neighbour the first item is the high key and not counted.
-    """
-    on = [*by, node]
-    pages = walked.select(*on, F.col(next_).alias("_next"))
-    counted = (F.col("_next") == 0) | (F.col("itemoffset") > 1)
-    per_page = items.join(pages, on).groupBy(*on).agg(
-        F.countDistinct(F.when(counted, F.col("data"))).alias("distinct_real_item_keys"),
-        F.countDistinct(F.when(counted, F.col("block"))).alias("distinct_block_pointers"),
-        F.min_by("data", "itemoffset").alias("_first"),
-    )
-    return (
-        walked.join(per_page, on, "left")
-        .withColumn("highkey", F.when(F.col(next_) != 0, F.col("_first"))).drop("_first")
-    )

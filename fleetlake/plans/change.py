@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import changes as C
+from ..operators.windows import latest
 from ..sources.change_log import parse_envelopes
 from ..streaming import apply_stream, change_rate, current_state, deduplicated
 from ..streaming.apply import write_base
@@ -99,6 +100,26 @@ def _(t):
     return C.replay(users(t), decoded(t), KEYS, COLUMNS, as_of=T, ts="ts")
 
 
+@query("cdc6_replay_log", REPLAY.format(cond="true", base="true"))
+def _(t):
+    # The log written from rows in no order, over several files of a slice, then read back and replayed.
+    from ..sources import read_change_log, write_change_log
+    from ..functions import slice_name
+
+    path = scratch(t.spark, "replaylog")
+    lines = envelope_lines(t).select("value", "seq", slice_name("ts", 86400).alias("slice")).repartition(5, F.hash("seq"))
+    for part in (0, 1):
+        write_change_log(lines.filter(F.pmod(F.hash("seq"), F.lit(2)) == part), path)
+    return C.replay(users(t), C.decode_changes(read_change_log(t.spark, path), ["database", "seq"]), KEYS, COLUMNS)
+
+
+@query("cdc6_broker_changes", REPLAY.format(cond="true", base="true"))
+def _(t):
+    # Records as a broker hands them out: a partition by key, an offset within it.
+    rows = envelope_lines(t).select("value", F.lit(0).alias("partition"), F.col("seq").alias("offset"))
+    return C.replay_flat(users(t), C.broker_changes(rows, KEYS, COLUMNS), ["key"], ["label", "amount"], block=F.col("_seq._offset") - F.col("_seq._offset") % 4096)
+
+
 MOVES = """
     WITH RECURSIVE x AS (SELECT l_orderkey AS seq, l_partkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_quantity, l_suppkey, l_extendedprice) AS r FROM lineitem),
     e AS (SELECT seq, l_partkey AS part, l_quantity AS q FROM x WHERE r = 1),
@@ -179,9 +200,11 @@ def _(t):
     path = scratch(t.spark, "rate")
     rate = change_rate(changes_stream(t).withColumnRenamed("table_name", "table"), "2 hours", "ts", delay="1 hour")
 
-    def save(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out")
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
 
-    rate.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{path}/checkpoint").trigger(
+    # Only counts that changed leave a batch, and the watermark ends their state.
+    rate.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{path}/checkpoint").trigger(
         availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{path}/out").select(epoch_seconds("start").alias("start_epoch"), "database", "table", "kind", "changes")
+    last = latest(t.spark.read.parquet(f"{path}/out"), ["start", "database", "table", "kind"], "batch")
+    return last.select(epoch_seconds("start").alias("start_epoch"), "database", "table", "kind", "changes")

@@ -19,22 +19,31 @@ from .shapes import AS_OF
 
 
 @query("src1_land_snapshot", """
-    SELECT 'inst' || CAST(r AS STRING) AS instance, 'app' AS database, o_orderpriority, count(*) AS n
-    FROM orders, (VALUES (0), (1), (2)) v(r) WHERE o_orderkey % 3 = r GROUP BY ALL""")
+    SELECT 'inst' || CAST(o_orderkey % 3 AS STRING) AS instance, 'app' AS database, o_orderpriority, o_orderkey, o_orderstatus = 'F' AS finished
+    FROM orders WHERE o_totalprice > 1000
+    UNION ALL SELECT 'inst3', 'app', 'failed', NULL, NULL""")
 def _(t):
-    targets = [{"instance": f"inst{i}", "database": "app", "rest": i} for i in range(3)]
+    targets = [{"instance": f"inst{i}", "database": "app", "rest": i} for i in range(4)]
     path = scratch(t.spark, "snapshot")
+    view = "SELECT o_orderpriority, o_orderkey, o_orderstatus = 'F' AS finished FROM {orders} WHERE o_totalprice > 1000"
 
     def reader(spark, target, view_sql):
-        return t.orders.filter(F.col("o_orderkey") % 3 == target["rest"]).select("o_orderkey", view_sql)
+        if target["rest"] == 3:
+            raise ConnectionError("no route")
+        return spark.sql(view_sql, orders=t.orders.filter(F.col("o_orderkey") % 3 == target["rest"]))
 
-    land_snapshot(t.spark, targets, "o_orderpriority", AS_OF, path, reader, batch=2)
-    return t.spark.read.parquet(path).groupBy("instance", "database", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    # The second landing of the run replaces the first.
+    land_snapshot(t.spark, targets[:2], view, AS_OF, path, reader, batch=2)
+    failed = land_snapshot(t.spark, targets, view, AS_OF, path, reader, batch=2)
+    columns = ["instance", "database", "o_orderpriority", "o_orderkey", "finished"]
+    return t.spark.read.parquet(path).select(*columns).unionByName(
+        failed.select("instance", "database", F.lit("failed").alias("o_orderpriority")), allowMissingColumns=True)
 
 
 def sliced_lines(t):
     from ..functions import slice_name
 
+    # A transaction's place in the log is part of what is written.
     return envelope_lines(t).select("value", "seq", slice_name("ts", 43200).alias("slice"))
 
 

@@ -39,13 +39,42 @@ TABLE_SIZES = """SELECT t.schemaname, t.relid, t.relname, t.table_bytes + coales
            {size_sql('index_bytes')} AS index_size, {size_sql('toast_bytes')} AS toast_size, {size_sql('table_bytes')} AS table_size
     FROM d ORDER BY total_bytes DESC, schemaname, relname, relid LIMIT 30""")
 def _(t):
-    return H.table_sizes(t.sql(TABLE_SIZES), "total", schema="schemaname", keys=["relid"])
+    return H.table_sizes(t.sql(TABLE_SIZES), "total", schema="schemaname", top=30, keys=["relid"])
+
+
+ALL_SIZES = f"""
+    WITH s AS ({TABLE_SIZES}), d AS (SELECT *, total_bytes - index_bytes - coalesce(toast_bytes, 0) AS table_bytes FROM s)
+    SELECT relid, schemaname, relname, total_bytes, index_bytes, toast_bytes, table_bytes, {size_sql('total_bytes')} AS total_size,
+           {size_sql('index_bytes')} AS index_size, {size_sql('toast_bytes')} AS toast_size, {size_sql('table_bytes')} AS table_size FROM d"""
+
+
+@query("hlt2_all_table_sizes", ALL_SIZES)
+def _(t):
+    return H.table_sizes(t.sql(TABLE_SIZES), schema="schemaname", keys=["relid"])
+
+
+@query("hlt2_toast_sizes", ALL_SIZES + " ORDER BY toast_bytes DESC NULLS LAST, schemaname, relname, relid LIMIT 25")
+def _(t):
+    return H.table_sizes(t.sql(TABLE_SIZES), "toast", schema="schemaname", top=25, keys=["relid"])
+
+
+@query("hlt2_index_sizes", ALL_SIZES + " ORDER BY index_bytes DESC NULLS LAST, schemaname, relname, relid LIMIT 25")
+def _(t):
+    return H.table_sizes(t.sql(TABLE_SIZES), "index", schema="schemaname", top=25, keys=["relid"])
 
 
 @query("hlt3_index_ratio", f"""
     SELECT i.relid, i.indexrelname, floor(100.0::DOUBLE * i.index_bytes / t.table_bytes) / 100.0::DOUBLE AS index_ratio, i.index_bytes,
            {size_sql('i.index_bytes')} AS index_size, {size_sql('t.table_bytes')} AS table_size
     FROM v_indexes i JOIN v_tables t ON i.relid = t.relid WHERE t.table_bytes > 0 ORDER BY i.index_bytes DESC, i.indexrelname, i.relid LIMIT 60""")
+def _(t):
+    return H.index_ratio(t.v_indexes, t.v_tables, top=60)
+
+
+@query("hlt3_all_index_ratio", f"""
+    SELECT i.relid, i.indexrelname, floor(100.0::DOUBLE * i.index_bytes / t.table_bytes) / 100.0::DOUBLE AS index_ratio, i.index_bytes,
+           {size_sql('i.index_bytes')} AS index_size, {size_sql('t.table_bytes')} AS table_size
+    FROM v_indexes i JOIN v_tables t ON i.relid = t.relid WHERE t.table_bytes > 0""")
 def _(t):
     return H.index_ratio(t.v_indexes, t.v_tables)
 
@@ -76,23 +105,52 @@ def _(t):
     SELECT schemaname, relname, n_live_tup, n_dead_tup, (n_dead_tup * 100) // n_live_tup AS pct,
            concat('VACUUM (VERBOSE,ANALYZE) ', schemaname, '.', relname, ';') AS vacuum
     FROM v_tables WHERE n_live_tup > 0 ORDER BY n_dead_tup DESC, schemaname, relname LIMIT 30""")
+def _(t):
+    return H.dead_rows(t.v_tables, top=30)
+
+
+@query("hlt5_all_dead_rows", """
+    SELECT schemaname, relname, n_live_tup, n_dead_tup, (n_dead_tup * 100) // n_live_tup AS pct,
+           concat('VACUUM (VERBOSE,ANALYZE) ', schemaname, '.', relname, ';') AS vacuum FROM v_tables WHERE n_live_tup > 0""")
 def _(t):
     return H.dead_rows(t.v_tables)
 
 
-DUE = """SELECT schemaname, relname, n_live_tup, n_dead_tup,
-    round(CAST(coalesce(nullif(regexp_extract(reloptions, 'autovacuum_{0}_threshold=([0-9.]+)', 1), ''), '4') AS DOUBLE)
-        + CAST(coalesce(nullif(regexp_extract(reloptions, 'autovacuum_{0}_scale_factor=([0-9.]+)', 1), ''), '0.2') AS DOUBLE) * n_live_tup, 4) AS threshold FROM v_tables"""
+DUE = """SELECT schemaname, relname, {1}, n_live_tup, n_dead_tup,
+    round(CAST(coalesce(nullif(regexp_extract(reloptions, 'autovacuum_{0}_threshold=([0-9.]+)', 1), ''), '{2}') AS DOUBLE)
+        + CAST(coalesce(nullif(regexp_extract(reloptions, 'autovacuum_{0}_scale_factor=([0-9.]+)', 1), ''), '{3}') AS DOUBLE) * n_live_tup, 4) AS threshold,
+    CASE WHEN CAST(coalesce(nullif(regexp_extract(reloptions, 'autovacuum_{0}_threshold=([0-9.]+)', 1), ''), '{2}') AS DOUBLE)
+        + CAST(coalesce(nullif(regexp_extract(reloptions, 'autovacuum_{0}_scale_factor=([0-9.]+)', 1), ''), '{3}') AS DOUBLE) * n_live_tup < n_dead_tup THEN 'yes' END AS due,
+    round(CAST(n_live_tup AS DOUBLE) / nullif(relpages, 0), 2) AS rows_per_page
+    FROM (SELECT *, table_bytes // 8192 AS relpages, strftime(TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (relid % 1000) HOUR, '%Y-%m-%d %H:%M') AS seen,
+                 regexp_replace(reloptions, 'vacuum_', '{0}_', 'g') AS own FROM v_tables)"""
+
 
+def upkeep(t, kind: str):
+    """The tables with pages and the times of their last upkeep; the options name the kind."""
+    last = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, CAST(relid % 1000 AS INT))")
+    return t.v_tables.withColumns({"relpages": F.floor(F.col("table_bytes") / 8192).cast("bigint"), f"last_{kind}": last, f"last_auto{kind}": F.lit(None).cast("timestamp_ntz")})
 
-@query("hlt6_vacuum_due", f"SELECT *, CASE WHEN threshold < n_dead_tup THEN 'yes' END AS due FROM ({DUE.format('vacuum')})")
+
+def shown_upkeep(df, kind: str):
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm") for c in (f"last_{kind}", f"last_auto{kind}")})
+
+
+VACUUM_DUE = DUE.format("vacuum", "seen AS last_vacuum, CAST(NULL AS VARCHAR) AS last_autovacuum", "4", "0.2")
+ANALYZE_DUE = DUE.format("analyze", "seen AS last_analyze, CAST(NULL AS VARCHAR) AS last_autoanalyze", "2", "0.3").replace("(reloptions, 'autovacuum_analyze", "(replace(reloptions, 'autovacuum_vacuum', 'autovacuum_analyze'), 'autovacuum_analyze")
+
+
+@query("hlt6_vacuum_due", VACUUM_DUE)
 def _(t):
-    return H.maintenance_due(t.v_tables, "vacuum", 4, 0.2)
+    return shown_upkeep(H.maintenance_due(upkeep(t, "vacuum"), "vacuum", 4, 0.2), "vacuum")
 
 
-@query("hlt6_analyze_due", f"SELECT *, CASE WHEN threshold < n_dead_tup THEN 'yes' END AS due FROM ({DUE.format('analyze')})")
+@query("hlt6_analyze_due", ANALYZE_DUE)
 def _(t):
-    return H.maintenance_due(t.v_tables, "analyze", 4, 0.2)
+    # The server's settings as a frame, and every fifth table with options of its own.
+    settings = t.spark.sql("SELECT 2 AS autovacuum_analyze_threshold, 0.3D AS autovacuum_analyze_scale_factor")
+    tables = upkeep(t, "analyze").withColumn("reloptions", F.replace("reloptions", F.lit("autovacuum_vacuum"), F.lit("autovacuum_analyze")))
+    return shown_upkeep(H.maintenance_due(tables, "analyze", settings=settings), "analyze")
 
 
 @query("hlt7_vacuum_progress", """
@@ -114,9 +172,16 @@ def _(t):
     return H.missing_index(t.v_tables, "positive_gap", top=15)
 
 
+@query("hlt8_one_schema", """
+    SELECT schemaname, relname, seq_scan - idx_scan AS too_much_seq, CASE WHEN seq_scan - coalesce(idx_scan, 0) > 0 THEN 'Missing Index ?' ELSE 'OK' END AS verdict,
+           table_bytes AS rel_size, seq_scan, idx_scan
+    FROM v_tables WHERE table_bytes > 80000 AND idx_scan > 0 AND schemaname = 'Brand#1'""")
+def _(t):
+    return H.missing_index(t.v_tables, "positive_gap", only_schema="Brand#1")
+
+
 @query("hlt8_scan_gap", """
     SELECT schemaname, relname, concat(schemaname, '.', relname) AS table_in_trouble, table_bytes AS size_bytes, seq_scan, idx_scan,
-           CASE WHEN table_bytes > 500000000 THEN 'Exceeds 500 megs, too large to count in a view. For a count, count individually' ELSE '1' END AS record_count,
            CASE WHEN seq_scan - idx_scan < 500 THEN 'Minor Problem' WHEN seq_scan - idx_scan < 2500 THEN 'Major Problem' ELSE 'Extreme Problem' END AS priority
     FROM v_tables WHERE seq_scan > idx_scan AND seq_scan > 100 AND schemaname <> 'pg_catalog'""")
 def _(t):
@@ -160,6 +225,14 @@ def _(t):
     SELECT t.relid, t.relname, i.indexrelname AS index_name, t.n_live_tup AS num_rows, {size_sql('t.table_bytes')} AS table_size, {size_sql('i.index_bytes')} AS index_size,
            CASE WHEN i.is_unique THEN 'Y' ELSE 'N' END AS "unique", i.idx_scan AS number_of_scans
     FROM v_tables t LEFT JOIN v_indexes i ON t.relid = i.relid ORDER BY t.n_live_tup DESC, t.relname, t.relid, i.indexrelname LIMIT 50""")
+def _(t):
+    return H.index_usage(t.v_tables.drop("idx_scan"), t.v_indexes, top=50)
+
+
+@query("hlt10_all_index_usage", f"""
+    SELECT t.relid, t.relname, i.indexrelname AS index_name, t.n_live_tup AS num_rows, {size_sql('t.table_bytes')} AS table_size, {size_sql('i.index_bytes')} AS index_size,
+           CASE WHEN i.is_unique THEN 'Y' ELSE 'N' END AS "unique", i.idx_scan AS number_of_scans
+    FROM v_tables t LEFT JOIN v_indexes i ON t.relid = i.relid""")
 def _(t):
     return H.index_usage(t.v_tables.drop("idx_scan"), t.v_indexes)
 
@@ -186,7 +259,17 @@ STATEMENTS = """SELECT p_name AS query, p_partkey AS userid, CAST(sum(CAST(l_ext
     SELECT userid, left(query, 100) AS query, CAST(total_time AS DOUBLE) AS total_time, calls, n_rows AS rows, round(CAST(total_time AS DOUBLE) / calls, 2) AS avg_time,
            round(CAST(total_time AS DOUBLE) * 100 / CAST((SELECT sum(total_time) FROM s) AS DOUBLE), 2) AS percentage_cpu,
            round(100.0::DOUBLE * hits / (hits + disk), 2) AS hit_percent
-    FROM s ORDER BY total_time DESC, query, userid LIMIT 20""")
+    FROM s ORDER BY s.total_time DESC, s.query, userid LIMIT 20""")
+def _(t):
+    out = H.statement_costs(t.sql(STATEMENTS), 20, rows="n_rows", hit="hits", read="disk", n=100, keys=["userid"])
+    return out.withColumns({c: F.col(c).cast("double") for c in ("total_time", "avg_time", "percentage_cpu")})
+
+
+@query("hlt12_all_statement_costs", f"""
+    WITH s AS ({STATEMENTS})
+    SELECT userid, query, CAST(total_time AS DOUBLE) AS total_time, calls, n_rows AS rows, round(CAST(total_time AS DOUBLE) / calls, 2) AS avg_time,
+           round(CAST(total_time AS DOUBLE) * 100 / CAST((SELECT sum(total_time) FROM s) AS DOUBLE), 2) AS percentage_cpu,
+           round(100.0::DOUBLE * hits / (hits + disk), 2) AS hit_percent FROM s""")
 def _(t):
     out = H.statement_costs(t.sql(STATEMENTS), rows="n_rows", hit="hits", read="disk", keys=["userid"])
     return out.withColumns({c: F.col(c).cast("double") for c in ("total_time", "avg_time", "percentage_cpu")})
@@ -195,9 +278,9 @@ def _(t):
 @query("hlt12_costs_by_call", f"""
     SELECT userid, left(query, 50) AS query, calls, round(CAST(total_time AS DOUBLE) / calls, 2) AS avg_time_ms, n_rows // calls AS avg_rows,
            hits // calls AS avg_tmp_read, disk // calls AS avg_temp_written
-    FROM ({STATEMENTS}) WHERE calls <> 0 ORDER BY total_time DESC, query, userid LIMIT 10""")
+    FROM ({STATEMENTS}) s WHERE calls <> 0 ORDER BY total_time DESC, s.query, userid LIMIT 10""")
 def _(t):
-    out = H.costs_by_call(t.sql(STATEMENTS), rows="n_rows", temp_read="hits", temp_written="disk", keys=["userid"])
+    out = H.costs_by_call(t.sql(STATEMENTS), 10, n=50, rows="n_rows", temp_read="hits", temp_written="disk", keys=["userid"])
     return out.withColumn("avg_time_ms", F.col("avg_time_ms").cast("double"))
 
 
@@ -233,6 +316,11 @@ def _(t):
 
 
 @query("hlt15_txid_age", "SELECT seqname, abs(last_value) AS frozen_age FROM v_sequences ORDER BY frozen_age DESC, seqname LIMIT 20")
+def _(t):
+    return H.txid_age(t.v_sequences.select("seqname", F.abs("last_value").alias("frozen_age")), keep=["seqname"], top=20)
+
+
+@query("hlt15_all_txid_age", "SELECT seqname, abs(last_value) AS frozen_age FROM v_sequences")
 def _(t):
     return H.txid_age(t.v_sequences.select("seqname", F.abs("last_value").alias("frozen_age")), keep=["seqname"])
 
@@ -324,9 +412,10 @@ def _(t):
 
 
 @query("hlt24_subscription_status", """
-    WITH tb AS (SELECT l_suppkey AS subid, string_agg(f, ',' ORDER BY f) AS tables FROM (SELECT DISTINCT l_suppkey, concat('t', CAST(l_linenumber AS STRING)) AS f FROM lineitem) GROUP BY l_suppkey)
+    WITH tb AS (SELECT l_suppkey AS subid, f AS relname, row_number() OVER (PARTITION BY l_suppkey ORDER BY f) AS place
+                FROM (SELECT DISTINCT l_suppkey, concat('t', CAST(l_linenumber AS STRING)) AS f FROM lineitem))
     SELECT s_suppkey AS subid, s_name AS subname, CASE WHEN s_nationkey % 2 = 0 THEN 'replicating' ELSE 'disabled' END AS state, concat('slot_', s_name) AS subslotname,
-           concat('0/', hex(s_suppkey * 1000)) AS received_lsn, CAST(0 AS BIGINT) AS page, tables
+           concat('0/', hex(s_suppkey * 1000)) AS received_lsn, relname, place
     FROM supplier JOIN tb ON subid = s_suppkey""")
 def _(t):
     subs = t.supplier.select(F.col("s_suppkey").alias("subid"), F.col("s_name").alias("subname"), (F.col("s_nationkey") % 2 == 0).alias("subenabled"),
@@ -341,18 +430,38 @@ CANDIDATES = """SELECT instance, datname, size_bytes FROM (SELECT *, row_number(
     AND NOT regexp_full_match(owner, 'dba_.*|.*delete_me') AND size_bytes > 1000000) WHERE r <= 2"""
 
 
+ALL_CANDIDATES = CANDIDATES.replace("WHERE r <= 2", "")
+
+
+@query("src3_all_databases", ALL_CANDIDATES)
+def _(t):
+    return candidate_databases(t.v_databases, min_bytes=1000000).select("instance", "datname", "size_bytes")
+
+
 @query("src3_candidate_databases", CANDIDATES)
 def _(t):
     return candidate_databases(t.v_databases, min_bytes=1000000, cap=2).select("instance", "datname", "size_bytes")
 
 
-@query("src2_fan_out", f"""
-    WITH d AS ({CANDIDATES}), p AS (SELECT instance FROM d WHERE instance <> 'inst4'),
+FAN_OUT = """
+    WITH d AS ({candidates}), p AS (SELECT instance FROM d WHERE instance <> 'inst4'),
     a AS (SELECT concat('inst', CAST(n_regionkey AS STRING)) AS instance, lower(n_name) AS database, o_orderstatus AS state FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
     SELECT a.instance, a.database, count(*) FILTER (WHERE state = 'F') AS finished, count(*) AS total, concat(a.instance, '.db') AS endpoint
-    FROM a WHERE EXISTS (SELECT 1 FROM d WHERE d.instance = a.instance AND d.datname = a.database) AND instance IN (SELECT instance FROM p) GROUP BY a.instance, a.database""")
+    FROM a WHERE EXISTS (SELECT 1 FROM d WHERE d.instance = a.instance AND d.datname = a.database) AND instance IN (SELECT instance FROM p) GROUP BY a.instance, a.database"""
+
+
+@query("src2_fan_out", FAN_OUT.format(candidates=CANDIDATES))
 def _(t):
-    wanted = candidate_databases(t.v_databases, min_bytes=1000000, cap=2).select("instance", F.col("datname").alias("database"))
+    return audited(t, 2)
+
+
+@query("src2_fan_out_all", FAN_OUT.format(candidates=ALL_CANDIDATES))
+def _(t):
+    return audited(t, None)
+
+
+def audited(t, cap):
+    wanted = candidate_databases(t.v_databases, min_bytes=1000000, cap=cap).select("instance", F.col("datname").alias("database"))
     instances = t.v_databases.select("instance", F.concat("instance", F.lit(".db")).alias("endpoint")).distinct()
     snapshots = t.sql("""SELECT concat('inst', CAST(n_regionkey AS STRING)) AS instance, lower(n_name) AS database, o_orderstatus AS state
                          FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
@@ -365,7 +474,7 @@ def _(t):
 
 @query("snk1_findings", f"""
     SELECT 'int-limit' AS check_id, seqname AS object, CASE WHEN ids_left <= 0 THEN 'critical' ELSE 'warning' END AS severity, concat(seqname, ' has ', CAST(ids_left AS STRING), ' ids left') AS message,
-           CAST(ids_left AS STRING) AS ids_left, '{AS_OF}' AS as_of, concat('int-limit-', seqname) AS alias
+           CAST(ids_left AS STRING) AS ids_left, '{AS_OF}' AS as_of, concat('int\\-limit-', seqname) AS alias
     FROM ({LEFT_SQL}) WHERE ids_left < 1000000000""")
 def _(t):
     seqs = H.int_exhaustion(t.v_sequences, 1000000000)

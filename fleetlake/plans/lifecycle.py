@@ -39,14 +39,21 @@ def _(t):
 
 @query("lif1_purge_by_row", """
     SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS tuples, CAST(ceil(count(*) / 500.0) AS BIGINT) AS batches, least(500, count(*)) AS largest
-    FROM (SELECT l_returnflag, l_linestatus, l_suppkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_quantity < 10 GROUP BY ALL)""")
+    FROM (SELECT l_returnflag, l_linestatus, l_suppkey, l_linenumber, l_quantity, count(*) AS n FROM lineitem WHERE l_quantity < 10 GROUP BY ALL)""")
 def _(t):
-    df = t.lineitem.filter("l_quantity < 10").select("l_returnflag", "l_linestatus", "l_suppkey", "l_linenumber")
-    plan = L.purge(df, F.lit(True), None, 500, force=True).plan
+    df = t.lineitem.select("l_returnflag", "l_linestatus", "l_suppkey", "l_linenumber", "l_quantity")
+    plan = L.purge(df, F.col("l_quantity") < 10, None, 500, force=True).plan
     sizes = plan.groupBy("batch").agg(F.sum("rows").alias("r"), F.count(F.lit(1)).alias("t"))
     return sizes.agg(F.sum("r").alias("rows"), F.sum("t").alias("tuples"), F.max("batch").alias("batches"), F.max("t").alias("largest"))
 
 
+@query("lif1_kept_by_row", """
+    SELECT count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM lineitem WHERE l_quantity >= 10 OR l_quantity IS NULL""")
+def _(t):
+    kept = L.purge(t.lineitem.select("l_orderkey", "l_suppkey", "l_quantity"), F.col("l_quantity") < 10, None, 500, force=True).kept
+    return kept.agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
+
+
 @query("lif2_purge_progress", f"""
     WITH b AS (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 + 1 AS batch FROM orders WHERE o_orderdate < TIMESTAMP '{CUT}'),
     c AS (SELECT batch, count(*) AS rows FROM b GROUP BY batch)
@@ -55,30 +62,6 @@ def _(t):
     return L.purge_progress(purged(t, 100).plan, span=16)
 
 
-@query("lif3_chunk_plan", """
-    WITH b AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders)
-    SELECT k AS chunk, lo + k * 201 AS "begin", least(lo + k * 201 + 200, hi) AS "end", k % 2 AS worker FROM b, LATERAL (SELECT unnest(generate_series(0, (hi - lo) // 201)) AS k)""")
-def _(t):
-    lo, hi = key_bounds(t.orders, "o_orderkey").first()
-    return L.chunk_plan(t.spark, lo, hi, 200, 2)
-
-
-@query("lif3_chunk_of", "SELECT (l_orderkey - 0) // 201 AS chunk, count(*) AS rows FROM lineitem GROUP BY 1")
-def _(t):
-    return t.lineitem.groupBy(L.chunk_of("l_orderkey", 0, 200).alias("chunk")).agg(F.count(F.lit(1)).alias("rows"))
-
-
-@query("lif4_step_seconds", """
-    WITH g AS (SELECT o_custkey, count(*) * 10000000 AS n, CAST(epoch(min(o_orderdate)) AS BIGINT) AS lo, CAST(epoch(max(o_orderdate)) AS BIGINT) + 1000 AS hi FROM orders GROUP BY o_custkey),
-    f AS (SELECT *, CAST(n AS DOUBLE) / (hi - lo) AS d, CASE WHEN n > 1000000000 THEN 30 WHEN n > 500000000 THEN 60 WHEN n > 100000000 THEN 120 WHEN n > 50000000 THEN 240 WHEN n > 10000000 THEN 1000 END AS k FROM g)
-    SELECT o_custkey, CAST(CASE WHEN round_even(d, 0) > 10000 THEN 15 WHEN k IS NOT NULL THEN round_even(d * k, 0) ELSE 43200 END AS BIGINT) AS step FROM f""")
-def _(t):
-    g = t.orders.groupBy("o_custkey").agg(
-        (F.count(F.lit(1)) * 10000000).alias("n"), epoch_seconds(F.min("o_orderdate")).alias("lo"),
-        (epoch_seconds(F.max("o_orderdate")) + 1000).alias("hi"))
-    return g.select("o_custkey", L.step_seconds(F.col("n"), F.col("lo"), F.col("hi")).alias("step"))
-
-
 @query("lif5_copy_range", """
     SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus <> 'F'""")
 def _(t):
@@ -98,10 +81,17 @@ def _(t):
 @query("lif7_widen_schema", """
     SELECT p_partkey, CAST(p_size AS BIGINT) * 2000000000 AS wide, p_name FROM part""")
 def _(t):
-    wide = L.widen_schema(t.part, 20_000_000)
+    wide = L.widen_schema(t.part)
     return wide.select("p_partkey", (F.col("p_size") * F.lit(2000000000)).alias("wide"), "p_name")
 
 
+@query("lif7_huge_tables", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n} HAVING count(*) > 1000" for n in ("orders", "part", "lineitem", "supplier")))
+def _(t):
+    from ..operators.aggregates import row_counts
+
+    return L.huge_tables(row_counts({n: getattr(t, n) for n in ("orders", "part", "lineitem", "supplier")}), threshold=1000)
+
+
 @query("lif8_backfill", "SELECT c_custkey, CAST(CASE WHEN c_nationkey >= 3 AND c_nationkey < 20 THEN c_nationkey END AS BIGINT) AS nation_new FROM customer")
 def _(t):
     return L.backfill(t.customer, "c_nationkey", "nation_new", "bigint", 3, 20).select("c_custkey", "nation_new")
@@ -114,6 +104,13 @@ def _(t):
     return L.compare_counts(t.orders, copied, content=True)
 
 
+@query("lif9_equal_contents", "SELECT count(*) AS source_rows, count(*) AS target_rows, true AS same_count, true AS same_content FROM documents LEFT JOIN labels USING (doc_id)")
+def _(t):
+    # The same rows in another order, with nulls where a document has no label.
+    rows = t.documents.join(t.labels, "doc_id", "left")
+    return L.compare_counts(rows, rows.repartition(7, "n_chars"), content=True)
+
+
 SEQ = {"customer": "c_custkey", "events": "event_id", "lineitem": "l_orderkey", "orders": "o_orderkey", "part": "p_partkey", "supplier": "s_suppkey",
        "documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 

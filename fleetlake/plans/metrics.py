@@ -1,4 +1,4 @@
-"""Metric gates, trends and the throttle."""
+"""Metric gates and trends."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..functions.times import epoch_seconds
-from ..streaming import throttle_stream
 from .registry import query, scratch
 from .shapes import AS_OF
 
@@ -50,35 +49,6 @@ def _(t):
     return M.trend_verdict(daily, LIMITS).select("instance", day().alias("day_epoch"), "verdict")
 
 
-THROTTLE = f"""
-    WITH RECURSIVE g AS (SELECT instance, day_epoch, {OPEN} AS o, cpu * 2.5 < 250 AS relaxed, row_number() OVER (PARTITION BY instance ORDER BY day_epoch) AS r FROM ({WIDE})),
-    c AS (SELECT *, coalesce(lag(o) OVER (PARTITION BY instance ORDER BY r), true) AS was FROM g),
-    f AS (SELECT instance, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS day_epoch, CAST(2000 AS BIGINT) AS w FROM (SELECT DISTINCT instance FROM c)
-          UNION ALL SELECT c.instance, c.r, c.day_epoch, CAST(CASE WHEN NOT c.o AND c.was THEN CASE WHEN f.w < 10 THEN 100 WHEN f.w > 600000 THEN 600000 WHEN f.w = 600000 THEN f.w ELSE 2 * f.w END
-                 WHEN c.o AND c.relaxed THEN CASE WHEN f.w > 600000 THEN 600000 ELSE (f.w + 1) // 2 END ELSE f.w END AS BIGINT)
-          FROM f JOIN c ON c.instance = f.instance AND c.r = f.r + 1)
-    SELECT instance, day_epoch, w / 10000.0::DOUBLE AS wait FROM f WHERE r > 0"""
-
-
-@query("stm3_throttle_series", THROTTLE)
-def _(t):
-    gated = M.metric_gate(M.wide(t.v_metrics, ["instance", "ts"]), LIMITS)
-    rows = gated.withColumn("relaxed", F.col("CPUUtilization") * 2.5 < 250)
-    return M.throttle_series(rows, unit="week").select("instance", day().alias("day_epoch"), "wait")
-
-
-@query("stm3_throttle_stream", THROTTLE)
-def _(t):
-    path = scratch(t.spark, "throttle")
-    gated = M.metric_gate(M.wide(t.v_metrics, ["instance", "ts"]), LIMITS)
-    rows = gated.select("instance", F.col("ts").cast("timestamp").alias("ts"), "gate_open", (F.col("CPUUtilization") * 2.5 < 250).alias("relaxed"))
-    rows.write.parquet(f"{path}/in")
-    stream = throttle_stream(t.spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
-    stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(
-        f"{path}/out").awaitTermination()
-    return t.spark.read.parquet(f"{path}/out").select("instance", day().alias("day_epoch"), "wait")
-
-
 @query("stm4_latest_metric", f"""
     SELECT instance, metric, arg_max(value, ts) AS value, CAST(floor(epoch(max(ts))) AS BIGINT) AS day_epoch FROM v_metrics
     WHERE ts <= TIMESTAMP '{AS_OF}' AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 5 DAY GROUP BY ALL""")

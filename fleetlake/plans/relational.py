@@ -1,4 +1,4 @@
-"""Joins, aggregates, windows, ordering and recursion."""
+"""Joins, aggregates, windows and ordering."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import ordering as O
 from ..operators import windows as W
-from ..operators.recursion import page_items, walk
 from ..functions.times import epoch_seconds
 from .registry import query
 from .shapes import AS_OF, TABLES
@@ -216,7 +215,14 @@ def _(t):
     WITH g AS (SELECT signature, count(*) AS members, CAST(sum(index_bytes) AS BIGINT) AS bytes, list_sort(list(indexrelname)) AS m FROM v_indexes GROUP BY signature HAVING count(*) > 1)
     SELECT members, bytes, {size_sql('bytes')} AS size, m[1] AS member1, m[2] AS member2, m[3] AS member3, m[4] AS member4 FROM g""")
 def _(t):
-    return A.duplicate_groups(t.v_indexes, ["signature"], "indexrelname", "index_bytes")
+    return A.duplicate_groups(t.v_indexes, ["signature"], "indexrelname", "index_bytes", keep=4)
+
+
+@query("agg4_duplicate_members", """
+    SELECT first_member, members, bytes, doc_id FROM documents JOIN (SELECT text, min(doc_id) AS first_member, count(*) AS members, CAST(sum(n_chars) AS BIGINT) AS bytes
+        FROM documents GROUP BY text HAVING count(*) > 1) USING (text)""")
+def _(t):
+    return A.duplicate_members(t.documents, ["text"], "doc_id", "n_chars", wide=True)
 
 
 @query("agg4_duplicate_texts", f"""
@@ -264,7 +270,7 @@ def _(t):
 def _(t):
     rows = t.documents.select("source", F.col("n_chars").alias("dataSize"), (F.col("n_chars") * 2).alias("storageSize"),
                               F.col("doc_id").alias("indexSize"), F.lit(1).alias("one"))
-    return A.storage_totals(rows, "source", count="one", exclude="src1$")
+    return A.storage_totals(rows, "source", count="one", exclude=["src1"])
 
 
 @query("agg10_row_counts", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in TABLES))
@@ -313,7 +319,7 @@ def _(t):
     FROM b JOIN v_tables ON relid = relfilenode WHERE table_bytes > 0 ORDER BY buffers_percent DESC, buffers DESC, relfilenode LIMIT 30""")
 def _(t):
     relations = t.v_tables.select(F.col("relid").alias("relfilenode"), "relname", "table_bytes")
-    return A.cache_share(t.lineitem.select(F.col("l_partkey").alias("relfilenode")), relations, 1000, size="table_bytes")
+    return A.cache_share(t.lineitem.select(F.col("l_partkey").alias("relfilenode")), relations, 1000, size="table_bytes", top=30)
 
 
 @query("agg17_inventory_tree", """
@@ -451,29 +457,3 @@ def _(t):
 @query("set3_distinct", "SELECT DISTINCT l_suppkey, l_shipdate FROM lineitem")
 def _(t):
     return O.distinct(t.lineitem, ["l_suppkey", "l_shipdate"])
-
-
-@query("rec1_walk", """
-    WITH RECURSIVE w AS (SELECT conv_id, turn, CAST(1 AS BIGINT) AS item FROM conversations WHERE turn = 0
-                         UNION ALL SELECT c.conv_id, c.turn, w.item + 1 FROM conversations c JOIN w ON c.conv_id = w.conv_id AND c.turn = w.turn + 1)
-    SELECT conv_id, turn + 1 AS blkno, item FROM w""")
-def _(t):
-    pages = t.conversations.select("conv_id", (F.col("turn") + 1).alias("blkno"), F.col("turn").alias("btpo_prev"), F.lit(0).alias("btpo"))
-    return walk(pages, ["conv_id"]).select("conv_id", "blkno", "item")
-
-
-@query("rec1_page_items", """
-    WITH n AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id),
-    i AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS p FROM conversations)
-    SELECT i.conv_id, i.turn + 1 AS blkno, count(DISTINCT CASE WHEN turn = last OR p > 1 THEN w END) AS distinct_real_item_keys,
-           count(DISTINCT CASE WHEN turn = last OR p > 1 THEN length(w) END) AS distinct_block_pointers, CASE WHEN turn <> any_value(last) THEN min_by(w, p) END AS highkey
-    FROM i JOIN n ON i.conv_id = n.conv_id GROUP BY i.conv_id, i.turn""")
-def _(t):
-    last = t.conversations.groupBy("conv_id").agg(F.max("turn").alias("last"))
-    pages = t.conversations.join(last, "conv_id").select(
-        "conv_id", (F.col("turn") + 1).alias("blkno"), F.col("turn").alias("btpo_prev"), F.lit(0).alias("btpo"),
-        F.when(F.col("turn") == F.col("last"), F.lit(0)).otherwise(F.col("turn") + 2).alias("btpo_next"))
-    words = W.ordinal(t.conversations.select("conv_id", (F.col("turn") + 1).alias("blkno"), F.split("text", " ").alias("ws")), "ws", ["conv_id", "blkno"], "data", "itemoffset")
-    items = words.withColumn("block", F.length("data"))
-    out = page_items(walk(pages, ["conv_id"]), items, ["conv_id"])
-    return out.select("conv_id", "blkno", "distinct_real_item_keys", "distinct_block_pointers", "highkey")

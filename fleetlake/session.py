@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Runtime re-planning does the work of hand-tuning: small partitions are
 # merged, hot join partitions are split, and a join side is broadcast only
@@ -53,6 +53,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="fleetlake-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
     return folder
 
@@ -61,28 +62,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the files."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether the measured size of a written-out frame is below the session's broadcast threshold.
-
-    Counts the rows and the bytes of text in one pass; ``df`` should come from
-    ``cut_lineage`` so that the pass only reads files.
-    """
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    if limit <= 0:
-        return False
-    wide = F.lit(0).cast("bigint")
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            wide = wide + F.coalesce(F.octet_length(f.name), F.lit(0))
-        elif not isinstance(f.dataType, T.AtomicType):
-            return False
-    rows, text = df.agg(F.count(F.lit(1)), F.sum(wide)).first()
-    # 16 bytes per value and 32 per row cover fixed-width values and the row's own cost.
-    return rows * (32 + 16 * len(df.columns)) + (text or 0) <= limit
-
-
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """A written-out frame with a broadcast hint if its measured size allows one."""
-    return F.broadcast(df) if fits_broadcast(df) else df

@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_time
 from ..operators.aggregates import inventory_tree
+from ..session import cut_lineage
 
 
 def findings(
     df: DataFrame, check_id: str, obj: str, as_of, keys: Sequence[str] = ("instance", "database"),
     severity: str | Column = "warning", message: Column | None = None, details: Sequence[str] = (),
 ) -> DataFrame:
-    """Result rows in the common finding shape, one per alias (check, keys and object)."""
+    """Result rows in the common finding shape, one per alias (check, keys and object).
+
+    The alias joins its parts by hyphens; a hyphen or backslash of a part is
+    escaped and a null part is written ``\\N``, so different parts never share one.
+    """
     level = F.lit(severity) if isinstance(severity, str) else severity
     own = [F.col(k) for k in keys]
     pairs = [x for d in details for x in (F.lit(d), F.col(d).cast("string"))]
@@ -24,14 +30,33 @@ def findings(
         F.lit(check_id).alias("check_id"), *own, F.col(obj).cast("string").alias("object"), level.alias("severity"),
         (message if message is not None else F.lit(check_id)).alias("message"), extra.alias("details"),
         as_time(as_of).alias("as_of"),
-        F.concat_ws("-", F.lit(check_id), *[c.cast("string") for c in own], F.col(obj).cast("string")).alias("alias"),
+        F.concat_ws("-", *[alias_part(c) for c in (F.lit(check_id), *own, F.col(obj))]).alias("alias"),
     )
     return out.dropDuplicates(["alias"])
 
 
+def alias_part(c: Column) -> Column:
+    text = F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\"))
+    return F.coalesce(F.replace(text, F.lit("-"), F.lit("\\-")), F.lit("\\N"))
+
+
 def write_findings(df: DataFrame, path: str) -> None:
-    """Append findings, one folder per check."""
-    df.write.mode("append").partitionBy("check_id").parquet(path)
+    """Store findings, one folder per check; an alias stored before is replaced.
+
+    Only the folders of the checks in ``df`` are written anew.
+    """
+    spark = df.sparkSession
+    new = cut_lineage(df)
+    try:
+        old = spark.read.schema(df.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        old = new.limit(0)
+    kept = old.join(new.select("check_id").distinct(), "check_id", "left_semi").join(new.select("alias"), "alias", "left_anti")
+    # What is read is written over, so it is put aside first.
+    merged = cut_lineage(new.unionByName(kept.select(*new.columns)))
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("check_id").parquet(path)
 
 
 def render_rows(df: DataFrame, sep: str = ",") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
@@ -12,7 +13,6 @@ from ..constants import SERVICE_OWNER_PATTERN, SYSTEM_DATABASES
 from ..functions.columns import as_time
 from ..functions.text import not_similar
 
-MIN_DATABASE_BYTES = 220000000
 # Connection address by engine.
 JDBC_URL = {
     "postgres": "jdbc:postgresql://{host}:{port}/{database}",
@@ -20,45 +20,61 @@ JDBC_URL = {
 }
 
 
-def jdbc_reader(spark: SparkSession, target: Mapping, view_sql: str) -> DataFrame:
-    """The rows of one query on one database; the query runs on the server."""
+def jdbc_reader(spark: SparkSession, target: Mapping, view_sql: str, schema: str | None = None) -> DataFrame:
+    """The rows of one query on one database; the query runs on the server, ``schema`` fixes the types of its columns."""
     url = JDBC_URL[target.get("engine", "postgres")].format(**target)
-    options = {"url": url, "query": view_sql, **target.get("options", {})}
+    options = {"url": url, "query": view_sql, **({"customSchema": schema} if schema else {}), **target.get("options", {})}
     return spark.read.format("jdbc").options(**options).load()
 
 
+FAILED = "instance string, database string, error string"
+
+
 def land_snapshot(
     spark: SparkSession, targets: Sequence[Mapping], view_sql: str, snapshot_ts, path: str | None = None,
-    reader: Callable[[SparkSession, Mapping, str], DataFrame] = jdbc_reader, batch: int = 200,
-) -> DataFrame | None:
+    reader: Callable[[SparkSession, Mapping, str], DataFrame] = jdbc_reader, batch: int = 200, run: str | None = None,
+) -> DataFrame:
     """One query on many databases, tagged by ``instance``, ``database`` and ``snapshot_ts``.
 
-    ``targets`` is the fleet's connection list. With ``path`` the rows are
-    appended to parquet in batches of targets, each batch one job that reads its
-    databases side by side; without, they are returned as one frame.
+    ``targets`` is the fleet's connection list. Without ``path`` the rows are
+    returned as one frame. With it they are written in batches of targets, each
+    one job that reads its databases side by side, below the folder of ``run``
+    (default: the snapshot time); a run that is repeated replaces itself. The
+    targets that could not be read are returned, one row each with the error;
+    a batch that fails is taken again target by target, and the others stay.
     """
     def tagged(target: Mapping) -> DataFrame:
         return reader(spark, target, view_sql).select(
             F.lit(target["instance"]).alias("instance"), F.lit(target["database"]).alias("database"),
             as_time(snapshot_ts).alias("snapshot_ts"), "*")
 
-    def union(part: Sequence[Mapping]) -> DataFrame:
-        return reduce(DataFrame.unionByName, [tagged(t) for t in part])
-
     if path is None:
-        return union(targets)
+        return reduce(DataFrame.unionByName, [tagged(t) for t in targets])
+    folder = f"{path}/run={run or re.sub('[^0-9A-Za-z]+', '-', str(snapshot_ts))}"
+    failed: list[tuple[str, str, str]] = []
+
+    def land(part: Sequence[Mapping], name: str) -> None:
+        try:
+            rows = reduce(DataFrame.unionByName, [tagged(t) for t in part]).withColumn("snapshot_date", F.to_date("snapshot_ts"))
+            rows.write.mode("overwrite").partitionBy("snapshot_date").parquet(f"{folder}/batch={name}")
+        except Exception as e:  # any error of a driver or server leaves out its target alone
+            if len(part) == 1:
+                failed.append((part[0]["instance"], part[0]["database"], str(e).split("\n")[0]))
+                return
+            for k, target in enumerate(part):
+                land([target], f"{name}.{k}")
+
     for i in range(0, len(targets), batch):
-        part = union(targets[i : i + batch]).withColumn("snapshot_date", F.to_date("snapshot_ts"))
-        part.write.mode("append").partitionBy("snapshot_date").parquet(path)
-    return None
+        land(targets[i : i + batch], str(i // batch))
+    return spark.createDataFrame(failed, FAILED)
 
 
 def candidate_databases(
     databases: DataFrame, by: Sequence[str] = ("instance",), name: str = "datname", owner: str | None = "owner",
     size: str = "size_bytes", allowed: str | None = "datallowconn", template: str | None = "datistemplate",
-    min_bytes: int | None = MIN_DATABASE_BYTES, cap: int | None = 150,
+    min_bytes: int | None = None, cap: int | None = None,
 ) -> DataFrame:
-    """Application databases worth a check, per instance the ``cap`` largest."""
+    """Application databases, if asked those above ``min_bytes`` and per instance the ``cap`` largest."""
     cond = ~F.col(name).isin(SYSTEM_DATABASES)
     if allowed:
         cond = cond & F.col(allowed)

@@ -1,11 +1,10 @@
-"""Structured Streaming: slices, replay, rates and the throttle."""
+"""Structured Streaming: slices, replay, and rates."""
 
 from .apply import apply_stream, compact, current_state
 from .rate import change_rate, deduplicated
 from .slices import read_broker, write_slices
-from .throttle import throttle_stream
 
 __all__ = [
-    "apply_stream", "change_rate", "compact", "current_state", "deduplicated", "read_broker", "throttle_stream",
+    "apply_stream", "change_rate", "compact", "current_state", "deduplicated", "read_broker",
     "write_slices",
 ]

@@ -62,10 +62,23 @@ def current_state(spark: SparkSession, path: str, keys: Sequence[str], columns:
 
 
 def compact(spark: SparkSession, path: str, keys: Sequence[str], columns: Sequence[str]) -> int:
-    """Fold all complete batches into a new base; returns its version."""
+    """Fold all complete batches into a new base and drop what it replaces; returns its version.
+
+    The base before the new one stays, for readers that have begun on it.
+    """
     batches = folders(spark, f"{path}/log", "batch")
     versions = folders(spark, f"{path}/base", "version")
     if not batches or batches[-1] + 1 <= versions[-1]:
         return versions[-1]
-    write_base(current_state(spark, path, keys, columns, batches[-1]), path, batches[-1] + 1)
-    return batches[-1] + 1
+    version = batches[-1] + 1
+    write_base(current_state(spark, path, keys, columns, batches[-1]), path, version)
+    remove(spark, [f"{path}/base/version={v}" for v in versions[:-1]])
+    remove(spark, [f"{path}/log/batch={b}" for b in batches if b < versions[-1]])
+    return version
+
+
+def remove(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Delete folders on any file system Spark can reach."""
+    jvm = spark.sparkContext._jvm
+    for path in map(jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

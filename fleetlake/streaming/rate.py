@@ -22,8 +22,11 @@ def change_rate(
     )
 
 
-def deduplicated(stream: DataFrame, keys: Sequence[str] = ("database", "seq"), ts: str = "slice_ts", delay: str = "10 minutes") -> DataFrame:
-    """The log without the repeats a resumed reader brings, for repeats that follow within ``delay``."""
+def deduplicated(stream: DataFrame, keys: Sequence[str] = ("database", "partition", "offset"), ts: str = "slice_ts", delay: str = "10 minutes") -> DataFrame:
+    """The log without the repeats a resumed reader brings, for repeats that follow within ``delay``.
+
+    The keys are the position a broker gives, or what else names a transaction.
+    """
     if not stream.isStreaming:
         return stream.dropDuplicates(list(keys))
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))

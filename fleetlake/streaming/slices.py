@@ -9,19 +9,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.times import SLICE_PATTERN
+from ..sources.change_log import with_position
 
 
 def read_broker(spark: SparkSession, options: Mapping[str, str], source: str = "kafka") -> DataFrame:
-    """Records of a broker from the earliest position, as the text column ``value``.
+    """Records of a broker from the earliest position: the text ``value`` with ``partition``, ``offset`` and ``timestamp``.
 
-    ``source="text"`` reads files instead, oldest first; the checkpoint keeps
-    the position.
+    ``source="text"`` reads files instead, oldest first, which give no position
+    of their own; the checkpoint keeps the place.
     """
     reader = spark.readStream.format(source)
     if source == "kafka":
         reader = reader.option("startingOffsets", "earliest")
     rows = reader.options(**options).load()
-    return rows.select(F.col("value").cast("string").alias("value"))
+    place = [c for c in ("partition", "offset", "timestamp") if c in rows.columns]
+    return rows.select(F.col("value").cast("string").alias("value"), *place)
 
 
 def write_slices(
@@ -30,11 +32,15 @@ def write_slices(
 ) -> StreamingQuery:
     """Append envelope lines to one folder per slice, named by its UTC start time.
 
+    Lines of a broker take their partition and offset along as their position.
+
     A slice is one micro-batch of ``every``; its rows stay spread over the
     tasks that read them. Positions are committed after the slice is written.
     ``once`` takes what is there and stops. ``database`` tags each line.
     """
     line = F.col("value")
+    if "offset" in stream.columns:
+        line = with_position(line, F.col("offset"), F.col("partition"))
     if database is not None:
         line = F.regexp_replace(line, r"\}\s*$", f', "database": "{database}"}}')
     start = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), SLICE_PATTERN)

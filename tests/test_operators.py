@@ -11,7 +11,7 @@ from fleetlake.operators import lifecycle as L
 from fleetlake.operators import metrics as M
 from fleetlake.operators import windows as W
 from fleetlake.operators.ordering import order, top
-from fleetlake.operators.recursion import list_positions, walk
+from fleetlake.operators.recursion import list_positions
 
 
 def rows(df):
@@ -57,7 +57,7 @@ def test_halo_reaches_over_sparse_blocks(spark):
 
 def test_duplicate_groups_keep_the_first_members_and_the_whole_size(spark):
     df = spark.createDataFrame([(None, f"i{n}", 1000) for n in range(6)] + [("", "j", 5), ("z", "k", 1)], "sig string, m string, b bigint")
-    got = A.duplicate_groups(df, ["sig"], "m", "b").collect()
+    got = A.duplicate_groups(df, ["sig"], "m", "b", keep=4).collect()
     assert [(r["members"], r["bytes"], r["member1"], r["member4"]) for r in got] == [(7, 6005, "i0", "i3")]
 
 
@@ -82,20 +82,6 @@ def test_top_puts_nulls_first_when_descending(spark):
     assert [r["i"] for r in order(df, ["-v nulls last"]).collect()] == [3, 1, 2]
 
 
-def test_chunk_plan(spark):
-    assert rows(L.chunk_plan(spark, 0, 10, 3, 2)) == [(0, 0, 3, 0), (1, 4, 7, 1), (2, 8, 10, 0)]
-
-
-@pytest.mark.parametrize("lo,hi,step", [(0, 0, 5), (-7, 93, 9), (10, 11, 0), (5, 4, 3)])
-def test_chunk_plan_covers_the_range_once(spark, lo, hi, step):
-    covered = [k for r in L.chunk_plan(spark, lo, hi, step, 3).collect() for k in range(r["begin"], r["end"] + 1)]
-    assert covered == list(range(lo, hi + 1))
-    keys = spark.range(lo, hi + 1)
-    plan = {r["chunk"]: (r["begin"], r["end"]) for r in L.chunk_plan(spark, lo, hi, step, 3).collect()}
-    for r in keys.select("id", L.chunk_of("id", lo, step).alias("c")).collect():
-        assert plan[r["c"]][0] <= r["id"] <= plan[r["c"]][1]
-
-
 def test_purge_keeps_null_predicates_and_splits_whole(spark):
     df = spark.createDataFrame([(1, 5), (2, None), (3, 9), (4, 1)], "id int, d int")
     p = L.purge(df, F.col("d") < 6, "id", limit=1)
@@ -157,47 +143,6 @@ def test_list_positions_long_chain_cycle_and_orphan(spark):
     assert got == [("a", i, i) for i in range(1, n + 1)] + [("c", 9, 1)]
 
 
-def test_walk_steps_down_levels(spark):
-    pages = [("i", 3, 0, 0, 2), ("i", 1, 0, 2, 1), ("i", 2, 1, 0, 1), ("i", 4, 0, 5, 0), ("i", 5, 4, 6, 0), ("i", 6, 5, 0, 0), ("j", 7, 0, 0, 5), ("j", 8, 0, 0, 3)]
-    df = spark.createDataFrame(pages, "idx string, blkno int, btpo_prev int, btpo_next int, btpo int")
-    got = rows(walk(df).select("idx", "btpo", "blkno", "item"))
-    assert got == [("i", 0, 4, 1), ("i", 0, 5, 2), ("i", 0, 6, 3), ("i", 1, 1, 1), ("i", 1, 2, 2), ("i", 2, 3, 1), ("j", 5, 7, 1)]
-
-
-def test_throttle_closes_and_reopens(spark):
-    df = spark.createDataFrame([("i", 1, False, False), ("i", 2, True, True)], "instance string, n int, gate_open boolean, relaxed boolean")
-    df = df.withColumn("ts", F.timestamp_seconds(F.col("n") * 60).cast("timestamp_ntz")).drop("n")
-    got = [r["wait"] for r in M.throttle_series(df).orderBy("ts").collect()]
-    assert got == [0.4, 0.2]
-
-
-@pytest.mark.parametrize("compat", [False, True])
-@pytest.mark.parametrize("start", [0.2, 0.001, 61.0, 300.0])
-def test_throttle_in_blocks_equals_a_plain_loop(spark, start, compat):
-    rnd = random.Random(str((start, compat)))
-    data = []
-    for inst in ("a", "b"):
-        for t in range(160):
-            data.append((inst, t * 4000, rnd.random() < 0.5, rnd.random() < 0.5, rnd.choice(["rising", "rising", "falling", "idle", "steady"])))
-    df = spark.createDataFrame(data, "instance string, s bigint, gate_open boolean, relaxed boolean, verdict string")
-    df = df.withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz"))
-    out = M.throttle_series(df, verdict="verdict", start=start, compat=compat)
-    got = {(r["instance"], r["s"]): r["wait"] for r in out.select("instance", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"), "wait").collect()}
-    for inst in ("a", "b"):
-        w, was = round(start * M.UNIT), True
-        for _, s, is_open, relaxed, verdict in (d for d in data if d[0] == inst):
-            by_trend = {"rising": M.RAISE, "falling": M.LOWER, "idle": M.LOWER}.get(verdict, M.HOLD)
-            by_gate = M.RAISE if not is_open and was else M.LOWER if is_open and relaxed else M.HOLD
-            w, was = M.throttle_step(w, by_trend, by_gate, compat), is_open
-            assert got[(inst, s)] == w / M.UNIT
-
-
-def test_throttle_states_are_few():
-    for start in (0.2, 0.001, 0.0137, 239.9999):
-        states, moves = M.throttle_table(round(start * M.UNIT))
-        assert len(states) < 2000 and moves.max() < len(states)
-
-
 def test_gate_with_missing_samples(spark):
     df = spark.createDataFrame([("i", "CPUUtilization", 1, 10.0)], "instance string, metric string, ts int, value double")
     wide = M.wide(df)
@@ -207,8 +152,7 @@ def test_gate_with_missing_samples(spark):
 
 def test_widen_schema_only_for_huge_tables(spark):
     df = spark.createDataFrame([(1, 2)], "a int, b bigint")
-    assert L.widen_schema(df, 10_000_000).dtypes == [("a", "int"), ("b", "bigint")]
-    assert L.widen_schema(df, 10_000_001).dtypes == [("a", "bigint"), ("b", "bigint")]
+    assert L.widen_schema(df).dtypes == [("a", "bigint"), ("b", "bigint")]
 
 
 def test_compare_counts_sees_changed_content(spark):

@@ -44,7 +44,7 @@ def test_fan_out_only_reads_wanted_primaries(spark):
     dbs = spark.createDataFrame([("i1", "app", "x", 300000000, True, False), ("i2", "app", "x", 300000000, True, False), ("i1", "small", "x", 1, True, False),
                                  ("i1", "old", "team_delete_me", 300000000, True, False)],
                                 "instance string, datname string, owner string, size_bytes bigint, datallowconn boolean, datistemplate boolean")
-    wanted = candidate_databases(dbs).select("instance", F.col("datname").alias("database"))
+    wanted = candidate_databases(dbs, min_bytes=220000000).select("instance", F.col("datname").alias("database"))
     instances = spark.createDataFrame([("i1", True), ("i2", False)], "instance string, is_primary boolean")
     snap = spark.createDataFrame([("i1", "app", "active"), ("i1", "small", "active"), ("i2", "app", "idle"), ("i1", "old", "idle")], "instance string, database string, state string")
     out = fan_out(lambda d: activity_rollup(d, ["instance", "database"], role=None), snap, wanted, instances, F.col("is_primary"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetlake.operators import metrics as M
 from fleetlake.sources import read_change_log
-from fleetlake.streaming import apply_stream, change_rate, compact, current_state, read_broker, throttle_stream, write_slices
+from fleetlake.streaming import apply_stream, change_rate, compact, current_state, read_broker, write_slices
 from fleetlake.streaming.apply import write_base
 
 FLAT = "_seq bigint, _kind string, _old_id bigint, _id bigint, _has_v boolean, v string"
@@ -66,19 +66,3 @@ def test_change_rate_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("rate").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.table("rate").collect()} == batch
-
-
-def test_throttle_stream_equals_batch(spark, tmp_path):
-    src = str(tmp_path / "src")
-    rows = [(inst, i * 60, (i * 7 + n) % 5 < 3, (i + n) % 3 == 0) for n, inst in enumerate(("a", "b")) for i in range(40)]
-    df = spark.createDataFrame(rows, "instance string, s bigint, gate_open boolean, relaxed boolean").withColumn("ts", F.timestamp_seconds("s")).drop("s")
-    for lo in (0, 1200):
-        part = df.filter((F.unix_seconds("ts") >= lo) & (F.unix_seconds("ts") < lo + 1200))
-        part.coalesce(1).write.mode("append").parquet(src)
-    batch = M.throttle_series(df.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
-    want = {(r["instance"], r["s"]): r["wait"] for r in batch.select("instance", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"), "wait").collect()}
-    stream = throttle_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src))
-    q = stream.writeStream.format("memory").queryName("waits").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {(r["instance"], r["s"]): r["wait"] for r in spark.table("waits").select("instance", F.unix_seconds("ts").alias("s"), "wait").collect()}
-    assert got == want
