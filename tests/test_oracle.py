@@ -11,6 +11,7 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
 
 import __spark_entry__ as entry  # noqa: E402
 from check_oracle import compare  # noqa: E402
+from fleetlake.plans import catalog  # noqa: E402
 from fleetlake.plans.shapes import TABLES  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
@@ -24,7 +25,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_equals_twin(spark, con, name):
     text, _, ok = compare(spark, con, FOLDER, name, entry.queries()[name], entry.oracle_sql().get(name))
     assert ok, text
@@ -35,4 +36,5 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(catalog.oracle_sql()) == set(catalog.queries())
+    assert set(catalog.queries()) <= set(entry.queries())
