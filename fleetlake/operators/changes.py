@@ -137,7 +137,8 @@ def net_effect(flat: DataFrame, keys: Sequence[str], columns: Sequence[str], gro
     The last insert or delete resets the row. A column's value is the last one
     listed, and it stands if it is not older than the reset; so the reset need
     not be known before the values are gathered. ``_moved`` tells whether some
-    update takes a row away from the key.
+    update takes a row away from the key. Text values make Spark sort by key for
+    this; joining positions back costs more (see ``windows.latest``).
     """
     reset = F.col("_kind").isin("insert", "delete")
     aggs = [

@@ -120,7 +120,11 @@ def eta(df: DataFrame, by: Sequence[str], ts: str, value: str, unit: str = "day"
 def latest(df: DataFrame, by: Sequence[str], ts: str, tie: Sequence[str] = ()) -> DataFrame:
     """The row with the greatest ``ts`` (then ``tie``) per key.
 
-    Rows are reduced to one per key in each task before the shuffle.
+    Rows are reduced to one per key in each task before the shuffle. Spark sorts
+    for this reduction where a column has no fixed width. Measured over 4.8
+    million rows (local[8], seconds): with 1000 keys 1.45, against 1.82 for a
+    hashed maximum joined back and 2.19 for a row number; with 1.2 million keys
+    2.39, against 3.88 and 2.11.
     """
     by = list(by)
     order = [ts, *tie]
