@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive_model, packing, repeated_bytes, secret_grammar, simhash_bktree, string_tiling, suffix_tree, token_files, weak_supervision
+from . import additive_model, license_scan, packing, repeated_bytes, secret_grammar, simhash_bktree, string_tiling, suffix_tree, token_files, weak_supervision
 from .frames import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,8 @@ def op6_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_bucket_refinement(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_bytes.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
+@query
+def op5_conditional_compression(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, folder, "documents"))
