@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..constants import COPY_LIMITS, METRICS, MISSING_METRIC
 from ..functions.columns import as_time
-from .blocks import time_block, with_halo
 from .windows import trend
 
 GIGABYTE = float(1024 ** 3)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import joins as J
 from ..operators import lifecycle as L
 from ..operators.aggregates import key_bounds
-from ..functions.times import epoch_seconds
 from .registry import query, scratch
 from .relational import index_frames
 from .shapes import AS_OF

@@ -4,7 +4,6 @@ import json
 
 from pyspark.sql import functions as F
 
-from fleetlake.operators import metrics as M
 from fleetlake.sources import read_change_log
 from fleetlake.streaming import apply_stream, change_rate, compact, current_state, read_broker, write_slices
 from fleetlake.streaming.apply import write_base
