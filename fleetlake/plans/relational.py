@@ -197,6 +197,18 @@ def _(t):
     return A.activity_rollup(t.v_activity, ["datname", "usename"], as_of="2024-01-15 12:00:00", limits=limits)
 
 
+@query("agg1_activity_by_client", """
+    WITH c AS (SELECT usename, count(DISTINCT client_addr) AS instances FROM v_activity GROUP BY usename),
+    n AS (SELECT datname, CASE WHEN usename <> 'role7' THEN usename END AS usename, client_addr, state FROM v_activity)
+    SELECT n.datname, n.usename, n.client_addr, count(*) FILTER (WHERE state = 'idle') AS idle, count(*) FILTER (WHERE state = 'idle in transaction') AS idle_in_tran,
+           count(*) FILTER (WHERE state = 'active') AS active, count(*) AS total, coalesce(any_value(c.instances), 0) AS instances
+    FROM n LEFT JOIN c ON n.usename = c.usename GROUP BY ALL""")
+def _(t):
+    # Sessions without a role, as background processes have.
+    sessions = t.v_activity.withColumn("usename", F.when(F.col("usename") != "role7", F.col("usename")))
+    return A.activity_rollup(sessions, ["datname", "usename", "client_addr"])
+
+
 @query("agg2_state_counts", """
     SELECT count(*) AS total, count(*) FILTER (WHERE state = 'active') AS active, count(*) FILTER (WHERE state = 'idle') AS idle,
            count(*) FILTER (WHERE state = 'idle in transaction (aborted)') AS idle_in_tran_abort, (SELECT max(o_orderkey) FROM orders) AS max_connections
