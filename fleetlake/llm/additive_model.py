@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .features import NAMES, counts
-from .frames import held_out
+from .frames import held_out, raw, small_batches
 
 #: Rows the model is fitted on: those with the smallest hash of the identifier.
 MAX_FIT_ROWS = 20_000
@@ -147,7 +147,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 48, rounds: int = 150, pairs:
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def text_features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
-        yield pa.array([features(t) for t in texts.cast(pa.large_binary()).to_pylist()], pa.list_(pa.float64()))
+        yield pa.array([features(t) for t in raw(texts)], pa.list_(pa.float64()))
 
 
 def quality_score(model: AdditiveModel, text: Column) -> Column:
@@ -155,7 +155,7 @@ def quality_score(model: AdditiveModel, text: Column) -> Column:
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            x = np.array([features(t) for t in texts.cast(pa.large_binary()).to_pylist()], float).reshape(-1, len(FEATURES))
+            x = np.array([features(t) for t in raw(texts)], float).reshape(-1, len(FEATURES))
             yield pa.array(model.score(x), pa.float64())
 
     return score(text)
@@ -175,7 +175,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .orderBy(F.xxhash64("id"), "id").limit(max_rows))
     # The limit bounds the broadcast: max_rows pairs of numbers.
     rows = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "id")
+        small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "id")
         .select("id", "y", text_features("text").alias("x")).orderBy(F.xxhash64("id"), "id", "x").limit(max_rows).collect())
     x = np.array([r.x for r in rows], float).reshape(-1, len(FEATURES))
     return fit(x, np.array([r.y for r in rows], float))

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .frames import small_batches, values
 from .licenses import TEMPLATES
 
 _CUES = ("licen", "copyright", "rights reserved", "permission", "redistribut", "creative commons")
@@ -149,7 +150,7 @@ def licenses_of(text: Column, templates: list[tuple[str, str]] = TEMPLATES) -> C
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = _templates(given)
         for texts in batches:
-            yield pa.array([known.scan(t) for t in texts.to_pylist()], _ARROW)
+            yield pa.array([known.scan(t) for t in values(texts)], _ARROW)
 
     return found(text)
 
@@ -161,6 +162,6 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null identifiers are kept, repeated rows repeat, and texts without notices
     and empty tables give no rows.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(licenses_of(F.col(text_col), templates)).alias("f")).select("id", "f.*")
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.explode(licenses_of(F.col(text_col), templates)).alias("f")).select("id", "f.*")
     return rows.select(
         F.col("id").alias(id_col), "license", "start", "end", "saved", "n_words", F.size("differences").cast("bigint").alias("n_different"), "differences")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import cut_lineage
+from .frames import cut_lineage, raw, small_batches
 
 SEED = 42
 BITS = 64
@@ -57,7 +57,7 @@ def _fingerprints(words: int):
     @F.arrow_udf("long")
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            digests = b"".join(fingerprint(t or b"", words) for t in texts.cast(pa.large_binary()).to_pylist())
+            digests = b"".join(fingerprint(t or b"", words) for t in raw(texts))
             yield pa.array(np.frombuffer(digests, ">u8").astype(np.uint64).view(np.int64))
 
     return prints
@@ -65,7 +65,7 @@ def _fingerprints(words: int):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """``(id, fp)`` per document; A-Z lower-cased, words split at ASCII white space."""
-    return docs.select(F.col(id_col).alias("id"), _fingerprints(words)(F.col(text_col)).alias("fp"))
+    return small_batches(docs).select(F.col(id_col).alias("id"), _fingerprints(words)(F.col(text_col)).alias("fp"))
 
 
 class Forest:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .frames import small_batches, values
 from .hashing import run_hashes
 
 LEAST = 5
@@ -143,7 +144,7 @@ def _matched(items: list, kind: T.DataType, least: int, coverage: float, text: C
             yield pa.array([
                 [{"item_id": names[k], "item_words": len(known.words[k]), "covered": covered,
                   "tiles": [dict(zip(("word", "item_word", "words"), t)) for t in tiles]}
-                 for k, covered, tiles in known.matches(text, coverage)] for text in texts.to_pylist()], arrow)
+                 for k, covered, tiles in known.matches(text, coverage)] for text in values(texts)], arrow)
 
     return matched(text)
 
@@ -159,7 +160,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     kind = items.schema[item_col].dataType
     found = None
     for block in _blocks(items, item_col, item_text_col):
-        part = docs.select(F.col(id_col).alias(id_col), F.explode(_matched(block, kind, least, coverage, F.col(text_col))).alias("m"))
+        part = small_batches(docs).select(F.col(id_col).alias(id_col), F.explode(_matched(block, kind, least, coverage, F.col(text_col))).alias("m"))
         found = part if found is None else found.union(part)
     return found.select(
         F.col(id_col), "m.item_id", "m.item_words", "m.covered", (F.col("m.covered") / F.col("m.item_words")).alias("coverage"),
@@ -171,5 +172,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     """The documents that cover no item, with their columns as they are."""
     kind = items.schema[item_col].dataType
     for block in _blocks(items, item_col, item_text_col):
-        docs = docs.where(F.size(_matched(block, kind, least, coverage, F.col(text_col))) == 0)
+        docs = small_batches(docs).where(F.size(_matched(block, kind, least, coverage, F.col(text_col))) == 0)
     return docs

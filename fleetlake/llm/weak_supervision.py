@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .features import NAMES, counts
-from .frames import cut_lineage
+from .frames import cut_lineage, raw, small_batches
 
 
 def _share(a: str, b: str) -> Column:
@@ -108,7 +108,7 @@ def fit_votes(patterns: np.ndarray, weight: np.ndarray, balance: float | None =
 @F.arrow_udf(T.StructType([T.StructField(n, T.LongType()) for n in NAMES]))
 def text_counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
-        rows = [counts(t) for t in texts.cast(pa.large_binary()).to_pylist()]
+        rows = [counts(t) for t in raw(texts)]
         columns = zip(*rows) if rows else [[] for _ in NAMES]
         yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=NAMES)
 
@@ -124,7 +124,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     identifiers stay as they are, an empty table gives no rows.
     """
     all_rules = rules()
-    found = cut_lineage(docs.select(F.col(id_col).alias("id"), text_counts(F.col(text_col)).alias("c")).select("id", "c.*"))
+    found = cut_lineage(small_batches(docs).select(F.col(id_col).alias("id"), text_counts(F.col(text_col)).alias("c")).select("id", "c.*"))
     votes = found.select("id", *NAMES, *[r.vote().cast("int").alias(f"vote_{r.name}") for r in all_rules])
     names = [f"vote_{r.name}" for r in all_rules]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
