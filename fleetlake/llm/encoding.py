@@ -2,32 +2,54 @@
 
 Both vocabularies used here split a text before they merge, and never join
 characters on either side of a boundary "no white space, then white space" or
-"letter, then other". So a text is cut into words and those into runs of
-letters and of others; only runs not met before are encoded, and the ids of a
-text are strung together. Words with an apostrophe or with characters beyond
-ASCII and Latin-1 letters are encoded whole, as are texts with white space
-beyond blank, tab and line ends.
+"letter, then other". So a text is cut into words with the white space before
+them, found again by a 64-bit hash, and new words into runs of letters and of
+others; only runs not met before are encoded (runs of letters, which are never
+split again, by the merges alone), and the ids of a text are strung together.
+Words with an apostrophe or with characters beyond ASCII and Latin-1 letters
+are encoded whole, as are texts with white space beyond blank, tab and line
+ends.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
+from .frames import release
+from .hashing import Table, mixed
+
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-_WORD = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
-#: White space before a blank, or at either end: not every blank then starts a word.
-_RUN = re.compile(r"[ \t\r\n] |^[ \t\r\n]|[ \t\r\n]\Z")
+_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _WHOLE = re.compile(rf"[^\x00-\x7f{_LETTER}]|'")
 _PIECE = re.compile(rf"[ \t\r\n]*[{_LETTER}]+|[ \t\r\n]*[^ \t\r\n{_LETTER}]+|[ \t\r\n]+")
-_PLAIN = re.compile(rf" ?[{_LETTER}]+\Z")
-#: Distinct words remembered by a task before it starts afresh.
-MEMORY = 600_000
+# Byte-level vocabularies spell a byte by its Latin-1 character if that is printable, the others by those from 256 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SPELT = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_BLANK = chr(_SPELT[0x20])
+_BLANKS = ("", " ", "\t", "\r", "\n")
+_RUN_OF_LETTERS = re.compile(rf" ?[{_LETTER}]+\Z")
+#: Distinct words remembered by a task before it starts afresh, and bytes of text worked on at a time.
+MEMORY = 250_000
+GROUP_BYTES = 1_000_000
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x09, 0x0A, 0x0D, 0x20]] = True
+# An odd factor and its inverse modulo 2 to the 64, and a number per byte.
+_FACTOR = 0x9E3779B97F4A7C15
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_FACTOR))
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, factor, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
 
 
 class _Ids:
@@ -71,99 +93,133 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.blanks_count = self._ids([" a"])[0] != self._ids(["a"])[0]
         self.lower = self._ids(["A", "Ä"]) == self._ids(["a", "ä"])
-        line = self._ids(["\n"])[0]
-        self.line = line[0] if len(line) == 1 else None
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        if suffix:
-            self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.merge = self.tokenizer.model.tokenize
+        self.powers = self.inverses = np.empty(0, np.uint64)
         self._forget()
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _forget(self) -> None:
-        self.words, self.word_ids = _Numbers(), _Ids()
+        self.words, self.word_ids = Table(np.empty(0, np.uint64), np.empty(0, np.int64), -1), _Ids()
         self.pieces, self.piece_ids = _Numbers(), _Ids()
 
     def _one_by_one(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self._ids(pieces)
         return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
-    def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Runs of letters encoded as one text: cheaper. None if the ids don't show where each ends."""
-        between = "\n" if self.blanks_count else " "
-        ids = np.array(self._ids([between.join(pieces)])[0], np.uint32)
-        if self.blanks_count:
-            line = ids == self.line
-            ends = np.append(np.flatnonzero(line), len(ids)) - np.arange(int(line.sum()) + 1)
-            ids = ids[~line]
+    def _merged(self, run: str) -> list[int]:
+        """A run of letters goes to the merges directly, spelt in the vocabulary's letters for bytes."""
+        if run.isascii():
+            spelt = _BLANK + run[1:] if run[0] == " " else run
         else:
-            ends = np.flatnonzero(self.last[ids]) + 1
-        sizes = np.diff(ends, prepend=0)
-        return (ids, sizes) if len(sizes) == len(pieces) and ends[-1] == len(ids) and (sizes > 0).all() else None
+            spelt = run.encode().decode("latin-1").translate(_SPELT)
+        return [t.id for t in self.merge(spelt)]
 
     def _learn_pieces(self) -> None:
         new, self.pieces.new = self.pieces.new, []
-        plain = np.fromiter((_PLAIN.match(p) is not None for p in new), bool, len(new))
-        found = _Ids()
-        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
-        runs, rest = [new[i] for i in order[:plain.sum()].tolist()], [new[i] for i in order[plain.sum():].tolist()]
-        for i in range(0, len(runs), 10_000):
-            part = runs[i:i + 10_000]
-            found.append(*(self._together(part) or self._one_by_one(part)))
+        if not self.blanks_count:
+            new = [p.lstrip(" ") for p in new]
+        found: list = [self._merged(p) if _RUN_OF_LETTERS.match(p) else None for p in new]
+        rest = [k for k, ids in enumerate(found) if ids is None]
         for i in range(0, len(rest), 10_000):
-            found.append(*self._one_by_one(rest[i:i + 10_000]))
-        place = np.empty(len(new), np.int64)
-        place[order] = np.arange(len(new))
-        self.piece_ids.append(*found.gather(place))
-
-    def _learn_words(self) -> None:
-        new, self.words.new = self.words.new, []
-        numbers, sizes = [], np.zeros(len(new), np.int64)
-        for k, key in enumerate(new):
-            word = key if isinstance(key, str) and not self.blanks_count else " " + key if isinstance(key, str) else key[0]
-            if _WHOLE.search(word) or _ODD.search(word):
-                pieces = [word]
-            else:
-                pieces = _PIECE.findall(word.lower() if self.lower else word)
-            sizes[k] = len(pieces)
-            numbers += map(self.pieces.__getitem__, pieces)
+            part = rest[i:i + 10_000]
+            for k, ids in zip(part, self._ids([new[k] for k in part])):
+                found[k] = ids
+        self.piece_ids.append(np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def _learn_words(self, new: list[str]) -> None:
+        # Words after one blank are cut together; every one of them starts with the only blank in it.
+        plain = [i for i, w in enumerate(new) if w[0] == " " and w[1:2] not in _BLANKS]
+        text = "".join([new[i] for i in plain])
+        if _WHOLE.search(text) or _ODD.search(text):
+            plain = [i for i in plain if not _WHOLE.search(new[i]) and not _ODD.search(new[i])]
+            text = "".join([new[i] for i in plain])
+        pieces = _PIECE.findall(text.lower() if self.lower else text)
+        starts = np.fromiter((p[0] == " " for p in pieces), bool, len(pieces))
+        sizes = np.diff(np.append(np.flatnonzero(starts), len(pieces)))
+        seen, alone, counts = set(plain), [], []
+        for i, word in enumerate(new):
+            if i not in seen:
+                own = [word] if _WHOLE.search(word) or _ODD.search(word) else _PIECE.findall(word.lower() if self.lower else word)
+                pieces += own
+                alone.append(i)
+                counts.append(len(own))
+        numbers = self.pieces.of(pieces)
         if self.pieces.new:
             self._learn_pieces()
-        ids, each = self.piece_ids.gather(np.array(numbers, np.int64))
-        ends = np.concatenate(([0], np.cumsum(each)))[np.cumsum(sizes)]
-        self.word_ids.append(ids, np.diff(ends, prepend=0))
-
-    def _split(self, text: str) -> list:
-        """Words of a text: a string stands for itself after a blank (where blanks count), a tuple for its text as it is."""
-        if _ODD.search(text):
-            return [(text,)]
-        if not self.blanks_count:
-            return text.split()
-        if _RUN.search(text):
-            return [(w,) for w in _WORD.findall(text)]
-        words = text.split(" ")
-        words[0] = (words[0],)
-        return words
+        ids, each = self.piece_ids.gather(numbers)
+        ends = np.concatenate(([0], np.cumsum(each)))[np.cumsum(np.concatenate([sizes, np.array(counts, np.int64)]))]
+        found, place = _Ids(), np.empty(len(new), np.int64)
+        found.append(ids, np.diff(ends, prepend=0))
+        place[plain + alone] = np.arange(len(new))
+        self.word_ids.append(*found.gather(place))
+
+    def _group(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts with characters, and how many each has."""
+        coded = [t.encode() for t in texts]
+        data = np.frombuffer(b"".join(coded), np.uint8)
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        first = np.cumsum(sizes) - sizes
+        space = _SPACE[data]
+        cut = np.zeros(len(data), bool)
+        cut[1:] = space[1:] & ~space[:-1]
+        for k in [k for k, t in enumerate(texts) if _ODD.search(t)]:
+            cut[first[k]:first[k] + sizes[k]] = False
+        cut[first] = True
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], len(data))
+        # The hash of a slice from running sums, brought to the same power wherever it stands.
+        if len(self.powers) <= len(data):
+            self.powers, self.inverses = (_powers(f, len(data) + GROUP_BYTES // 4) for f in (_FACTOR, _INVERSE))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * self.powers[:len(data)])))
+        hashes = mixed((sums[end] - sums[start]) * self.inverses[start] + (end - start).astype(np.uint64))
+        numbers = self.words.get(hashes)
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            new, at, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            joined = data.tobytes()
+            at = missing[at]
+            self._learn_words([joined[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist())])
+            known = np.arange(self.words.used, self.words.used + len(new))
+            self.words.add(new, known)
+            numbers[missing] = known[which]
+        ids, each = self.word_ids.gather(numbers)
+        return ids, np.add.reduceat(each, np.searchsorted(start, first))
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and the number of each; ``end`` is appended to every text. A null text is empty."""
-        if len(self.words) > MEMORY:
-            self._forget()
-        at = [self.words.of(self._split(text)) if text else np.empty(0, np.int64) for text in texts]
-        if self.words.new:
-            self._learn_words()
-        out, sizes = [], np.zeros(len(texts), np.int64)
-        tail = np.array([] if end is None else [end], np.uint32)
-        for k, words in enumerate(at):
-            ids, _ = self.word_ids.gather(words)
-            out += [ids, tail]
-            sizes[k] = len(ids) + len(tail)
-        return np.concatenate(out) if out else np.empty(0, np.uint32), sizes
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder per vocabulary and Python worker."""
+        sizes, out = np.zeros(len(texts), np.int64), [np.empty(0, np.uint32)]
+        full = [k for k, t in enumerate(texts) if t]
+        i = 0
+        while i < len(full):
+            j, held = i, 0
+            while j < len(full) and (j == i or held + len(texts[full[j]]) <= GROUP_BYTES):
+                held += len(texts[full[j]])
+                j += 1
+            if self.words.used > MEMORY:
+                self._forget()
+            ids, n = self._group([texts[k] for k in full[i:j]])
+            out.append(ids)
+            sizes[full[i:j]] = n
+            i = j
+        ids = np.concatenate(out)
+        if end is None:
+            return ids, sizes
+        return np.insert(ids, np.cumsum(sizes), np.uint32(end)), sizes + 1
+
+
+@lru_cache(maxsize=1)
+def _loaded(path: str) -> Encoder:
     return Encoder(path)
+
+
+@contextmanager
+def encoder(path: str) -> Iterator[Encoder]:
+    """The worker's encoder; the words it met are forgotten at the end, as workers outlive tasks."""
+    loaded = _loaded(path)
+    try:
+        yield loaded
+    finally:
+        loaded._forget()
+        release()

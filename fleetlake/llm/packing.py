@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .encoding import encoder
-from .frames import cut_lineage, pieces_of
+from .encoding import Encoder, encoder
+from .frames import cut_lineage, pieces_of, small_batches
 
 CAPACITY = 2048
 #: Classes of neighbouring lengths that are the rows of the program, and rounds of weights.
@@ -195,10 +195,14 @@ PIECES = "id {id}, piece int, start bigint, length bigint, ids_crc32 bigint, blo
 def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = 0) -> DataFrame:
     """Token pieces of at most ``capacity`` ids, numbered per length within the task (``block``) that made them."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with encoder(vocabulary) as known:
+            yield from encoded(known, batches)
+
+    def encoded(known: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, numbers = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for whole in batches:
-            for batch in pieces_of(whole, "text", 8_000_000):
-                ids, sizes = encoder(vocabulary).encode(batch.column("text").to_pylist(), end)
+            for batch in pieces_of(whole, "text", 4_000_000):
+                ids, sizes = known.encode(batch.column("text").to_pylist(), end)
                 data, first = ids.astype("<u4"), np.cumsum(sizes) - sizes
                 parts = -(-sizes // capacity)
                 row = np.repeat(np.arange(len(sizes)), parts)
@@ -218,7 +222,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 ], names=["id", "piece", "start", "length", "ids_crc32", "block", "number"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES.format(id=kind))
+    return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES.format(id=kind))
 
 
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = 0) -> DataFrame:

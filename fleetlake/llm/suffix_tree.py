@@ -25,7 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import held_out, pieces_of, shared_path
+from .frames import held_out, pieces_of, release, shared_path, small_batches
+from .hashing import Table
 
 DEPTH = 5
 END = b"\n"
@@ -37,7 +38,7 @@ PENALTY = 0.25
 MAX_ENTRIES = 1_000_000
 #: Words whose counts are sent to the tasks; the counts of all others are joined.
 FREQUENT = 200_000
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 3_000_000
 HELD_FOLDS = 5
 
 
@@ -87,43 +88,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             grams.append((keys[first], np.diff(np.append(first, len(keys)))))
             held += len(first)
-            if held > 2_000_000 or len(words) > 500_000:
+            if held > 1_500_000 or len(words) > 400_000:
                 yield from flush()
                 held = 0
     yield from flush()
-
-
-class Table:
-    """Numbers by 64-bit key, open addressing; a lookup of an absent key gives the last slot, which holds nan."""
-
-    EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
-        size = 1 << self.bits
-        self.keys, self.values = np.full(size + 1, self.EMPTY), np.full(size + 1, np.nan, np.float32)
-        left, at = np.arange(len(keys)), self._slot(keys)
-        while len(left):
-            free = np.flatnonzero(self.keys[at] == self.EMPTY)
-            slots, pick = np.unique(at[free], return_index=True)
-            put = free[pick]
-            self.keys[slots], self.values[slots] = keys[left[put]], values[left[put]]
-            stay = np.ones(len(left), bool)
-            stay[put] = False
-            left, at = left[stay], (at[stay] + 1) & (size - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        at = self._slot(keys)
-        found = self.keys[at]
-        open_ = np.flatnonzero((found != keys) & (found != self.EMPTY))
-        while len(open_):
-            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
-            found = self.keys[at[open_]]
-            open_ = open_[(found != keys[open_]) & (found != self.EMPTY)]
-        return self.values[at]
+    release()
 
 
 def _per_key(function, keys: np.ndarray) -> np.ndarray:
@@ -162,7 +131,7 @@ class SuffixTree:
         root = np.full(256, 0.5)
         top = depth == 0
         root[gram[top].astype(np.int64)] += n[top]
-        tree = cls(np.log10(root / root.sum()).astype(np.float32), Table(np.empty(0, np.uint64), np.empty(0)))
+        tree = cls(np.log10(root / root.sum()).astype(np.float32), Table(np.empty(0, np.uint64), np.empty(0, np.float32)))
         keys, values = [], []
         for d in range(1, DEPTH + 1):
             mine = depth == d
@@ -175,7 +144,7 @@ class SuffixTree:
             states, first = np.unique(g >> np.uint64(8), return_index=True)
             keys.append(_state(d, states))
             values.append(np.log10(SMOOTHING / (whole[first] + SMOOTHING)))
-            tree.table = Table(np.concatenate(keys), np.concatenate(values))
+            tree.table = Table(np.concatenate(keys), np.concatenate(values).astype(np.float32))
         return tree
 
     def log10(self, grams: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -247,7 +216,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives no rows, an empty training set uniform distributions.
     """
     spark: SparkSession = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("held", held_out("id", folds))
+    docs = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("held", held_out("id", folds))
     counts = count_corpus(docs.where(~F.col("held")))
     words = counts.where("word is not null").select("word", "n")
     # Ends are bytes too: each training text has one.

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .encoding import encoder
-from .frames import pieces_of
+from .encoding import Encoder, encoder
+from .frames import pieces_of, small_batches
 from .wavelet import Plane, WaveletMatrix
 
 #: Ids of a shard; a shard ends with a document, so a longer document makes a longer one.
@@ -47,6 +47,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
     arrow = to_arrow_schema(_shard_type(kind))
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with encoder(vocabulary) as known:
+            yield from encoded(known, batches)
+
+    def encoded(known: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, names, ids, sizes, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def shard() -> pa.RecordBatch:
@@ -58,7 +62,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
 
         for whole in batches:
             for batch in pieces_of(whole, "text", BATCH_BYTES):
-                found, lengths = encoder(vocabulary).encode(batch.column("text").to_pylist(), end)
+                found, lengths = known.encode(batch.column("text").to_pylist(), end)
                 # Documents join the open shard until it is full.
                 stops = np.cumsum(lengths)
                 first, done = 0, 0
@@ -77,7 +81,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
         if names:
             yield shard()
 
-    (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    (small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
      .repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(shards, _shard_type(kind))
      .write.option("maxRecordsPerFile", 1).option("compression", "zstd").parquet(path))
 

@@ -7,6 +7,7 @@ import pytest
 from odd import with_odd
 
 from fleetlake.llm import suffix_tree as S
+from fleetlake.llm.hashing import Table
 
 SF = "/root/testdata/sf0.001"
 
@@ -96,6 +97,8 @@ def test_model_bound_and_gain_over_words(spark):
 def test_table():
     rng = np.random.default_rng(3)
     keys = np.unique(rng.integers(0, 1 << 60, 5000).astype(np.uint64))
-    table = S.Table(keys, np.arange(len(keys)))
+    table = Table(keys[:100], np.arange(100), -1)
+    for i in range(100, len(keys), 700):
+        table.add(keys[i:i + 700], np.arange(i, min(i + 700, len(keys))))
     assert (table.get(keys) == np.arange(len(keys))).all()
-    assert np.isnan(table.get(keys + np.uint64(1 << 61))).all()
+    assert (table.get(keys + np.uint64(1 << 61)) == -1).all()
