@@ -36,7 +36,7 @@ SMOOTHING = 2.0
 PENALTY = 0.25
 #: Entries (context, byte) of the model that is sent to the tasks; the penalty doubles until it fits.
 MAX_ENTRIES = 1_000_000
-#: Words whose counts are sent to the tasks; the counts of all others are joined.
+#: Most words whose counts are sent to the tasks; the counts of all others are joined.
 FREQUENT = 200_000
 BLOCK_BYTES = 3_000_000
 HELD_FOLDS = 5
@@ -207,6 +207,21 @@ def count_corpus(train: DataFrame, text_col: str = "text") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def frequent_words(words: DataFrame, most: int) -> DataFrame:
+    """The words with the largest counts, at most ``most``: all from a count on, so that no task sorts them.
+
+    The count is found from a histogram of eight classes per doubling.
+    """
+    size = F.floor(F.log2("n") * 8)
+    held, least = 0, None
+    for r in sorted(words.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):
+        held += r["count"]
+        if held > most:
+            break
+        least = r["size"]
+    return words.where(F.lit(False) if least is None else size >= least)
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = HELD_FOLDS,
                 max_entries: int = MAX_ENTRIES, frequent: int = FREQUENT) -> DataFrame:
     """Per row ``held_out, n_tokens, n_known, train_tokens, base_score, score``; learnt outside the held-out fold.
@@ -225,7 +240,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total += ends
     room = total + 0.5 * (distinct + (ends > 0) + 1)
     tree = learn_tree(counts.where("gram is not null").select("gram", "n"), max_entries)
-    top = words.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
+    top = frequent_words(words, frequent).toArrow()
     model = spark.sparkContext.broadcast((tree, top.column("word").to_pylist(), top.column("n").to_numpy()))
     log_room, end_score = math.log10(room), math.log10((ends + 0.5) / room)
 
