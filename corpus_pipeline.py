@@ -38,8 +38,11 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of the documents and their places in sequences."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """The token pieces of the documents and their places in sequences.
+
+    Workers have held four stages before this one, so they remember fewer words.
+    """
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), memory=200_000)
 
 
 STAGES = [

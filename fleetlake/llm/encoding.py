@@ -32,11 +32,11 @@ _PIECE = re.compile(rf"[ \t\r\n]*[{_LETTER}]+|[ \t\r\n]*[^ \t\r\n{_LETTER}]+|[ \
 # Byte-level vocabularies spell a byte by its Latin-1 character if that is printable, the others by those from 256 on.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _SPELT = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-_BLANK = chr(_SPELT[0x20])
+del _SPELT[0x0A]  # parts the runs while they are spelt
 _BLANKS = ("", " ", "\t", "\r", "\n")
 _RUN_OF_LETTERS = re.compile(rf" ?[{_LETTER}]+\Z")
-#: Distinct words remembered by a task before it starts afresh, and bytes of text worked on at a time.
-MEMORY = 250_000
+#: Distinct words remembered before starting afresh (about 170 bytes each), and bytes of text worked on at a time.
+MEMORY = 400_000
 GROUP_BYTES = 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x09, 0x0A, 0x0D, 0x20]] = True
@@ -93,7 +93,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.blanks_count = self._ids([" a"])[0] != self._ids(["a"])[0]
         self.lower = self._ids(["A", "Ä"]) == self._ids(["a", "ä"])
-        self.merge = self.tokenizer.model.tokenize
+        self.merge, self.memory = self.tokenizer.model.tokenize, MEMORY
         self.powers = self.inverses = np.empty(0, np.uint64)
         self._forget()
 
@@ -108,19 +108,20 @@ class Encoder:
         found = self._ids(pieces)
         return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
-    def _merged(self, run: str) -> list[int]:
-        """A run of letters goes to the merges directly, spelt in the vocabulary's letters for bytes."""
-        if run.isascii():
-            spelt = _BLANK + run[1:] if run[0] == " " else run
-        else:
-            spelt = run.encode().decode("latin-1").translate(_SPELT)
-        return [t.id for t in self.merge(spelt)]
+    def _merged(self, runs: list[str]) -> list[list[int]]:
+        """Runs of letters go to the merges directly, spelt in the vocabulary's letters for bytes."""
+        spelt = "\n".join(runs).encode().decode("latin-1").translate(_SPELT)
+        merge = self.merge
+        return [[t.id for t in merge(run)] for run in spelt.split("\n")] if runs else []
 
     def _learn_pieces(self) -> None:
         new, self.pieces.new = self.pieces.new, []
         if not self.blanks_count:
             new = [p.lstrip(" ") for p in new]
-        found: list = [self._merged(p) if _RUN_OF_LETTERS.match(p) else None for p in new]
+        found: list = [None] * len(new)
+        runs = [k for k, p in enumerate(new) if _RUN_OF_LETTERS.match(p)]
+        for k, ids in zip(runs, self._merged([new[k] for k in runs])):
+            found[k] = ids
         rest = [k for k, ids in enumerate(found) if ids is None]
         for i in range(0, len(rest), 10_000):
             part = rest[i:i + 10_000]
@@ -197,7 +198,7 @@ class Encoder:
             while j < len(full) and (j == i or held + len(texts[full[j]]) <= GROUP_BYTES):
                 held += len(texts[full[j]])
                 j += 1
-            if self.words.used > MEMORY:
+            if self.words.used > self.memory:
                 self._forget()
             ids, n = self._group([texts[k] for k in full[i:j]])
             out.append(ids)
@@ -215,11 +216,13 @@ def _loaded(path: str) -> Encoder:
 
 
 @contextmanager
-def encoder(path: str) -> Iterator[Encoder]:
-    """The worker's encoder; the words it met are forgotten at the end, as workers outlive tasks."""
+def encoder(path: str, memory: int = MEMORY, keep: bool = False) -> Iterator[Encoder]:
+    """The worker's encoder. Workers outlive tasks: the words met are forgotten at the end, or kept for the next task."""
     loaded = _loaded(path)
+    loaded.memory = memory
     try:
         yield loaded
     finally:
-        loaded._forget()
+        if not keep:
+            loaded._forget()
         release()

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .encoding import Encoder, encoder
+from .encoding import MEMORY, Encoder, encoder
 from .frames import cut_lineage, pieces_of, small_batches
 
 CAPACITY = 2048
@@ -192,10 +192,10 @@ def places(configs: list[tuple[list[int], int]]) -> tuple[np.ndarray, ...]:
 PIECES = "id {id}, piece int, start bigint, length bigint, ids_crc32 bigint, block int, number bigint"
 
 
-def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = 0, memory: int = MEMORY) -> DataFrame:
     """Token pieces of at most ``capacity`` ids, numbered per length within the task (``block``) that made them."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with encoder(vocabulary) as known:
+        with encoder(vocabulary, memory) as known:
             yield from encoded(known, batches)
 
     def encoded(known: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +225,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES.format(id=kind))
 
 
-def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = 0) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = 0, memory: int = MEMORY) -> DataFrame:
     """One row per piece: where it comes from and its ``sequence_id`` and ``offset``.
 
     The pieces (no ids) are written once. Their numbers within a length are
@@ -234,7 +234,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     empty texts are one piece of the end id; repeated rows are packed each,
     an empty table gives no rows.
     """
-    cut = cut_lineage(pieces(docs, vocabulary, id_col, text_col, capacity, end))
+    cut = cut_lineage(pieces(docs, vocabulary, id_col, text_col, capacity, end, memory))
     counts = cut_lineage(cut.groupBy("block", "length").agg(F.count("*").alias("n")))
     before = cut_lineage(counts.select(
         "block", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).alias("before")))

@@ -66,6 +66,19 @@ class Plane:
         return low
 
 
+def _split(ids: np.ndarray, bit: np.ndarray, zeros: int, step: int = 1 << 16) -> np.ndarray:
+    """Ids with a 0, then those with a 1, in pieces that stay in the processor's cache."""
+    out, low, high = np.empty_like(ids), 0, zeros
+    for i in range(0, len(ids), step):
+        part, one = ids[i:i + step], bit[i:i + step]
+        ones = np.compress(one, part)
+        out[high:high + len(ones)] = ones
+        high += len(ones)
+        out[low:low + len(part) - len(ones)] = np.compress(~one, part)
+        low += len(part) - len(ones)
+    return out
+
+
 @dataclass
 class WaveletMatrix:
     size: int
@@ -77,9 +90,9 @@ class WaveletMatrix:
         rest = ids.astype(np.uint16 if levels <= 16 else np.uint32)
         planes = []
         for shift in range(levels - 1, -1, -1):
-            bit = (rest >> shift & 1).astype(bool)
+            bit = (rest & rest.dtype.type(1 << shift)) != 0
             planes.append(Plane.of(bit))
-            rest = np.concatenate([rest[~bit], rest[bit]])
+            rest = _split(rest, bit, planes[-1].zeros)
         return cls(len(ids), planes)
 
     def decode(self) -> np.ndarray:
@@ -87,8 +100,8 @@ class WaveletMatrix:
         rest = np.zeros(self.size, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for shift, plane in enumerate(reversed(self.planes)):
             bit, above = plane.unpack(self.size), np.empty_like(rest)
-            above[~bit] = rest[:plane.zeros]
-            above[bit] = rest[plane.zeros:] | rest.dtype.type(1 << shift)
+            above[np.flatnonzero(~bit)] = rest[:plane.zeros]
+            above[np.flatnonzero(bit)] = rest[plane.zeros:] | rest.dtype.type(1 << shift)
             rest = above
         return rest.astype(np.uint32)
 
