@@ -40,6 +40,9 @@ MEMORY = 400_000
 GROUP_BYTES = 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x09, 0x0A, 0x0D, 0x20]] = True
+# Bytes that odd white space is, or begins with.
+_ODD_BYTE = np.zeros(256, bool)
+_ODD_BYTE[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 # An odd factor and its inverse modulo 2 to the 64, and a number per byte.
 _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
@@ -53,7 +56,7 @@ def _powers(factor: int, n: int) -> np.ndarray:
 
 
 class _Ids:
-    """Ids of numbered strings in one array."""
+    """Ids of numbered strings in one array, far below 2 to the 31 of them."""
 
     def __init__(self):
         self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
@@ -66,7 +69,10 @@ class _Ids:
         """The ids of the strings in a row, and how many each has."""
         first = self.ends[numbers]
         n = self.ends[numbers + 1] - first
-        return self.ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+        ends = np.cumsum(n)
+        at = np.repeat((first - (ends - n)).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.ids.take(at), n
 
 
 class _Numbers(dict):
@@ -110,9 +116,16 @@ class Encoder:
 
     def _merged(self, runs: list[str]) -> list[list[int]]:
         """Runs of letters go to the merges directly, spelt in the vocabulary's letters for bytes."""
-        spelt = "\n".join(runs).encode().decode("latin-1").translate(_SPELT)
-        merge = self.merge
-        return [[t.id for t in merge(run)] for run in spelt.split("\n")] if runs else []
+        merge, out = self.merge, [None] * len(runs)
+        plain = [k for k, r in enumerate(runs) if r.isascii()]
+        other = [k for k, r in enumerate(runs) if not r.isascii()]
+        spelt = "\n".join([runs[k] for k in plain]).replace(" ", chr(_SPELT[0x20])).split("\n")
+        for k, run in zip(plain, spelt):
+            out[k] = [t.id for t in merge(run)]
+        spelt = "\n".join([runs[k] for k in other]).encode().decode("latin-1").translate(_SPELT).split("\n")
+        for k, run in zip(other, spelt):
+            out[k] = [t.id for t in merge(run)]
+        return out
 
     def _learn_pieces(self) -> None:
         new, self.pieces.new = self.pieces.new, []
@@ -165,8 +178,9 @@ class Encoder:
         space = _SPACE[data]
         cut = np.zeros(len(data), bool)
         cut[1:] = space[1:] & ~space[:-1]
-        for k in [k for k, t in enumerate(texts) if _ODD.search(t)]:
-            cut[first[k]:first[k] + sizes[k]] = False
+        if _ODD_BYTE[data].any():
+            for k in [k for k, t in enumerate(texts) if _ODD.search(t)]:
+                cut[first[k]:first[k] + sizes[k]] = False
         cut[first] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))

@@ -53,7 +53,7 @@ def op10_config_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op7_wavelet_files(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     token_files.write_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
-    return token_files.read_documents(spark, path).drop("ids")
+    return token_files.read_documents(spark, path, with_ids=False)
 
 
 @query

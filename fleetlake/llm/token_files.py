@@ -36,18 +36,19 @@ def _shard_type(kind: T.DataType) -> T.StructType:
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end: int = 0,
-                 shard_tokens: int = SHARD_TOKENS) -> None:
+                 shard_tokens: int = SHARD_TOKENS, memory: int = 1_000_000) -> None:
     """Encode every text, append ``end`` and write the shards below ``path``.
 
     Documents are dealt by ranges of the identifier, so only the texts are
-    shuffled, once. Null and empty texts are the end id alone; null
+    shuffled, once. A worker remembers up to ``memory`` distinct words from task
+    to task. Null and empty texts are the end id alone; null
     identifiers come first, equal identifiers in order of their texts.
     """
     kind = docs.schema[id_col].dataType
     arrow = to_arrow_schema(_shard_type(kind))
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with encoder(vocabulary) as known:
+        with encoder(vocabulary, memory, keep=True) as known:
             yield from encoded(known, batches)
 
     def encoded(known: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,13 +101,13 @@ def shard_starts(spark: SparkSession, path: str) -> DataFrame:
     return sizes.select("part", "shard", (F.sum("n_tokens").over(order) - F.col("n_tokens")).alias("first"))
 
 
-def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """Per document ``(id, start, n_tokens, ids_crc32, ids)`` from the files; ``ids`` are little-endian 32-bit."""
+def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
+    """Per document ``(id, start, n_tokens, ids_crc32, ids)`` from the files; ``ids`` are little-endian 32-bit, or left out."""
     kind = spark.read.parquet(path).schema["ids"].dataType.elementType
     out = T.StructType([
         T.StructField("part", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("id", kind),
         T.StructField("local", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()),
-        T.StructField("ids", T.BinaryType())])
+        *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
     arrow = to_arrow_schema(out)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,12 +117,13 @@ def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> Da
                 data = _matrix(row).decode().astype("<u4")
                 lengths = np.array(row["lengths"], np.int64)
                 local = np.cumsum(lengths) - lengths
-                ids = [data[a:a + n].tobytes() for a, n in zip(local.tolist(), lengths.tolist())]
-                columns = [[row["part"]] * len(ids), [row["shard"]] * len(ids), row["ids"], local, lengths, [zlib.crc32(x) for x in ids], ids]
+                ids = [data[a:a + n] for a, n in zip(local.tolist(), lengths.tolist())]
+                columns = [[row["part"]] * len(ids), [row["shard"]] * len(ids), row["ids"], local, lengths, [zlib.crc32(x) for x in ids]]
+                columns += [[x.tobytes() for x in ids]] if with_ids else []
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     read = spark.read.parquet(path).mapInArrow(documents, out).join(shard_starts(spark, path), ["part", "shard"])
-    return read.select(F.col("id").alias(id_col), (F.col("first") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    return read.select(F.col("id").alias(id_col), (F.col("first") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
 def occurrences(spark: SparkSession, path: str, token: int) -> DataFrame:
