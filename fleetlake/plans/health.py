@@ -267,7 +267,8 @@ def _(t):
 
 @query("hlt12_all_statement_costs", f"""
     WITH s AS ({STATEMENTS})
-    SELECT userid, query, CAST(total_time AS DOUBLE) AS total_time, calls, n_rows AS rows, round(CAST(total_time AS DOUBLE) / calls, 2) AS avg_time,
+    SELECT userid, query, CAST(total_time AS DOUBLE) AS total_time, calls, n_rows AS rows,
+           CAST((2 * CAST(total_time * 100 AS HUGEINT) + calls) // (2 * calls) AS DOUBLE) / 100.0::DOUBLE AS avg_time,
            round(CAST(total_time AS DOUBLE) * 100 / CAST((SELECT sum(total_time) FROM s) AS DOUBLE), 2) AS percentage_cpu,
            round(100.0::DOUBLE * hits / (hits + disk), 2) AS hit_percent FROM s""")
 def _(t):
