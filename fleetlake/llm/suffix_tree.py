@@ -8,6 +8,9 @@ worth. A byte is scored in the state of the longest kept suffix of what stands
 before it; a state's counts are smoothed by its next shorter kept suffix, the
 root's by the uniform distribution. So every text has a probability.
 
+Every kept context is used. The states that occur most are sent to the tasks;
+bytes that may have a longer state are looked up by a join with the others.
+
 The base score is that of single words with add-half smoothing.
 """
 
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import held_out, pieces_of, release, shared_path, small_batches
-from .hashing import Table
+from .hashing import Table, mixed
 
 DEPTH = 5
 END = b"\n"
@@ -34,8 +37,10 @@ END = b"\n"
 SMOOTHING = 2.0
 #: A context's divergence must exceed PENALTY * distinct next bytes * ln(all bytes) / 2 nats.
 PENALTY = 0.25
-#: Entries (context, byte) of the model that is sent to the tasks; the penalty doubles until it fits.
-MAX_ENTRIES = 1_000_000
+#: Most entries (context, byte) sent to the tasks, those of the states that occur most; all others are joined.
+SENT_ENTRIES = 1_000_000
+#: Bits of the filter that tells which states are not sent; more states only make more bytes be looked up.
+FILTER_BITS = 27
 #: Most words whose counts are sent to the tasks; the counts of all others are joined.
 FREQUENT = 200_000
 BLOCK_BYTES = 3_000_000
@@ -118,12 +123,42 @@ def _state(depth: int, contexts: np.ndarray) -> np.ndarray:
     return contexts & _mask(depth) | np.uint64(depth + 128 << 56)
 
 
+def _filter_bits(states: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each state in a filter of ``size`` bits, a power of two."""
+    hashes, low = mixed(states), np.uint64(size - 1)
+    return (hashes & low).astype(np.int64), (hashes >> np.uint64(32) & low).astype(np.int64)
+
+
+def _filter_places(size: int):
+    """States to their places; Spark's bitmap functions count from 1."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            depth, context = (batch.column(c).to_numpy().astype(np.uint64) for c in ("depth", "context"))
+            places = _filter_bits(context | depth + np.uint64(128) << np.uint64(56), size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places) + 1)], names=["place"])
+
+    return run
+
+
 @dataclass
 class SuffixTree:
-    """Log10 probabilities of entries, and of leaving a state for its shorter suffix."""
+    """Log10 probabilities of entries, and of leaving a state for its shorter suffix; a filter of the states that are elsewhere."""
 
     root: np.ndarray
     table: Table
+    elsewhere: np.ndarray | None = None
+
+    FOUND = np.dtype([("log", np.float32), ("more", bool)])
+
+    def look_up(self, grams: np.ndarray) -> np.ndarray:
+        """``log10`` of every key, and whether it may have a longer state that is not here."""
+        out = np.zeros(len(grams), self.FOUND)
+        out["log"] = self.log10(grams)
+        if self.elsewhere is not None:
+            for d in range(1, DEPTH + 1):
+                a, b = _filter_bits(_state(d, grams >> np.uint64(8)), 8 * len(self.elsewhere))
+                out["more"] |= (self.elsewhere[a >> 3] >> (a & 7) & self.elsewhere[b >> 3] >> (b & 7) & 1).astype(bool)
+        return out
 
     @classmethod
     def of(cls, depth: np.ndarray, gram: np.ndarray, n: np.ndarray, total: np.ndarray) -> SuffixTree:
@@ -186,17 +221,48 @@ def keep_contexts(grams: DataFrame, penalty: float = PENALTY) -> DataFrame:
         "depth", "context", "total", "next", "gain", "price")
 
 
-def learn_tree(grams: DataFrame, max_entries: int = MAX_ENTRIES, penalty: float = PENALTY) -> SuffixTree:
-    """The tree of the counted bytes; the kept contexts are written once, their bounded number is collected."""
+def learn_tree(grams: DataFrame, max_entries: int | None = None, penalty: float = PENALTY, sent: int = SENT_ENTRIES) -> tuple[SuffixTree, DataFrame | None]:
+    """The tree of the counted bytes with at most ``sent`` entries besides the root's, and the other kept contexts if there are any.
+
+    The kept contexts are written once. A state occurs no more often than its
+    suffixes, so the states left out are longer than those sent with them. Only
+    with ``max_entries`` the price of a context doubles until so many fit.
+    """
     spark, path = grams.sparkSession, shared_path(grams.sparkSession, "contexts")
     keep_contexts(grams, penalty).write.parquet(path)
     kept, factor = spark.read.parquet(path), 1.0
-    while (kept.where(f"depth = 0 or gain > {factor} * price").agg(F.sum(F.size("next"))).first()[0] or 0) > max_entries:
+    while max_entries is not None and (kept.where(f"depth = 0 or gain > {factor} * price").agg(F.sum(F.size("next"))).first()[0] or 0) > max_entries:
         factor *= 2
-    rows = kept.where(f"depth = 0 or gain > {factor} * price").select("depth", "context", "total", F.explode("next").alias("x")).select(
+    kept = kept.where(f"depth = 0 or gain > {factor} * price").withColumn("class", F.floor(F.log2("total") * 8))
+    held, least, others = 0, 0, None
+    for r in sorted(kept.where("depth > 0").groupBy("class").agg(F.sum(F.size("next")).alias("n")).collect(), key=lambda r: -r["class"]):
+        held += r["n"]
+        if held > sent:
+            least = r["class"] + 1
+            others = kept.where(f"depth > 0 and class < {least}").select("depth", "context", "total", "next")
+            break
+    rows = kept.where(f"depth = 0 or class >= {least}").select("depth", "context", "total", F.explode("next").alias("x")).select(
         "depth", (F.shiftleft("context", 8).bitwiseOR(F.col("x.byte"))).alias("gram"), F.col("x.n").alias("n"), "total").toArrow()
     column = lambda c: rows.column(c).to_numpy()
-    return SuffixTree.of(column("depth"), column("gram").view(np.uint64), column("n"), column("total"))
+    tree = SuffixTree.of(column("depth"), column("gram").view(np.uint64), column("n"), column("total"))
+    if others is not None:
+        tree.elsewhere = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+        places = others.select("depth", "context").mapInArrow(_filter_places(1 << FILTER_BITS), "place bigint")
+        for r in places.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).toLocalIterator():
+            bits = np.frombuffer(r["bits"], np.uint8)
+            at = (r["bucket"] - 1) * len(bits)
+            tree.elsewhere[at:at + len(bits)] = bits[:len(tree.elsewhere) - at]
+    return tree, others
+
+
+def longer_states(asked: DataFrame, others: DataFrame) -> DataFrame:
+    """``(gram, log)`` for distinct ``(gram, log)``: the log10 probability in the sent states carried on through the other states, shortest first."""
+    levels = asked.select("gram", F.explode(F.sequence(F.lit(1), F.lit(DEPTH))).alias("depth")).withColumn(
+        "context", F.expr("shiftrightunsigned(gram, 8) & (shiftleft(1L, 8 * depth) - 1)"))
+    n = F.coalesce(F.expr("get(filter(next, x -> x.byte = (gram & 255)), 0).n"), F.lit(0))
+    states = levels.join(others, ["depth", "context"]).groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("depth", n.alias("n"), "total"))).alias("states"))
+    p = F.aggregate("states", F.pow(F.lit(10.0), F.col("log")), lambda p, x: (x["n"] + SMOOTHING * p) / (x["total"] + SMOOTHING))
+    return asked.join(states, "gram", "left").select("gram", F.when(F.col("states").isNull(), F.col("log")).otherwise(F.log10(p)).alias("log"))
 
 
 def count_corpus(train: DataFrame, text_col: str = "text") -> DataFrame:
@@ -223,7 +289,7 @@ def frequent_words(words: DataFrame, most: int) -> DataFrame:
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = HELD_FOLDS,
-                max_entries: int = MAX_ENTRIES, frequent: int = FREQUENT) -> DataFrame:
+                max_entries: int | None = None, frequent: int = FREQUENT, sent: int = SENT_ENTRIES) -> DataFrame:
     """Per row ``held_out, n_tokens, n_known, train_tokens, base_score, score``; learnt outside the held-out fold.
 
     A null text is empty: its only token is the end. Repeated rows are learnt
@@ -239,7 +305,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     total += ends
     room = total + 0.5 * (distinct + (ends > 0) + 1)
-    tree = learn_tree(counts.where("gram is not null").select("gram", "n"), max_entries)
+    tree, longer = learn_tree(counts.where("gram is not null").select("gram", "n"), max_entries, sent=sent)
     top = frequent_words(words, frequent).toArrow()
     model = spark.sparkContext.broadcast((tree, top.column("word").to_pylist(), top.column("n").to_numpy()))
     log_room, end_score = math.log10(room), math.log10((ends + 0.5) / room)
@@ -261,26 +327,42 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     rare.append(list(others))
                     times.append(list(others.values()))
                 keys, sizes = _stream([b" ".join(t) for t in texts])
-                log = _per_key(tree.log10, keys).astype(float)
+                found = _per_key(tree.look_up, keys)
+                # Bytes that may have a longer state are left to the join: per text its distinct keys, how often, and what is known of them.
+                more = np.flatnonzero(found["more"])
+                owner = np.repeat(np.arange(len(texts)), sizes)[more]
+                order = np.lexsort((keys[more], owner))
+                more, owner = more[order], owner[order]
+                first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (keys[more][1:] != keys[more][:-1])))[:len(more)])
+                cuts = pa.array(np.searchsorted(owner[first], np.arange(len(texts) + 1)), pa.int32())
+                asked = [keys[more[first]].view(np.int64), np.diff(np.append(first, len(more))), found["log"][more[first]].astype(float)]
+                log = np.where(found["more"], 0.0, found["log"].astype(float))
                 scores = np.add.reduceat(log, np.cumsum(sizes) - sizes)
                 rows = np.arange(row, row + len(texts))
                 row += len(texts)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(rows), batch.column("id"), batch.column("held"), pa.array([len(t) + 1 for t in texts], pa.int64()),
                     pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.array(rare, pa.list_(pa.binary())),
-                    pa.array(times, pa.list_(pa.int64())),
-                ], names=["row", "id", "held", "n_tokens", "known", "base", "score", "rare", "times"])
+                    pa.array(times, pa.list_(pa.int64())), *[pa.ListArray.from_arrays(cuts, pa.array(x)) for x in asked],
+                ], names=["row", "id", "held", "n_tokens", "known", "base", "score", "rare", "times", "grams", "gram_times", "gram_logs"])
 
     kind = docs.schema["id"].dataType.simpleString()
     path = shared_path(spark, "scored")
     docs.select("id", "held", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(
-        score, f"row bigint, id {kind}, held boolean, n_tokens bigint, known bigint, base double, score double, rare array<binary>, times array<bigint>",
+        score, f"row bigint, id {kind}, held boolean, n_tokens bigint, known bigint, base double, score double, rare array<binary>, times array<bigint>, "
+        "grams array<bigint>, gram_times array<bigint>, gram_logs array<double>",
     ).write.parquet(path)
     scored = spark.read.parquet(path)
     others = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     added = others.join(words, "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 0.5) - log_room)).alias("more"),
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
+    if longer is not None:
+        left = scored.select("row", F.explode(F.arrays_zip("grams", "gram_times", "gram_logs")).alias("x")).select(
+            "row", F.col("x.grams").alias("gram"), F.col("x.gram_times").alias("times"), F.col("x.gram_logs").alias("log"))
+        logs = longer_states(left.groupBy("gram").agg(F.max("log").alias("log")), longer)
+        more = left.drop("log").join(logs, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("more_score"))
+        scored = scored.join(more, "row", "left").withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     return scored.drop("rare", "times").join(added, "row", "left").select(
         F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),

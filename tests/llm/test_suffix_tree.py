@@ -102,3 +102,23 @@ def test_table():
         table.add(keys[i:i + 700], np.arange(i, min(i + 700, len(keys))))
     assert (table.get(keys) == np.arange(len(keys))).all()
     assert (table.get(keys + np.uint64(1 << 61)) == -1).all()
+
+
+@pytest.mark.parametrize("sent", [0, 300, 3000])
+def test_contexts_that_are_not_sent_are_used(spark, monkeypatch, sent):
+    """The scores don't depend on how many contexts the tasks hold, nor on how full the filter is."""
+    monkeypatch.setattr(S, "FILTER_BITS", 18)
+    docs = with_odd(spark, spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(200)).repartition(3)
+    column = lambda got: sorted((str(r.doc_id), r.n_tokens, r.base_score, r.score) for r in got.collect())
+    want, got = column(S.score_texts(docs)), column(S.score_texts(docs, sent=sent))
+    assert len(want) == len(got) and all(a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-4) for a, b in zip(want, got))
+
+
+def test_the_price_does_not_depend_on_the_number_of_contexts(spark):
+    grams = S.count_corpus(spark.read.parquet(f"{SF}/documents.parquet").limit(200)).where("gram is not null").select("gram", "n")
+    kept = S.keep_contexts(grams).where("depth > 0").selectExpr("depth", "context")
+    tree, others = S.learn_tree(grams, sent=500)
+    sent = {int(k) for k in tree.table.keys if k != Table.EMPTY and int(k) >> 56 >= 128}
+    states = {int(r.context) | r.depth + 128 << 56 for r in others.collect()}
+    assert len(states) > 100 and not sent & states
+    assert sent | states == {int(r.context) | r.depth + 128 << 56 for r in kept.collect()}
