@@ -5,12 +5,16 @@ candidate blocks. A block is compressed by itself and once more with each
 template as a raw zstandard dictionary; the template that saves the largest
 share knows most of the block. The first few by that share are compared with
 the block word by word, and the one with the fewest differences wins if they
-are few and touch no number or name.
+are few and touch no number or name. If none does, a notice may stand among
+other words: each template is tried on the words around every cue, where its
+saving is set against its own size. What is left of a block beside a winner
+is scanned in the same way.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -25,6 +29,7 @@ from .frames import small_batches, values
 from .licenses import TEMPLATES
 
 _CUES = ("licen", "copyright", "rights reserved", "permission", "redistribut", "creative commons")
+_CUE = re.compile("|".join(_CUES), re.I)
 _SENTENCE = re.compile(r"\S.*?(?:[.!?:;](?=\s)|$)", re.M)
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 _MARKS = re.compile(r"[.:;!?)\"']*")
@@ -53,7 +58,9 @@ class Templates:
             known = zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.given.append(zstandard.ZstdCompressor(dict_data=known, **frame))
         self.empty = len(self.plain.compress(b""))
+        self.alone = [max(len(self.plain.compress(t.lower().encode())) - self.empty, 1) for _, t in templates]
         self.match = lru_cache(maxsize=10_000)(self._match)
+        self.near = lru_cache(maxsize=100_000)(self._near)
 
     def savings(self, block: str) -> list[tuple[float, int]]:
         """``(share saved, template)``, largest first; case and the frame's own bytes don't count."""
@@ -82,20 +89,63 @@ class Templates:
         for saved, k in self.savings(block)[:RANKED]:
             if saved < SAVED:
                 break
-            share, differ, start, end = self.differences(block, k)
-            exact = not any(c.isdigit() for w in differ for c in w) and not any("-" in w[1:] for w in differ)
-            few = sum(w[0] == "+" for w in differ) <= (1 - MATCHED) * len(self.words[k])
-            if share >= MATCHED and exact and few and (best is None or len(differ) < len(best[3])):
+            differ, start, end = self.confirmed(block, k) or (None, 0, 0)
+            if differ is not None and (best is None or len(differ) < len(best[3])):
                 best = (self.names[k], saved, len(self.words[k]), differ, start, end)
         return best
 
+    def confirmed(self, block: str, k: int) -> tuple[list[str], int, int] | None:
+        """Differences and place of a template, if they are few and touch no number or name."""
+        share, differ, start, end = self.differences(block, k)
+        exact = not any(c.isdigit() for w in differ for c in w) and not any("-" in w[1:] for w in differ)
+        few = sum(w[0] == "+" for w in differ) <= (1 - MATCHED) * len(self.words[k])
+        return (differ, start, end) if share >= MATCHED and exact and few else None
+
+    def _near(self, window: str, k: int) -> tuple[float, list[str], int, int] | None:
+        """``(share of the template saved, differences, start, end)`` of a template among other words."""
+        data = window.lower().encode()
+        saved = len(self.plain.compress(data)) - len(self.given[k].compress(data))
+        if saved < SAVED * self.alone[k]:
+            return None
+        # Only the words around the longest common run, so that stray words of the template further away don't count.
+        want, places = self.words[k], list(_WORD.finditer(window))
+        m = SequenceMatcher(None, want, [p[0].lower() for p in places], autojunk=False).find_longest_match()
+        if not m.size:
+            return None
+        room = int((1 - MATCHED) * len(want))
+        first, last = max(m.b - m.a - room, 0), min(m.b + len(want) - m.a + room, len(places))
+        a = places[first].start()
+        found = self.confirmed(window[a:places[last].start() if last < len(places) else len(window)], k)
+        return found and (saved / self.alone[k], found[0], a + found[1], a + found[2])
+
+    def embedded(self, block: str) -> tuple[str, float, int, list[str], int, int] | None:
+        """As ``match``, of the best notice among other words: fewest differences, then most words, then first."""
+        places = list(_WORD.finditer(block))
+        starts = [p.start() for p in places]
+        cues = sorted({max(bisect_right(starts, m.start()) - 1, 0) for m in _CUE.finditer(block)})
+        best, order = None, None
+        for k, want in enumerate(self.words):
+            reach, done = len(want) + int((1 - MATCHED) * len(want)) + 1, -1
+            for c in cues:
+                # Windows overlap by more than a notice, so cues close to one already tried are passed over.
+                if c < done:
+                    continue
+                a, last = max(c - reach, 0), min(c + 2 * reach, len(places) - 1)
+                done = c + reach
+                found = self.near(block[starts[a]:starts[last + 1] if last + 1 < len(places) else len(block)], k)
+                if found and (best is None or (len(found[1]), -len(want), starts[a] + found[2]) < order):
+                    order = len(found[1]), -len(want), starts[a] + found[2]
+                    best = self.names[k], found[0], len(want), found[1], starts[a] + found[2], starts[a] + found[3]
+        return best
+
     def blocks(self, text: str) -> list[tuple[int, int, str]]:
-        """``(start, end, block)`` in code points: each sentence with a cue, then runs of licence sentences around it."""
+        """``(start, end, block)`` in code points: each sentence with a cue, then runs of licence sentences around it, and of its wrapped lines."""
         low = text.lower()
         if not any(c in low for c in _CUES):
             return []
         spans = [(m.start(), m.end()) for m in _SENTENCE.finditer(text)]
-        out, done = [], -1
+        wraps = [text[b - 1] not in ".!?:;" and text.count("\n", b, c) <= 1 for (_, b), (c, _) in zip(spans, spans[1:])]
+        out, done, lined = [], -1, -1
         for i, (a, b) in enumerate(spans):
             if not any(c in low[a:b] for c in _CUES):
                 continue
@@ -108,6 +158,14 @@ class Templates:
             if last > first and first > done:
                 out.append((spans[first][0], spans[last][1], text[spans[first][0]:spans[last][1]]))
                 done = last
+            first = last = i
+            while i > lined and first > 0 and wraps[first - 1]:
+                first -= 1
+            while i > lined and last < len(wraps) and wraps[last]:
+                last += 1
+            if last > first:
+                out.append((spans[first][0], spans[last][1], text[spans[first][0]:spans[last][1]]))
+                lined = last
         return out
 
     def _speaks(self, sentence: str) -> bool:
@@ -117,10 +175,15 @@ class Templates:
     def scan(self, text: str | None) -> list[dict]:
         """The licences of a text, each from its first to its last word; one inside another of the same licence is left out."""
         found = []
-        for start, _, block in self.blocks(text or ""):
-            won = self.match(block)
-            if won:
-                found.append({"license": won[0], "start": start + won[4], "end": start + won[5], "saved": won[1], "n_words": won[2], "differences": won[3]})
+        for start, end, _ in self.blocks(text or ""):
+            left = [(start, end)]
+            while left:
+                a, b = left.pop()
+                part = text[a:b]
+                won = _CUE.search(part) and (self.match(part) or self.embedded(part))
+                if won:
+                    found.append({"license": won[0], "start": a + won[4], "end": a + won[5], "saved": won[1], "n_words": won[2], "differences": won[3]})
+                    left += [(a, a + won[4]), (a + won[5], b)]
         found.sort(key=lambda f: (f["start"], -f["end"]))
         kept: list[dict] = []
         for f in found:

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -50,3 +51,20 @@ def test_savings_rank_the_right_template_first():
     for k, (name, text) in enumerate(TEMPLATES):
         saved, best = known.savings(text)[0]
         assert known.names[best] == name and saved > 0.4
+
+
+def test_notices_behind_other_words():
+    rng, known = random.Random(5), Templates(TEMPLATES)
+    plain = "river stone walked under green mountain slowly with seven children and another basket of quiet morning".split()
+    notice = "licensed under the Apache License, Version 2.0."
+    for n in (0, 5, 10, 50, 5000):
+        for tail in ("", " " + " ".join(rng.choices(plain, k=n))):
+            text = " ".join([*rng.choices(plain, k=n), notice]) + tail
+            at = text.index(notice)
+            assert [(f["license"], f["start"], f["end"], f["differences"]) for f in known.scan(text)] == [("Apache-2.0", at, at + len(notice), [])], (n, tail)
+    text = "The sources in this folder and all their documentation are licensed under the Apache License, Version 2.0."
+    assert [f["license"] for f in known.scan(text)] == ["Apache-2.0"]
+    text = "Our tools are licensed under the Apache License, Version 2.0, the images and the manual were released under the MIT License by their authors"
+    assert [f["license"] for f in known.scan(text)] == ["Apache-2.0", "MIT"]
+    text = "Whoever wrote the river walk tools in spring has\nhad them licensed under the Apache\nLicense, Version 2.0. and the stones went home slowly"
+    assert [(f["license"], f["differences"]) for f in known.scan(text)] == [("Apache-2.0", [])]
