@@ -3,7 +3,7 @@
 Sentences with a cue, and the sentences around them made of licence words, are
 candidate blocks. A block is compressed by itself and once more with each
 template as a raw zstandard dictionary; the template that saves the largest
-share knows most of the block. The first few by that share are compared with
+share knows most of the block. Those that save enough are compared with
 the block word by word, and the one with the fewest differences wins if they
 are few and touch no number or name. If none does, a notice may stand among
 other words: each template is tried on the words around every cue, where its
@@ -28,13 +28,13 @@ from pyspark.sql import types as T
 from .frames import small_batches, values
 from .licenses import TEMPLATES
 
-_CUES = ("licen", "copyright", "rights reserved", "permission", "redistribut", "creative commons")
+_CUES = ("licen", "copyright", "rights reserved", "permission", "redistribut", "creative commons", "unencumbered")
 _CUE = re.compile("|".join(_CUES), re.I)
 _SENTENCE = re.compile(r"\S.*?(?:[.!?:;](?=\s)|$)", re.M)
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 _MARKS = re.compile(r"[.:;!?)\"']*")
-#: Templates compared word by word, those with the largest savings.
-RANKED = 3
+#: Words that tell licences apart: a notice without one of them, or with one more, is another.
+_NAMES = frozenset("lesser affero mit isc bsd apache mozilla eclipse boost".split())
 #: Least share of a block a template must save, and of its words that must be there.
 SAVED = 0.25
 MATCHED = 0.85
@@ -86,18 +86,18 @@ class Templates:
     def _match(self, block: str) -> tuple[str, float, int, list[str], int, int] | None:
         """``(licence, share saved, words, differences, start, end)`` of the winner."""
         best = None
-        for saved, k in self.savings(block)[:RANKED]:
+        for saved, k in self.savings(block):
             if saved < SAVED:
                 break
             differ, start, end = self.confirmed(block, k) or (None, 0, 0)
-            if differ is not None and (best is None or len(differ) < len(best[3])):
+            if differ is not None and (best is None or (len(differ), -len(self.words[k])) < (len(best[3]), -best[2])):
                 best = (self.names[k], saved, len(self.words[k]), differ, start, end)
         return best
 
     def confirmed(self, block: str, k: int) -> tuple[list[str], int, int] | None:
         """Differences and place of a template, if they are few and touch no number or name."""
         share, differ, start, end = self.differences(block, k)
-        exact = not any(c.isdigit() for w in differ for c in w) and not any("-" in w[1:] for w in differ)
+        exact = not any(c.isdigit() for w in differ for c in w) and not any("-" in w[1:] or w[1:] in _NAMES for w in differ)
         few = sum(w[0] == "+" for w in differ) <= (1 - MATCHED) * len(self.words[k])
         return (differ, start, end) if share >= MATCHED and exact and few else None
 
@@ -187,7 +187,9 @@ class Templates:
         found.sort(key=lambda f: (f["start"], -f["end"]))
         kept: list[dict] = []
         for f in found:
-            if not any(k["start"] <= f["start"] and f["end"] <= k["end"] and k["license"] == f["license"] for k in kept):
+            # The opening of a BSD licence counts by itself only where no clauses tell which it is.
+            same = [k for k in kept if k["license"] == f["license"] or f["license"] == "LicenseRef-BSD" and k["license"].startswith("BSD-")]
+            if not any(k["start"] <= f["start"] and f["end"] <= k["end"] for k in same):
                 kept.append(f)
         return kept
 

@@ -1,5 +1,12 @@
 """Wording of common licence notices, by SPDX identifier."""
 
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_SOURCE = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BINARY = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_GNU = "you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+_CC = "This work is licensed under a Creative Commons Attribution{} {} License."
+
 # Public licence texts. A licence may have several notices.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -10,7 +17,12 @@ TEMPLATES = [
     ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    # The opening is that of both; the clauses tell which, listed with numbers or without.
+    ("LicenseRef-BSD", _BSD),
+    ("BSD-2-Clause", f"{_BSD} {_SOURCE} {_BINARY}"),
+    ("BSD-2-Clause", f"{_BSD} 1. {_SOURCE} 2. {_BINARY}"),
+    ("BSD-3-Clause", f"{_BSD} {_SOURCE} {_BINARY} {_NAMES}"),
+    ("BSD-3-Clause", f"{_BSD} 1. {_SOURCE} 2. {_BINARY} 3. {_NAMES}"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -20,4 +32,25 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("LicenseRef-Proprietary", "All rights reserved."),
+    ("MIT", "MIT License"),
+    ("MIT", "Licensed under the MIT License."),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("LGPL-2.1-or-later", "This library is free software; " + _GNU.format("Lesser", ";", "2.1")),
+    ("LGPL-3.0-or-later", "This library is free software: " + _GNU.format("Lesser", ",", "3")),
+    ("AGPL-3.0-or-later", "This program is free software: " + _GNU.format("Affero", ",", "3")),
+    ("EPL-1.0", "made available under the terms of the Eclipse Public License v1.0"),
+    ("EPL-2.0", "made available under the terms of the Eclipse Public License 2.0"),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License."),
+    *[(f"CC-BY{short}-{number}", _CC.format(long, f"{number} {area}"))
+      for short, long in (("", ""), ("-SA", "-ShareAlike"), ("-NC", "-NonCommercial"), ("-ND", "-NoDerivatives"), ("-NC-SA", "-NonCommercial-ShareAlike"), ("-NC-ND", "-NonCommercial-NoDerivatives"))
+      for number, area in (("4.0", "International"), ("3.0", "Unported")) if short[1:] not in ("", "SA", "NC") or number != "4.0"],
+    *[(name, f"SPDX-License-Identifier: {name}") for name in (
+        "MIT", "Apache-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later",
+        "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "BSL-1.0", "Unlicense",
+        "0BSD", "MPL-1.1", "MPL-2.0", "EPL-1.0", "EPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0")],
 ]

@@ -68,3 +68,25 @@ def test_notices_behind_other_words():
     assert [f["license"] for f in known.scan(text)] == ["Apache-2.0", "MIT"]
     text = "Whoever wrote the river walk tools in spring has\nhad them licensed under the Apache\nLicense, Version 2.0. and the stones went home slowly"
     assert [(f["license"], f["differences"]) for f in known.scan(text)] == [("Apache-2.0", [])]
+
+
+def test_more_licences_and_neighbours():
+    known = Templates(TEMPLATES)
+    two = ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+           "1. Redistributions of source code must retain the above copyright notice,\nthis list of conditions and the following disclaimer.\n"
+           "2. Redistributions in binary form must reproduce the above copyright notice,\nthis list of conditions and the following disclaimer in the documentation\n"
+           "and/or other materials provided with the distribution.\n")
+    three = two + ("3. Neither the name of the copyright holder nor the names of its contributors\nmay be used to endorse or promote products derived from this software\n"
+                   "without specific prior written permission.\n")
+    gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    for text, want in (
+        (two, {"BSD-2-Clause"}), (three, {"BSD-3-Clause"}), (two.replace("1. ", "").replace("2. ", ""), {"BSD-2-Clause"}),
+        (two.split("\n\n")[0], {"LicenseRef-BSD"}), ("Licensed under the MIT License.", {"MIT"}), ("MIT License", {"MIT"}), ("All of this is under the MIT License", {"MIT"}),
+        ("// SPDX-License-Identifier: GPL-2.0-only", {"GPL-2.0-only"}), ("SPDX-License-Identifier: ISC", {"ISC"}), ("SPDX-License-Identifier: Foo-1.0", set()),
+        (gnu.format(""), {"GPL-3.0-or-later"}), (gnu.format("Affero "), {"AGPL-3.0-or-later"}), (gnu.format("Lesser "), {"LGPL-3.0-or-later"}),
+        ("This is free and unencumbered software released into the public domain.", {"Unlicense"}),
+        ("This work is licensed under a Creative Commons Attribution-NoDerivatives 3.0 Unported License.", {"CC-BY-ND-3.0"}),
+        ("SPDX-License-Identifier: MIT\nThe code is licensed under the Apache License, Version 2.0.\nLicensed under CC BY 4.0.\n" + gnu.format(""),
+         {"MIT", "Apache-2.0", "CC-BY-4.0", "GPL-3.0-or-later"}),
+    ):
+        assert {f["license"] for f in known.scan(text)} == want, text
