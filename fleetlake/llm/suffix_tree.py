@@ -326,25 +326,29 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     others = Counter(t[i] for i in np.flatnonzero(at < 0).tolist())
                     rare.append(list(others))
                     times.append(list(others.values()))
-                keys, sizes = _stream([b" ".join(t) for t in texts])
+                tokens = pa.array([len(t) + 1 for t in texts], pa.int64())
+                texts = [b" ".join(t) for t in texts]
+                keys, sizes = _stream(texts)
                 found = _per_key(tree.look_up, keys)
                 # Bytes that may have a longer state are left to the join: per text its distinct keys, how often, and what is known of them.
                 more = np.flatnonzero(found["more"])
-                owner = np.repeat(np.arange(len(texts)), sizes)[more]
+                owner = np.searchsorted(np.cumsum(sizes), more, side="right")
                 order = np.lexsort((keys[more], owner))
                 more, owner = more[order], owner[order]
                 first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (keys[more][1:] != keys[more][:-1])))[:len(more)])
                 cuts = pa.array(np.searchsorted(owner[first], np.arange(len(texts) + 1)), pa.int32())
                 asked = [keys[more[first]].view(np.int64), np.diff(np.append(first, len(more))), found["log"][more[first]].astype(float)]
-                log = np.where(found["more"], 0.0, found["log"].astype(float))
-                scores = np.add.reduceat(log, np.cumsum(sizes) - sizes)
+                found["log"][more] = 0
+                scores = np.add.reduceat(found["log"], np.cumsum(sizes) - sizes, dtype=float)
+                del keys, found, more, owner, order, first
                 rows = np.arange(row, row + len(texts))
                 row += len(texts)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(rows), batch.column("id"), batch.column("held"), pa.array([len(t) + 1 for t in texts], pa.int64()),
+                    pa.array(rows), batch.column("id"), batch.column("held"), tokens,
                     pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.array(rare, pa.list_(pa.binary())),
                     pa.array(times, pa.list_(pa.int64())), *[pa.ListArray.from_arrays(cuts, pa.array(x)) for x in asked],
                 ], names=["row", "id", "held", "n_tokens", "known", "base", "score", "rare", "times", "grams", "gram_times", "gram_logs"])
+            release()
 
     kind = docs.schema["id"].dataType.simpleString()
     path = shared_path(spark, "scored")
