@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive_model, license_scan, packing, repeated_bytes, secret_grammar, simhash_bktree, string_tiling, suffix_tree, token_files, weak_supervision
+from . import additive_model, license_scan, packing, periodic_runs, repeated_bytes, secret_grammar, simhash_bktree, string_tiling, suffix_tree, token_files, weak_supervision
 from .frames import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,8 @@ def op9_bucket_refinement(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_conditional_compression(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, folder, "documents"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.find_runs(table(spark, folder, "documents"), edit=periodic_runs.planted, with_text=False)
