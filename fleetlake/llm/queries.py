@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive_model, license_scan, packing, periodic_runs, repeated_bytes, secret_grammar, simhash_bktree, string_tiling, suffix_tree, token_files, weak_supervision
+from . import additive_model, conversation_trie, license_scan, packing, periodic_runs, repeated_bytes, secret_grammar, simhash_bktree, string_tiling, suffix_tree, token_files, weak_supervision
 from .frames import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,43 @@ def op5_conditional_compression(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.find_runs(table(spark, folder, "documents"), edit=periodic_runs.planted, with_text=False)
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    convs = table(spark, folder, "conversations")
+    turns = conversation_trie.with_shared_heads(conversation_trie.turns_of(convs))
+    return conversation_trie.prefix_trie(turns, conversation_trie.shards_for(convs))
+
+
+# The checksum takes each byte, then eight halvings; 3988292384 is its polynomial.
+ORACLE["op12_prefix_trie"] = r"""
+with turns as (
+  select conv_id c, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, ''))
+    order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as own
+  from conversations where conv_id is not null group by conv_id),
+steps as (
+  select c, own, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(c::varchar, ''),
+      lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: case when x >= 0 then xor(a, x) when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as s from turns),
+heads as (select c, own, (xor(s, 4294967295) % 4)::int as h from steps),
+rebuilt as (
+  select a.c, list_concat(coalesce(b.own[1:a.h], []), a.own[a.h + 1:]) as path
+  from heads a left join heads b on b.c = a.c - a.c % 20),
+prefixes as (select c, len(path) as n, unnest(range(0, len(path) + 1)) as d, path from rebuilt),
+members as (select c, n, d, path[1:d] as p, path from prefixes),
+nodes as (
+  select p, d, min(c) as conv_id, count(*) as n_convs,
+    sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where n = d), '')) as ends_sha256
+  from members group by p, d),
+weights as (
+  select *, case when d = 0 then 0 else (n_convs - 1) * len(regexp_extract_all(p[d].text, '[^\x20\x09-\x0D]+')) end as saved from nodes),
+kids as (select p[1:d - 1] as up, d - 1 as ud, count(*) as n_children from nodes where d > 0 group by all),
+full_nodes as (select w.*, coalesce(k.n_children, 0) as n_children from weights w left join kids k on k.up = w.p and k.ud = w.d),
+above as (select unnest(range(0, d + 1)) as ad, p, saved, n_children from full_nodes),
+below as (
+  select p[1:ad] as p, ad, sum(saved) as saved_tokens, sum(case when n_children = 0 then 1 else 0 end) as n_leaves from above group by all)
+select f.conv_id::bigint as conv_id, f.d::bigint as depth, u.conv_id::bigint as parent_conv_id, f.n_convs::bigint as n_convs, f.n_children::bigint as n_children,
+  b.n_leaves::bigint as n_leaves, b.saved_tokens::bigint as saved_tokens, f.ends_sha256
+from full_nodes f join below b on b.p = f.p and b.ad = f.d left join nodes u on f.d > 0 and u.p = f.p[1:f.d - 1] and u.d = f.d - 1
+"""
