@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive_model, conversation_trie, license_scan, packing, periodic_runs, repeated_bytes, secret_grammar, simhash_bktree, string_tiling, suffix_tree, token_files, weak_supervision
+from . import additive_model, conversation_trie, license_scan, packing, periodic_runs, repeated_bytes, repeated_passages, secret_grammar, simhash_bktree, string_tiling, suffix_tree, token_files, weak_supervision
 from .frames import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,31 @@ def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.find_runs(table(spark, folder, "documents"), edit=periodic_runs.planted, with_text=False)
 
 
+@query
+def op11_fm_index(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_passages.remove_passages(table(spark, folder, "documents")).drop("kept")
+
+
+ORACLE["op11_fm_index"] = r"""
+with texts as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+words as (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as word from texts),
+windows as (
+  select doc_id, i, word, count(*) over s as n, string_agg(word, ' ') over s as t from words
+  window s as (partition by doc_id order by i rows between current row and 49 following)),
+earliest as (select t, min(doc_id) as first_doc from windows where n = 50 group by t),
+marked as (
+  select a.doc_id, a.i, a.word, case when a.n = 50 and b.first_doc < a.doc_id then 1 else 0 end as repeats
+  from windows a left join earliest b on a.n = 50 and b.t = a.t),
+covered as (
+  select doc_id, i, word, max(repeats) over (partition by doc_id order by i rows between 49 preceding and current row) as gone from marked),
+spans as (select *, lag(gone, 1, 0) over (partition by doc_id order by i) as before from covered),
+sums as (
+  select doc_id, count(*) as n_words, sum(gone) as n_removed, sum(case when gone = 1 and before = 0 then 1 else 0 end) as n_spans,
+    string_agg(word, ' ' order by i) filter (where gone = 0) as kept from spans group by doc_id)
+select d.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(coalesce(kept, '')) as kept_sha256 from documents d left join sums s on s.doc_id = d.doc_id
+"""
+
 @query
 def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     convs = table(spark, folder, "conversations")
