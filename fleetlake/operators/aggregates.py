@@ -18,7 +18,7 @@ from ..functions.columns import int_div
 from ..functions.numbers import size_pretty
 from ..functions.times import seconds_between
 from ..session import cut_lineage
-from .blocks import join_null_safe, name_block, row_numbers
+from .blocks import DEFAULT_SPAN, join_null_safe, row_numbers, with_blocks
 
 PAGE = 1000
 
@@ -191,15 +191,17 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-def ranked_names(df: DataFrame, by: Sequence[str], name: str, place: str = "place") -> DataFrame:
+def ranked_names(df: DataFrame, by: Sequence[str], name: str, place: str = "place", span: int = DEFAULT_SPAN) -> DataFrame:
     """The distinct names of each key, one row each with its place in sorted order, from 1.
 
-    Names are sorted over all tasks and numbered by block, so a key that holds
-    most of them is not one task's work.
+    Names are sorted over all tasks and numbered in blocks of about ``span``
+    rows, so neither a key that holds most of them nor a long beginning that
+    all of them share is one task's work.
     """
     by = list(by)
     names = df.select(*by, name).filter(F.col(name).isNotNull()).distinct()
-    return row_numbers(names, name, by, block=name_block(names, name), name=place)
+    blocks = with_blocks(names, name, span)
+    return row_numbers(blocks, name, by, block=F.col("_blk"), name=place).drop("_blk")
 
 
 def paged_lists(df: DataFrame, by: Sequence[str], name: str, page: int = PAGE, out: str = "names") -> DataFrame:

@@ -2,67 +2,79 @@
 
 A window over a whole table, or over one hot series, ends in a single task.
 Here the order column is cut into blocks: of about equal numbers of rows by
-its quantiles (``with_blocks``), or of a calendar unit of a time. Rows are
+sampled borders (``with_blocks``), or of a calendar unit of a time. Rows are
 shuffled by (series, block), each block is worked on by itself, and what
 crosses a border is carried by a summary that has a few rows per block.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.times import epoch_micros
-
 DEFAULT_SPAN = 1 << 20
 
 
-#: Most blocks a table is cut into; beyond that blocks grow.
-MAX_BLOCKS = 10_000
+#: Sampled keys per block, and the most borders the driver holds (beyond that blocks grow; a task sorts its block on disk if it must).
+SAMPLES = 16
+BORDERS = 1 << 16
+
 
+def borders(df: DataFrame, key: str, rows: int = DEFAULT_SPAN) -> list[tuple[str, int]]:
+    """Values of ``key``, as text in their order, that cut ``df`` into ranges of about ``rows`` rows, and how often each is a cut.
 
-def place_of(df: DataFrame, key: str) -> Column:
-    """An integer, date or time as a double in the same order."""
-    kind, c = df.schema[key].dataType, F.col(key)
-    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return c.cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return epoch_micros(c).cast("double")
-    raise TypeError(f"{key}: a key to cut by must be an integer, a date or a time, not {kind.simpleString()}")
+    Every so many-th row of a task is sampled, so one job over the key column
+    does it for any type that has an order. A value that fills several ranges
+    is named as often. Only the borders reach the driver.
+    """
+    kind = df.schema[key].dataType
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType, T.NullType)):
+        raise TypeError(f"{key}: a key to cut by must be a number, a text, a date or a time, not {kind.simpleString()}")
+    step = max(1, rows // SAMPLES)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    start = F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(step))
+    # The first rows of small tasks are as likely to be sampled as others.
+    sample = df.select(F.col(key).alias("k"), F.pmod(place + start, F.lit(step)).alias("p")).where("p = 0 AND k IS NOT NULL").select("k")
+    # One task, as it only gets the sample.
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    blocks = F.least(F.floor(n * step / rows), F.lit(BORDERS))
+    passed = F.floor(F.row_number().over(Window.orderBy("k")) * blocks / (n + 1))
+    cuts = sample.select("k", passed.alias("b")).where("b > 0").groupBy("b").agg(F.min("k").alias("k"))
+    found = cuts.groupBy("k").agg(F.count(F.lit(1)).alias("times")).orderBy("k").select(F.col("k").cast("string"), "times")
+    return [tuple(r) for r in found.collect()]
+
+
+def range_of(key: Column, kind: T.DataType, values: Sequence[str]) -> Column:
+    """How many of the ascending ``values`` are not greater than ``key``, by halving; 0 for a null."""
+    if not values:
+        return F.lit(0)
+    table = F.array(*[F.lit(v) for v in values]).cast(T.ArrayType(kind))
+    n = len(values)
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= n) & (F.element_at(table, F.least(at + step, F.lit(n))) <= key), at + step).otherwise(at))
 
 
 def with_blocks(df: DataFrame, key: str, rows: int = DEFAULT_SPAN, name: str = "_blk") -> DataFrame:
-    """``df`` with the block each row belongs to: about ``rows`` rows, in the order of ``key``.
+    """``df`` with the block each row belongs to: about ``rows`` rows, in the order of ``key``, whatever its type.
 
-    The borders are quantiles, so sparse or clustered keys fill blocks like any
-    others. A value with more than ``rows`` rows gets several blocks, dealt by
-    a hash of the row. One job over the key column finds the borders; ``df``
-    should be cheap to read again (``cut_lineage``).
+    The borders are sampled, so sparse or clustered keys and names with a
+    common beginning fill blocks like any others. A value with more than
+    ``rows`` rows gets several blocks, dealt by a hash of the row. ``df`` is
+    read once more for the sample.
     """
-    place = place_of(df, key)
-    probabilities = [i / 1000 for i in range(1, 1000)]
-    n, rough = df.agg(F.count(key), F.percentile_approx(place, probabilities, 20_000)).first()
-    k = min(MAX_BLOCKS, n // max(rows, 1))
-    if k < 2:
-        return df.withColumn(name, F.struct(F.lit(0.0).alias("bucket"), F.lit(0).alias("part")))
-    cuts = [rough[min(998, i * 1000 // k)] for i in range(k - 1)] if k <= 1000 else df.agg(
-        F.percentile_approx(place, [i / k for i in range(1, k)], 10 * k)).first()[0]
-    times = Counter(cuts)
-    splits = [float("-inf"), *sorted(times), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="_place", outputCol="_bucket", handleInvalid="keep").transform(df.withColumn("_place", place))
-    part = F.lit(0)
-    if hot := {v: m for v, m in times.items() if m > 1}:
-        parts = F.try_element_at(F.create_map(*[F.lit(x) for v, m in hot.items() for x in (v, m)]), F.col("_place"))
-        # Rows equal to a hot border come before the others of its bucket.
-        part = F.coalesce(F.pmod(F.xxhash64(*df.columns), parts).cast("int"), F.lit(MAX_BLOCKS))
-    return cut.withColumn(name, F.struct(F.col("_bucket").alias("bucket"), part.alias("part"))).drop("_place", "_bucket")
+    cuts = borders(df, key, rows)
+    kind, part = df.schema[key].dataType, F.lit(0)
+    if hot := [(v, n) for v, n in cuts if n > 1]:
+        place = range_of(F.col(key), kind, [v for v, _ in hot])
+        is_hot = F.element_at(F.array(*[F.lit(v) for v, _ in hot]).cast(T.ArrayType(kind)), F.greatest(place, F.lit(1))) == F.col(key)
+        parts = F.element_at(F.array(*[F.lit(n) for _, n in hot]), F.greatest(place, F.lit(1)))
+        # Rows equal to a hot border come before the others of its range.
+        part = F.when(is_hot, F.pmod(F.xxhash64(*df.columns), parts).cast("int")).otherwise(F.lit(BORDERS))
+    return df.withColumn(name, F.struct(range_of(F.col(key), kind, [v for v, _ in cuts]).alias("range"), part.alias("part")))
 
 
 def int_block(key: Column, span: int = DEFAULT_SPAN) -> Column:
@@ -71,18 +83,6 @@ def int_block(key: Column, span: int = DEFAULT_SPAN) -> Column:
     return wide - F.pmod(wide, F.lit(span).cast("bigint"))
 
 
-def name_block(df: DataFrame, name: str, rows: int = DEFAULT_SPAN) -> Column:
-    """Blocks of about ``rows`` rows for a text column: its first characters, as many as it takes.
-
-    A shorter text sorts before its continuations, so the blocks are in order.
-    """
-    shares = df.agg(*[F.approx_count_distinct(F.left(name, F.lit(n))).alias(str(n)) for n in (1, 2, 4, 8, 16)], F.count(F.lit(1)).alias("n")).first()
-    for n in (1, 2, 4, 8):
-        if shares[str(n)] * rows >= shares["n"]:
-            return F.left(F.col(name), F.lit(n))
-    return F.left(F.col(name), F.lit(16))
-
-
 def time_block(ts: Column, unit: str = "day") -> Column:
     return F.date_trunc(unit, ts)
 

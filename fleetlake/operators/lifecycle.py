@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import as_time, int_div
-from ..session import cut_lineage
 from .blocks import int_block, row_numbers, running_sum, with_blocks
 
 HUGE_TABLE_ROWS = 10_000_000
@@ -30,14 +29,14 @@ def purge(
     """Split rows by a predicate and deal the purged ones into batches of ``limit`` in key order.
 
     A row whose predicate is null is kept. Without a single-column key the call
-    is refused, unless ``force`` allows batches of whole row tuples. The purged
-    keys are written out and numbered in blocks of about ``span`` rows.
+    is refused, unless ``force`` allows batches of whole row tuples. The key is
+    of any type that has an order; keys are numbered in blocks of about ``span`` rows.
     """
     # The bare predicate can reach the scan; a null one is not true and so stays with the kept rows.
     kept, purged = df.filter(~where | where.isNull()), df.filter(where)
     cols = [key] if isinstance(key, str) else list(key or [])
     if len(cols) == 1:
-        keys = with_blocks(cut_lineage(purged.select(*cols)), cols[0], span)
+        keys = with_blocks(purged.select(*cols), cols[0], span)
         numbered = row_numbers(keys, cols[0], block=F.col("_blk"))
         batch = int_div(F.col("row_no") - 1, limit) + 1
         plan = numbered.select(*cols, batch.alias("batch"), F.lit(1).cast("bigint").alias("rows"))
@@ -46,7 +45,9 @@ def purge(
         raise ValueError("the table has no single-column key; pass force=True to purge by whole rows")
     # Equal rows go together, as a row-tuple IN removes them, and are counted before the shuffle.
     tuples = purged.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("rows")).withColumn("_hash", F.xxhash64(*df.columns))
-    numbered = row_numbers(tuples, "_hash", block=F.shiftright("_hash", 48))
+    # Hashes are spread evenly, so equal ranges of them hold about equal numbers of tuples.
+    blocks = max(1, purged.count() // span)
+    numbered = row_numbers(tuples, "_hash", block=F.floor((F.col("_hash") / F.lit(2.0**64) + 0.5) * blocks))
     return Purge(kept, purged, numbered.withColumn("batch", int_div(F.col("row_no") - 1, limit) + 1).drop("_hash", "row_no"))
 
 

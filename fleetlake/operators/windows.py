@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import epoch_micros
-from ..session import cut_lineage
 from .blocks import DEFAULT_SPAN, join_null_safe, time_block, with_blocks, with_halo
 
 
@@ -18,11 +17,10 @@ def gaps(df: DataFrame, key: str, by: Sequence[str] = (), top: int | None = None
     The head row reports what lies below the smallest key and, as the fleet's
     scripts print it, ends at that key. ``diff`` is the distance between the
     neighbours, ``missing`` the count of absent keys, ``last_missing`` the last
-    of them. The input is read once; its keys are written out and cut into
-    blocks of about ``span`` rows.
+    of them. The keys are cut into blocks of about ``span`` rows.
     """
     by = list(by)
-    ids = cut_lineage(df.select(*by, F.col(key).cast("bigint").alias("_id")).filter(F.col("_id").isNotNull()))
+    ids = df.select(*by, F.col(key).cast("bigint").alias("_id")).filter(F.col("_id").isNotNull())
     looked = with_halo(with_blocks(ids, "_id", span), by, "_id", F.col("_blk"))
     w = Window.partitionBy(*by, "_block").orderBy("_id")
     # Only the first key of a series has nothing before it; its gap is the head row.

@@ -24,6 +24,24 @@ def _(t):
     return purged(t).plan
 
 
+@query("lif1_purge_text_key", f"""
+    WITH o AS (SELECT concat('orders/', o_orderpriority, '/', CAST(o_orderkey AS STRING)) AS path, o_orderdate FROM orders)
+    SELECT path, (row_number() OVER (ORDER BY path) - 1) // 100 + 1 AS batch, CAST(1 AS BIGINT) AS rows FROM o WHERE o_orderdate < TIMESTAMP '{CUT}'""")
+def _(t):
+    # A key like the path of an object: all names begin alike.
+    orders = t.orders.select(F.concat(F.lit("orders/"), "o_orderpriority", F.lit("/"), F.col("o_orderkey").cast("string")).alias("path"), "o_orderdate")
+    return L.purge(orders, F.col("o_orderdate") < F.lit(CUT).cast("timestamp_ntz"), "path", 100, span=1024).plan
+
+
+@query("lif1_purge_decimal_key", """
+    WITH l AS (SELECT CAST(l_orderkey AS DECIMAL(20,0)) * 100000 + l_linenumber AS id, l_quantity FROM lineitem)
+    SELECT CAST(id AS STRING) AS id, (row_number() OVER (ORDER BY l.id) - 1) // 500 + 1 AS batch, CAST(1 AS BIGINT) AS rows FROM l WHERE l_quantity < 10""")
+def _(t):
+    # Wider than any binary integer once the factor is large; the order is that of the numbers, not of their texts.
+    lines = t.lineitem.select((F.col("l_orderkey").cast("decimal(20,0)") * 100000 + F.col("l_linenumber")).cast("decimal(30,0)").alias("id"), "l_quantity")
+    return L.purge(lines, F.col("l_quantity") < 10, "id", 500, span=4096).plan.withColumn("id", F.col("id").cast("string"))
+
+
 @query("lif1_purge_kept", f"""
     SELECT 'kept' AS side, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders WHERE o_orderdate >= TIMESTAMP '{CUT}'
     UNION ALL SELECT 'purged', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders WHERE o_orderdate < TIMESTAMP '{CUT}'""")

@@ -94,7 +94,37 @@ def test_purge_without_key_is_refused(spark):
     with pytest.raises(ValueError):
         L.purge(spark.range(3), F.lit(True), None)
     with pytest.raises(TypeError):
-        L.purge(spark.range(3).select(F.col("id").cast("string")), F.lit(True), "id")
+        L.purge(spark.range(3).select(F.array("id").alias("id")), F.lit(True), "id")
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(30,4)", "double", "date", "timestamp", "timestamp_ntz", "boolean"])
+def test_purge_follows_the_order_of_any_key(spark, kind):
+    key = {"string": F.concat(F.lit("a/very/long/beginning/of/a/path/"), F.col("id").cast("string")), "date": F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")),
+           "boolean": F.col("id") > 0, "timestamp_ntz": (F.col("id") * 1_000_003).cast("timestamp").cast("timestamp_ntz")}.get(kind)
+    key = (F.col("id") * 1_000_003).cast(kind) if key is None else key
+    df = spark.range(-300, 1200).select(key.alias("k")).repartition(5)
+    plan = L.purge(df, F.lit(True), "k", limit=70, span=40).plan
+    got = [(r.k, r.batch) for r in plan.collect()]
+    if kind == "boolean":
+        assert sorted(n for n, in [(sum(b == x for _, b in got),) for x in set(b for _, b in got)]) == [30] + [70] * 21
+        return
+    ordered = sorted(r.k for r in df.collect())
+    assert sorted(got) == [(k, i // 70 + 1) for i, k in enumerate(ordered)]
+
+
+def test_names_with_a_common_beginning_fill_blocks_evenly(spark):
+    names = spark.range(20_000).select(F.concat(F.lit("/srv/data/archive/2024/customer/"), F.sha2(F.col("id").cast("string"), 256)).alias("n"))
+    sizes = [r["count"] for r in B.with_blocks(names, "n", 1000).groupBy("_blk").count().collect()]
+    assert 17 <= len(sizes) <= 22 and max(sizes) < 1800
+    listed = A.ranked_names(names.withColumn("s", F.lit(1)), ["s"], "n", span=1000).orderBy("place").collect()
+    assert [r.place for r in listed] == list(range(1, 20_001)) and [r.n for r in listed] == sorted(r.n for r in listed)
+
+
+def test_blocks_of_nulls_and_empty_tables(spark):
+    df = spark.createDataFrame([(None,)] * 50 + [("x",)] * 50, "k string")
+    assert B.with_blocks(df, "k", 10).count() == 100
+    assert B.with_blocks(df.limit(0), "k", 10).count() == 0
+    assert B.with_blocks(spark.range(5), "id", 1 << 20).select("_blk.range").distinct().collect() == [(0,)]
 
 
 def test_schema_diff_of_itself_is_empty(spark):
