@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..operators.windows import latest
 from ..sources.change_log import parse_envelopes
 from ..streaming import apply_stream, change_rate, current_state, deduplicated
 from ..streaming.apply import write_base
+from ..streaming.once import read_once, stream_once
+from ..streaming.tables import StoredTable, apply_batch, apply_tables, compact_table, create_table, read_table
 from ..functions.times import epoch_seconds
 from .registry import query, scratch
 from .shapes import SHAPES
@@ -19,8 +23,9 @@ KEYS = {"key": "bigint"}
 COLUMNS = {"label": "string", "amount": "double"}
 
 
-def envelope_lines(t, with_database: bool = True) -> DataFrame:
+def envelope_lines(t, with_database: bool = True, changes: DataFrame | None = None) -> DataFrame:
     """The changes as the JSON text a logical decoder writes, one transaction per line."""
+    changes = t.v_changes if changes is None else changes
     key = F.format_string('"oldkeys":{"keynames":["key"],"keyvalues":[%d]}', F.col("key"))
     name = F.when(F.col("has_amount"), F.lit('["key","label","amount"]')).otherwise(F.lit('["key","label"]'))
     value = F.when(F.col("has_amount"), F.format_string('[%d,"%s",%s]', "key", "label", F.col("amount").cast("string"))).otherwise(
@@ -29,7 +34,7 @@ def envelope_lines(t, with_database: bool = True) -> DataFrame:
     own = F.when(F.col("kind") == "insert", F.lit("")).otherwise(F.concat(F.lit(","), key))
     change = F.concat(F.lit('{"kind":"'), F.col("kind"), F.lit('","schema":"public","table":"'), F.col("table_name"), F.lit('"'), listed, own, F.lit("}"))
     head = F.concat(F.lit(', "database":"'), F.col("database"), F.lit('"}')) if with_database else F.lit("}")
-    return t.v_changes.select("seq", "ts", F.concat(F.lit('{"change":['), change, F.lit("]"), head).alias("value"))
+    return changes.select("seq", "ts", F.concat(F.lit('{"change":['), change, F.lit("]"), head).alias("value"))
 
 
 def decoded(t) -> DataFrame:
@@ -168,6 +173,56 @@ def _(t):
     return current_state(t.spark, path, ["key"], ["label", "amount"])
 
 
+STORED = [StoredTable(name, KEYS, COLUMNS, buckets=16) for name in ("t0", "t1", "t2")]
+MANY = " UNION ALL ".join(f"SELECT 't{i}' AS table_name, q.* FROM ({REPLAY.format(cond=f'table_name = {chr(39)}t{i}{chr(39)}', base='true')}) q" for i in range(3))
+
+
+def stored_tables(t, path: str) -> DataFrame:
+    """The rows of the stored tables, with the table's name."""
+    parts = [read_table(t.spark, path, s).withColumn("table_name", F.lit(s.table)) for s in STORED]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("cdc7_many_tables", MANY)
+def _(t):
+    # One stream, three tables; every batch becomes current for all of them at once.
+    path = scratch(t.spark, "tables")
+    for table in STORED:
+        create_table(users(t), path, table)
+    changes = C.decode_changes(parse_envelopes(envelope_lines(t, changes=changes_stream(t))), ["seq"])
+    apply_tables(changes, path, f"{path}/checkpoint", STORED, once=True).awaitTermination()
+    return stored_tables(t, path)
+
+
+@query("cdc7_compacted_tables", MANY)
+def _(t):
+    # Two batches, the first folded into the buckets it touches, the second one given twice.
+    path = scratch(t.spark, "compacted")
+    for table in STORED:
+        create_table(users(t), path, table)
+    middle = t.v_changes.agg(F.floor(F.avg("seq"))).first()[0]
+    first, second = decoded(t).filter(F.col("seq") <= middle), decoded(t).filter(F.col("seq") > middle)
+    apply_batch(first, path, STORED, batch_id=0)
+    for table in STORED:
+        compact_table(t.spark, path, table)
+    for _ in range(2):
+        apply_batch(second, path, STORED, batch_id=1)
+    return stored_tables(t, path)
+
+
+@query("cdc8_late_and_repeated", "SELECT database, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs FROM v_changes GROUP BY database")
+def _(t):
+    # Three files: the second repeats half of the first, the third brings what every other partition lagged behind with, weeks late.
+    path = scratch(t.spark, "once")
+    records = t.v_changes.select("database", "seq", F.pmod("key", F.lit(4)).alias("partition"), F.col("seq").alias("offset"), F.col("ts").cast("timestamp").alias("ts"))
+    late = (F.col("partition") == 3) & (F.col("ts") < "2024-01-15")
+    for k, part in enumerate([records.filter(~late & (F.col("seq") % 4 < 3)), records.filter(~late & (F.col("seq") % 4 > 1)), records.filter(late)]):
+        part.coalesce(1).write.parquet(f"{path}/in/file={k}")
+    stream = t.spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/file=*")
+    stream_once(stream, f"{path}/out", f"{path}/checkpoint", once=True).awaitTermination()
+    return read_once(t.spark, f"{path}/out", records.schema).groupBy("database").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"))
+
+
 @query("cdc8_deduplicated", "SELECT database, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs FROM v_changes GROUP BY database")
 def _(t):
     path = scratch(t.spark, "dedupe")

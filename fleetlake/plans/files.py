@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import filters
 from ..operators.changes import decode_changes
 from ..sources import (
-    kv_scan, land_snapshot, read_change_log, read_inventory, read_items, read_lines_from, read_ops, write_change_log,
+    kv_scan, land_snapshot, land_targets, read_change_log, read_inventory, read_items, read_landed, read_lines_from, read_ops, read_snapshots, write_change_log,
     write_findings, write_inventory, write_tree,
 )
-from ..sources.findings import findings
+from ..sources.findings import findings, read_findings
 from ..streaming import read_broker, write_slices
 from .change import envelope_lines
 from ..functions.times import epoch_seconds
@@ -36,7 +36,33 @@ def _(t):
     land_snapshot(t.spark, targets[:2], view, AS_OF, path, reader, batch=2)
     failed = land_snapshot(t.spark, targets, view, AS_OF, path, reader, batch=2)
     columns = ["instance", "database", "o_orderpriority", "o_orderkey", "finished"]
-    return t.spark.read.parquet(path).select(*columns).unionByName(
+    return read_snapshots(t.spark, path).select(*columns).unionByName(
+        failed.select("instance", "database", F.lit("failed").alias("o_orderpriority")), allowMissingColumns=True)
+
+
+@query("src1_targets_in_tasks", """
+    SELECT 'inst' || CAST(o_orderkey % 3 AS STRING) AS instance, 'app' AS database, o_orderpriority, o_orderkey, o_orderstatus = 'F' AS finished FROM orders
+    UNION ALL SELECT 'inst3', 'app', 'failed', NULL, NULL""")
+def _(t):
+    # Files stand in for the servers; a task opens its own.
+    path = scratch(t.spark, "targets")
+    fields = "o_orderpriority string, o_orderkey bigint, finished boolean"
+    rows = t.orders.select("o_orderpriority", "o_orderkey", (F.col("o_orderstatus") == "F").alias("finished"), (F.col("o_orderkey") % 3).alias("server"))
+    rows.repartition("server").write.partitionBy("server").parquet(f"{path}/servers")
+
+    def fetch(target):
+        import pyarrow.dataset as ds
+
+        if target["server"] == 3:
+            raise ConnectionError("no route")
+        for batch in ds.dataset(f"{path}/servers/server={target['server']}", format="parquet").to_batches():
+            yield from zip(*[batch.column(c).to_pylist() for c in ("o_orderpriority", "o_orderkey", "finished")])
+
+    targets = [{"instance": f"inst{i}", "database": "app", "server": i} for i in range(4)]
+    # The run is landed twice; a target that failed the first time and came later would not be there twice.
+    land_targets(t.spark, targets[1:], fetch, fields, AS_OF, f"{path}/landed")
+    failed = land_targets(t.spark, targets, fetch, fields, AS_OF, f"{path}/landed")
+    return read_landed(t.spark, f"{path}/landed", fields).drop("snapshot_ts").unionByName(
         failed.select("instance", "database", F.lit("failed").alias("o_orderpriority")), allowMissingColumns=True)
 
 
@@ -136,7 +162,7 @@ def _(t):
     path = scratch(t.spark, "findings")
     bad = t.v_tables.filter("n_dead_tup > 12")
     write_findings(findings(bad, "dead-rows", "relname", AS_OF, [], details=["n_dead_tup"]), path)
-    return t.spark.read.parquet(path).select("check_id", "object", "severity")
+    return read_findings(t.spark, path, []).select("check_id", "object", "severity")
 
 
 @query("snk3_write_tree", """

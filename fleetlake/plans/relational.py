@@ -223,6 +223,15 @@ def _(t):
     return A.distinct_per(t.v_activity, ["usename"], "client_addr", "clients")
 
 
+@query("agg3_united_sketches", "SELECT usename, count(DISTINCT client_addr) AS clients, true AS within_three_percent FROM v_activity GROUP BY usename")
+def _(t):
+    # A sketch per role and day is the history; the days are united later, without the rows.
+    days = A.distinct_sketches(t.v_activity.withColumn("day", F.to_date("query_start")), ["usename", "day"], "client_addr")
+    exact = A.distinct_per(t.v_activity, ["usename"], "client_addr", "clients")
+    near = F.abs(F.col("distinct_estimate") - F.col("clients")) <= F.greatest(F.col("clients") * 0.03, F.lit(1.0))
+    return exact.join(A.united_distinct(days, ["usename"]), "usename").select("usename", "clients", near.alias("within_three_percent"))
+
+
 @query("agg4_duplicate_groups", f"""
     WITH g AS (SELECT signature, count(*) AS members, CAST(sum(index_bytes) AS BIGINT) AS bytes, list_sort(list(indexrelname)) AS m FROM v_indexes GROUP BY signature HAVING count(*) > 1)
     SELECT members, bytes, {size_sql('bytes')} AS size, m[1] AS member1, m[2] AS member2, m[3] AS member3, m[4] AS member4 FROM g""")
@@ -316,6 +325,14 @@ def _(t):
     return A.key_bounds(t.lineitem, "l_shipdate").unionByName(A.key_bounds(t.lineitem, "l_shipdate", upper))
 
 
+@query("agg14_footer_bounds", """
+    SELECT min(l_orderkey) AS min_key, max(l_orderkey) AS max_key FROM lineitem
+    UNION ALL SELECT min(l_orderkey), max(l_orderkey) FROM lineitem WHERE l_orderkey <= 777""")
+def _(t):
+    path = f"{t.folder}/lineitem.parquet"
+    return A.footer_bounds(t.spark, path, "l_orderkey").unionByName(A.footer_bounds(t.spark, path, "l_orderkey", 777))
+
+
 @query("agg15_area_team_counts", """
     SELECT r_name AS area, coalesce(n_name, 'total') AS team, count(*) AS count
     FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY GROUPING SETS ((r_name), (r_name, n_name))""")

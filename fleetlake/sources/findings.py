@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_time
 from ..operators.aggregates import inventory_tree
 from ..session import cut_lineage
+from . import store
 
 
 def findings(
@@ -40,23 +40,34 @@ def alias_part(c: Column) -> Column:
     return F.coalesce(F.replace(text, F.lit("-"), F.lit("\\-")), F.lit("\\N"))
 
 
+FINDINGS = "findings"
+
+
 def write_findings(df: DataFrame, path: str) -> None:
-    """Store findings, one folder per check; an alias stored before is replaced.
+    """Store findings, one part per check; an alias stored before is replaced.
 
-    Only the folders of the checks in ``df`` are written anew.
+    Only the checks in ``df`` are written anew, to a folder of their own. What
+    was stored stays current until the manifest names that folder, so a job
+    that stops loses nothing (see ``store``).
     """
-    spark = df.sparkSession
-    new = cut_lineage(df)
-    try:
-        old = spark.read.schema(df.schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        old = new.limit(0)
-    kept = old.join(new.select("check_id").distinct(), "check_id", "left_semi").join(new.select("alias"), "alias", "left_anti")
-    # What is read is written over, so it is put aside first.
-    merged = cut_lineage(new.unionByName(kept.select(*new.columns)))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("check_id").parquet(path)
+    spark, new = df.sparkSession, cut_lineage(df)
+    before = store.load(spark, path)
+    checks = [r[0] for r in new.select("check_id").distinct().collect()]
+    stored = [e for e in before.of(FINDINGS) if e.part in checks]
+    old = store.read_parts(spark, path, stored, df.schema, "check_id")
+    kept = old.join(new.select("alias"), "alias", "left_anti").select(*new.columns)
+    folder = store.folder_of(before, FINDINGS)
+    parts = store.write_parts(new.unionByName(kept), path, folder, "check_id")
+    stay, marks = store.replaced(before, FINDINGS, checks)
+    others = [e for e in before.entries if e.table != FINDINGS or e.kind != store.PART]
+    store.commit(spark, path, before, [*others, *stay, *marks, *[store.Entry(FINDINGS, p, store.PART, folder) for p in parts]])
+
+
+def read_findings(spark: SparkSession, path: str, keys: Sequence[str] = ("instance", "database")) -> DataFrame:
+    """All stored findings; ``keys`` are the columns they were found by."""
+    own = "".join(f"`{k}` string, " for k in keys)
+    fields = f"check_id string, {own}object string, severity string, message string, details map<string,string>, as_of timestamp_ntz, alias string"
+    return store.read_parts(spark, path, store.load(spark, path).of(FINDINGS), fields, "check_id")
 
 
 def render_rows(df: DataFrame, sep: str = ",") -> DataFrame:

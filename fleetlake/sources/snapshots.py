@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..constants import SERVICE_OWNER_PATTERN, SYSTEM_DATABASES
 from ..functions.columns import as_time
 from ..functions.text import not_similar
+from . import store
 
 # Connection address by engine.
 JDBC_URL = {
@@ -32,43 +33,65 @@ FAILED = "instance string, database string, error string"
 
 def land_snapshot(
     spark: SparkSession, targets: Sequence[Mapping], view_sql: str, snapshot_ts, path: str | None = None,
-    reader: Callable[[SparkSession, Mapping, str], DataFrame] = jdbc_reader, batch: int = 200, run: str | None = None,
+    reader: Callable[..., DataFrame] = jdbc_reader, batch: int = 200, run: str | None = None, schema: str | None = None,
 ) -> DataFrame:
     """One query on many databases, tagged by ``instance``, ``database`` and ``snapshot_ts``.
 
-    ``targets`` is the fleet's connection list. Without ``path`` the rows are
-    returned as one frame. With it they are written in batches of targets, each
-    one job that reads its databases side by side, below the folder of ``run``
-    (default: the snapshot time); a run that is repeated replaces itself. The
-    targets that could not be read are returned, one row each with the error;
-    a batch that fails is taken again target by target, and the others stay.
+    ``targets`` is the fleet's connection list; a ``schema`` is handed to the
+    reader. Without ``path`` the rows are returned as one frame. With it they
+    are written in batches of targets, each one job that reads its databases
+    side by side, and become current as one when all is done
+    (``read_snapshots``): a ``run`` (default: the snapshot time) that is
+    repeated replaces itself, however its batches were cut. The targets that
+    could not be read are returned, one row each with the error; a batch that
+    fails is taken again target by target, and the others stay. Where a
+    driver can be called from a task, ``targets.land_targets`` opens the
+    servers there.
     """
+    extra = () if schema is None else (schema,)
+
     def tagged(target: Mapping) -> DataFrame:
-        return reader(spark, target, view_sql).select(
+        return reader(spark, target, view_sql, *extra).select(
             F.lit(target["instance"]).alias("instance"), F.lit(target["database"]).alias("database"),
             as_time(snapshot_ts).alias("snapshot_ts"), "*")
 
     if path is None:
         return reduce(DataFrame.unionByName, [tagged(t) for t in targets])
-    folder = f"{path}/run={run or re.sub('[^0-9A-Za-z]+', '-', str(snapshot_ts))}"
+    name = run or re.sub("[^0-9A-Za-z]+", "-", str(snapshot_ts))
+    before = store.load(spark, path)
+    folder = store.folder_of(before, name)
+    landed: list[str] = []
     failed: list[tuple[str, str, str]] = []
 
-    def land(part: Sequence[Mapping], name: str) -> None:
+    def land(part: Sequence[Mapping], number: str) -> None:
         try:
             rows = reduce(DataFrame.unionByName, [tagged(t) for t in part]).withColumn("snapshot_date", F.to_date("snapshot_ts"))
-            rows.write.mode("overwrite").partitionBy("snapshot_date").parquet(f"{folder}/batch={name}")
+            rows.write.mode("overwrite").partitionBy("snapshot_date").parquet(f"{path}/{folder}/batch-{number}")
+            landed.append(f"{folder}/batch-{number}")
         except Exception as e:  # any error of a driver or server leaves out its target alone
             if len(part) == 1:
                 failed.append((part[0]["instance"], part[0]["database"], str(e).split("\n")[0]))
                 return
             for k, target in enumerate(part):
-                land([target], f"{name}.{k}")
+                land([target], f"{number}.{k}")
 
     for i in range(0, len(targets), batch):
         land(targets[i : i + batch], str(i // batch))
+    _, old = store.replaced(before, name, [""])
+    others = [e for e in before.entries if e.table != name or e.kind != store.PART]
+    store.commit(spark, path, before, [*others, *old, *[store.Entry(name, "", store.PART, f) for f in landed]])
     return spark.createDataFrame(failed, FAILED)
 
 
+def read_snapshots(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
+    """The landed rows of all runs, or of one; a column some batch lacks is null there."""
+    entries = [e for e in store.load(spark, path).entries if e.kind == store.PART and run in (None, e.table)]
+    if not entries:
+        raise ValueError(f"no snapshot below {path}")
+    parts = [spark.read.parquet(f"{path}/{e.folder}") for e in entries]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def candidate_databases(
     databases: DataFrame, by: Sequence[str] = ("instance",), name: str = "datname", owner: str | None = "owner",
     size: str = "size_bytes", allowed: str | None = "datallowconn", template: str | None = "datistemplate",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.times import SLICE_PATTERN
-from ..sources.change_log import with_position
+from ..sources.change_log import structured_line
 
 
 def read_broker(spark: SparkSession, options: Mapping[str, str], source: str = "kafka") -> DataFrame:
@@ -40,9 +40,9 @@ def write_slices(
     """
     line = F.col("value")
     if "offset" in stream.columns:
-        line = with_position(line, F.col("offset"), F.col("partition"))
-    if database is not None:
-        line = F.regexp_replace(line, r"\}\s*$", f', "database": "{database}"}}')
+        line = structured_line(line, F.col("offset"), F.col("partition"), database)
+    elif database is not None:
+        line = structured_line(line, database=database)
     start = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), SLICE_PATTERN)
     writer = (
         stream.select(line.alias("value"), start.alias("slice"))

@@ -14,9 +14,9 @@ from fleetlake.operators import lifecycle as L
 from fleetlake.operators import windows as W
 from fleetlake.operators.health import maintenance_due
 from fleetlake.operators.joins import expand_range
-from fleetlake.sources import land_snapshot, read_change_log, read_lines_from, write_change_log
+from fleetlake.sources import land_snapshot, read_change_log, read_lines_from, read_snapshots, write_change_log
 from fleetlake.sources.change_log import bad_lines, log_lines, parse_envelopes
-from fleetlake.sources.findings import findings, write_findings
+from fleetlake.sources.findings import findings, read_findings, write_findings
 from fleetlake.streaming import apply_stream, compact, current_state, deduplicated
 from fleetlake.streaming.apply import folders, write_base
 
@@ -116,7 +116,7 @@ def test_findings_of_different_keys_keep_apart(spark, tmp_path):
     for as_of in ("2024-01-01 00:00:00", "2024-01-02 00:00:00"):
         write_findings(findings(df, "check", "obj", as_of), path)
     write_findings(findings(df.limit(1), "other", "obj", "2024-01-01 00:00:00"), path)
-    back = spark.read.parquet(path)
+    back = read_findings(spark, path)
     assert back.count() == 5 and back.filter("check_id = 'check' AND as_of = '2024-01-02'").count() == 4
 
 
@@ -138,6 +138,12 @@ def test_a_threshold_is_not_rounded_before_it_is_compared(spark):
     assert (row.threshold, row.due, row.rows_per_page) == (10.0, "yes", 4.5)
     settings = spark.createDataFrame([(20, 0.0)], "autovacuum_vacuum_threshold int, autovacuum_vacuum_scale_factor double")
     assert maintenance_due(df, "vacuum", settings=settings).first().due is None
+    # Without a row the two arguments hold; two rows are an error; so it is per server.
+    assert maintenance_due(df, "vacuum", 9, 0.11110666, settings=settings.limit(0)).first().due == "yes"
+    with pytest.raises(PySparkException, match="more than one row"):
+        maintenance_due(df, "vacuum", settings=settings.union(settings)).collect()
+    fleet, own = df.withColumn("i", F.lit(1)).union(df.withColumn("i", F.lit(2))), settings.withColumn("i", F.lit(2))
+    assert {r.due for r in maintenance_due(fleet, "vacuum", 9, 0.11110666, settings=own, on=["i"], keep=["i"]).collect()} == {"yes", None}
 
 
 @pytest.mark.parametrize("shape", ["sparse", "one day", "clustered"])
@@ -180,7 +186,26 @@ def test_one_bad_target_does_not_stop_the_others(spark, tmp_path):
     for _ in range(2):
         failed = land_snapshot(spark, targets, "select 1", "2024-01-01 00:00:00", str(tmp_path), reader, batch=3)
         assert sorted(r.instance for r in failed.collect()) == ["i1", "i3"]
-    assert spark.read.parquet(str(tmp_path)).count() == 6
+    assert read_snapshots(spark, str(tmp_path)).count() == 6
+
+
+def test_a_landing_that_first_failed_does_not_double_rows(spark, tmp_path):
+    down = {"i1"}
+
+    def reader(s, target, sql, schema):
+        if target["instance"] in down:
+            raise OSError("no route")
+        return s.range(3).selectExpr(f"CAST(id AS {schema}) AS id")
+
+    targets = [{"instance": f"i{n}", "database": "d"} for n in range(2)]
+    first = land_snapshot(spark, targets, "select 1", "2024-01-01 00:00:00", str(tmp_path), reader, schema="int")
+    assert [r.instance for r in first.collect()] == ["i1"] and read_snapshots(spark, str(tmp_path)).count() == 3
+    down.clear()
+    assert land_snapshot(spark, targets, "select 1", "2024-01-01 00:00:00", str(tmp_path), reader, schema="int").count() == 0
+    landed = read_snapshots(spark, str(tmp_path))
+    assert landed.count() == 6 and dict(landed.dtypes)["id"] == "int"
+    land_snapshot(spark, targets[:1], "select 1", "2024-01-02 00:00:00", str(tmp_path), reader, schema="int")
+    assert read_snapshots(spark, str(tmp_path)).count() == 9 and read_snapshots(spark, str(tmp_path), "2024-01-02-00-00-00").count() == 3
 
 
 def test_lines_from_an_offset_skip_whole_files(spark, tmp_path):
