@@ -42,7 +42,8 @@ def maintenance_due(
 
     ``settings`` holds the servers' ``autovacuum_<kind>_threshold`` and
     ``_scale_factor``, one row per ``on`` (one row in all without ``on``); they
-    take the place of the two arguments. The times of the last upkeep are shown
+    take the place of the two arguments, which hold where a setting is null or
+    missing; two rows for one server fail the report. The times of the last upkeep are shown
     where the table has them. The limit is compared as it is and rounded for
     display only.
     """
@@ -50,9 +51,16 @@ def maintenance_due(
     names = [f"{prefix}_threshold", f"{prefix}_scale_factor"]
     rows, defaults = stats, [F.lit(threshold), F.lit(scale)]
     if settings is not None:
-        own = settings.select(*on, *[F.col(n).alias(f"_{n}") for n in names])
-        rows = stats.join(own, list(on), "left") if on else stats.crossJoin(F.broadcast(own.limit(1)))
-        defaults = [F.coalesce(F.col(f"_{n}"), d) for n, d in zip(names, defaults)]
+        def only(n: str) -> Column:
+            several = F.raise_error(F.lit(f"settings: more than one row{' for one ' + ', '.join(on) if on else ''}"))
+            return F.when(F.count(F.lit(1)) > 1, several.cast(settings.schema[n].dataType)).otherwise(F.max(n))
+
+        if on:
+            rows = stats.join(settings.groupBy(*on).agg(*[only(n).alias(f"_{n}") for n in names]), list(on), "left")
+            own = [F.col(f"_{n}") for n in names]
+        else:
+            own = [settings.agg(only(n)).scalar() for n in names]
+        defaults = [F.coalesce(c, d) for c, d in zip(own, defaults)]
     limit = option_or_default(options, names[0], defaults[0]) + option_or_default(options, names[1], defaults[1]) * F.col(live)
     last = [c for c in (f"last_{kind}", f"last_auto{kind}") if c in stats.columns]
     return rows.select(
