@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .features import NAMES, counts
-from .frames import held_out, raw, small_batches
+from .frames import held_out, raw, release, small_batches
 
 #: Rows the model is fitted on: those with the smallest hash of the identifier.
 MAX_FIT_ROWS = 20_000
@@ -148,6 +148,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 48, rounds: int = 150, pairs:
 def text_features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         yield pa.array([features(t) for t in raw(texts)], pa.list_(pa.float64()))
+    release()
 
 
 def quality_score(model: AdditiveModel, text: Column) -> Column:
@@ -157,6 +158,7 @@ def quality_score(model: AdditiveModel, text: Column) -> Column:
         for texts in batches:
             x = np.array([features(t) for t in raw(texts)], float).reshape(-1, len(FEATURES))
             yield pa.array(model.score(x), pa.float64())
+        release()
 
     return score(text)
 

@@ -2,7 +2,8 @@
 
 A fingerprint has a 1 where most shingle hashes have a 1. Two fingerprints
 within ``radius`` bits agree on at least one of ``radius + 1`` blocks of bits,
-so every distinct fingerprint is dealt to one shard per block. A shard holds
+so every distinct fingerprint is dealt to one shard per block. Those that share
+a full block value are dealt again by blocks of the bits left. A shard holds
 the BK-trees of its block values: children are keyed by the integer Hamming
 distance to the parent, and a search from distance d follows only the edges
 d - radius .. d + radius. Trees and searches meet by shuffle, because a
@@ -12,21 +13,24 @@ broadcast of all trees has no size bound.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import cut_lineage, raw, small_batches
+from .frames import cut_lineage, raw, release, small_batches
 
 SEED = 42
 BITS = 64
-#: Tree nodes in one shard group; a larger block value is split into several trees.
+#: Tree nodes, and searches, in one shard group; a block value with more members is split by further bits.
 TREE_ROWS = 20_000
+#: Times a block value is split by further bits; what is still full then becomes several trees, searched in slices.
+LEVELS = 3
 #: Rows of a shard, and (search, node) pairs held at once while searching.
 SHARD_ROWS = 200_000
 FRONTIER = 2_000_000
@@ -59,6 +63,7 @@ def _fingerprints(words: int):
         for texts in batches:
             digests = b"".join(fingerprint(t or b"", words) for t in raw(texts))
             yield pa.array(np.frombuffer(digests, ">u8").astype(np.uint64).view(np.int64))
+        release()
 
     return prints
 
@@ -132,7 +137,7 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 def _shard_links(radius: int):
     def links(shard: pd.DataFrame) -> pd.DataFrame:
-        _, tree = np.unique(shard[["block", "value", "salt"]].to_numpy(), axis=0, return_inverse=True)
+        _, tree = np.unique(shard[["key", "salt"]].to_numpy(), axis=0, return_inverse=True)
         words, role = shard["fp"].to_numpy().view(np.uint64), shard["role"].to_numpy()
         nodes = np.flatnonzero(role != 1)
         forest = Forest(tree[nodes], words[nodes])
@@ -143,6 +148,7 @@ def _shard_links(radius: int):
         for s, n in forest.search(tree[searches], words[searches], radius):
             unite(label, node_of[searches[s]], node_of[back[n]])
         moved = np.flatnonzero(label != np.arange(len(label)))
+        release()
         return pd.DataFrame({"a": same[moved].view(np.int64), "b": same[label[moved]].view(np.int64)})
 
     return links
@@ -152,27 +158,56 @@ def link_fingerprints(prints: DataFrame, radius: int = 3) -> DataFrame:
     """Links ``(a, b)`` whose classes are those of all pairs of distinct ``fp`` within ``radius`` bits.
 
     A shard returns a spanning forest of what it links, so its output never
-    exceeds its input. A block value with over TREE_ROWS members becomes
-    several trees; its members then search each of them.
+    exceeds its input. Members of a block value with over TREE_ROWS of them
+    agree on a block of their other bits as well, so they are dealt by those,
+    and so on. A value that is still full is cut into trees of TREE_ROWS nodes,
+    each searched by slices of as many members, so no group is larger.
     """
-    blocks, width = radius + 1, -(-BITS // (radius + 1))
-    cut = F.array(*[
-        F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", i * width).bitwiseAND((1 << width) - 1).alias("value"))
-        for i in range(blocks)])
-    rows = prints.select("fp", F.explode(cut).alias("at")).select("fp", "at.block", "at.value")
-    sizes = rows.groupBy("block", "value").count().where("count > 1").withColumn("trees", F.ceil(F.col("count") / TREE_ROWS))
-    rows = rows.join(sizes.select("block", "value", "trees"), ["block", "value"])
-    own = F.pmod(F.xxhash64("fp"), "trees")
-    rows = rows.withColumn("to", F.when(F.col("trees") == 1, F.array(F.struct(F.lit(0).cast("bigint").alias("salt"), F.lit(2).alias("role")))).otherwise(
-        F.concat(
-            F.array(F.struct(own.cast("bigint").alias("salt"), F.lit(0).alias("role"))),
-            F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("trees") - 1), lambda k: F.struct(k.alias("salt"), F.lit(1).alias("role"))))))
-    rows = rows.select("block", "value", "fp", F.explode("to").alias("t")).select("block", "value", "fp", "t.salt", "t.role")
+    blocks, left, dealt = radius + 1, BITS, []
+    rows = prints.select("fp", F.col("fp").alias("rest"), F.lit(0).cast("bigint").alias("key"))
+    for level in range(LEVELS + 1):
+        width = -(-left // blocks)
+        rows = rows.select("fp", "key", F.explode(_cuts(F.col("rest"), left, width)).alias("at")).select(
+            "fp", F.xxhash64("key", "at.block", "at.value").alias("key"), "at.rest")
+        left -= width
+        sizes = cut_lineage(rows.groupBy("key").count().where("count > 1"))
+        full = sizes.where(F.col("count") > TREE_ROWS)
+        one = rows.join(sizes.where(F.col("count") <= TREE_ROWS).select("key"), "key")
+        dealt.append(one.select("fp", "key", F.lit(0).alias("salt"), F.lit(2).alias("role")))
+        if full.isEmpty():
+            break
+        rows = cut_lineage(rows.join(full, "key"))
+        if level == LEVELS:
+            dealt.append(_sliced(rows))
+    rows = reduce(DataFrame.unionByName, dealt)
     shards = max(8, -(-blocks * prints.count() // SHARD_ROWS))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("block", "value", "salt"), F.lit(shards)))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("key", "salt"), F.lit(shards)))
     return rows.groupBy("shard").applyInPandas(_shard_links(radius), "a long, b long")
 
 
+def _cuts(rest: Column, left: int, width: int) -> Column:
+    """Each block of the lowest ``left`` bits: its number, its value, and the other bits closed up."""
+    out = []
+    for i, low in enumerate(range(0, left, width)):
+        here = min(width, left - low)
+        value = F.shiftrightunsigned(rest, low).bitwiseAND((1 << here) - 1)
+        above = F.shiftleft(F.shiftrightunsigned(rest, low + here), low) if low + here < BITS else F.lit(0).cast("bigint")
+        other = rest.bitwiseAND((1 << low) - 1).bitwiseOR(above)
+        # A narrower last block leaves more bits; the surplus ones are the same for all that share the block's number.
+        out.append(F.struct(F.lit(i).alias("block"), value.alias("value"), other.alias("rest")))
+    return F.array(*out)
+
+
+def _sliced(rows: DataFrame) -> DataFrame:
+    """Members of full keys, each in its tree for all slices, and as a search of its slice in all trees."""
+    n = F.ceil(F.col("count") / TREE_ROWS).cast("int")
+    tree, part = F.pmod(F.xxhash64("fp"), n).cast("int"), F.pmod(F.xxhash64(F.lit(1), "fp"), n).cast("int")
+    each = F.sequence(F.lit(0), n - 1)
+    nodes = F.transform(each, lambda k: F.struct((tree * n + k).alias("salt"), F.lit(0).alias("role")))
+    searches = F.transform(each, lambda k: F.struct((k * n + part).alias("salt"), F.lit(1).alias("role")))
+    return rows.select("fp", "key", F.explode(F.concat(nodes, searches)).alias("t")).select("fp", "key", "t.salt", "t.role")
+
+
 def _classes(prints: DataFrame, radius: int) -> DataFrame:
     """``(fp, root, component_id)`` per distinct fingerprint: its class and the smallest identifier in it."""
     distinct = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("least")))
@@ -198,12 +233,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """One row of each component, with its columns as they are: the one with the smallest identifier.
 
     A null identifier is kept only where its component has no other. Of rows
-    with the same identifier and fingerprint one stays.
+    with the same identifier and fingerprint one stays. The texts are shuffled
+    once, by identifier; only rows whose identifier repeats are fingerprinted
+    again and numbered.
     """
     prints = cut_lineage(fingerprints(docs, id_col, text_col, words))
     first = prints.join(_classes(prints, radius), "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("first"))
     first = cut_lineage(first.select(F.col("first.id").alias("__first_id"), F.col("first.fp").alias("__first_fp")))
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), _fingerprints(words)(F.col(text_col)).alias("fp"))
-    kept = row.join(first, row.id.eqNullSafe(first["__first_id"]) & (row.fp == first["__first_fp"]), "left_semi")
-    again = F.row_number().over(Window.partitionBy("id", "fp").orderBy(F.lit(0)))
-    return kept.withColumn("again", again).where("again = 1").select("row.*")
+    again = cut_lineage(prints.groupBy("id").count().where("count > 1 OR id IS NULL").select(F.col("id").alias("__again_id")))
+    once = first.join(again, F.col("__first_id").eqNullSafe(F.col("__again_id")), "left_anti").select("__first_id")
+    kept = docs.join(once, F.col(f"`{id_col}`") == F.col("__first_id"), "left_semi")
+    if again.isEmpty():
+        return kept
+    row = docs.join(again, F.col(f"`{id_col}`").eqNullSafe(F.col("__again_id")), "left_semi").select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), _fingerprints(words)(F.col(f"`{text_col}`")).alias("fp"))
+    row = row.join(first, row.id.eqNullSafe(first["__first_id"]) & (row.fp == first["__first_fp"]), "left_semi")
+    number = F.row_number().over(Window.partitionBy("id", "fp").orderBy(F.lit(0)))
+    return kept.unionByName(row.withColumn("number", number).where("number = 1").select("row.*"))

@@ -44,10 +44,12 @@ def test_same_as_all_pairs(spark):
     assert S.near_duplicates(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("tree_rows", [20_000, 7])
-def test_links_give_the_classes_of_all_pairs(spark, monkeypatch, tree_rows):
+@pytest.mark.parametrize("tree_rows, levels", [(20_000, 3), (7, 3), (7, 0), (12, 1)])
+def test_links_give_the_classes_of_all_pairs(spark, monkeypatch, tree_rows, levels):
     rng = random.Random(5)
-    prints = set()
+    # Many share all but their last bits.
+    prints = {0xABCD_0123_4567_0000 | rng.getrandbits(12) for _ in range(60)}
+    monkeypatch.setattr(S, "LEVELS", levels)
     for _ in range(40):
         base = rng.getrandbits(64)
         for _ in range(rng.choice([1, 2, 8, 30])):
@@ -67,6 +69,27 @@ def test_links_give_the_classes_of_all_pairs(spark, monkeypatch, tree_rows):
     assert len(set(got)) == len(set(want))
 
 
+def test_one_full_block_value_makes_even_groups(spark, monkeypatch):
+    """Most fingerprints agree on three blocks; no group of trees and searches holds many of them."""
+    monkeypatch.setattr(S, "TREE_ROWS", 300)
+    monkeypatch.setattr(S, "LEVELS", 0)
+    rng = random.Random(6)
+    prints = sorted({0x1111_2222_3333_0000 | rng.getrandbits(16) for _ in range(3000)})
+    rows = spark.createDataFrame([(p,) for p in prints], "fp long").select("fp", F.col("fp").alias("rest"), F.lit(7).cast("bigint").alias("key"))
+    groups = S._sliced(rows.withColumn("count", F.lit(len(prints)).cast("bigint"))).groupBy("salt").count().collect()
+    n = -(-len(prints) // 300)
+    assert len(groups) == n * n and max(r["count"] for r in groups) < 2.5 * 300
+
+
+def test_keep_one_with_repeated_identifiers(spark):
+    rows = [(1, "a b c d"), (1, "a b c d"), (1, "quite another text here"), (None, "a b c d"), (None, "only without number"), (None, "only without number"), (5, "a b c d"),
+            (6, "six words stand alone in here"), (0, "quite another text here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("x")).repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in S.keep_one(docs).collect()), key=str)
+    assert got == sorted([(0, "quite another text here"), (1, "a b c d"), (6, "six words stand alone in here"), (None, "only without number")], key=str)
+    assert S.keep_one(docs).columns == docs.columns
+
+
 def test_components_of_paths_and_cycles(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (102, 100), (7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
