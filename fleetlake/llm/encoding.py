@@ -3,18 +3,19 @@
 Both vocabularies used here split a text before they merge, and never join
 characters on either side of a boundary "no white space, then white space" or
 "letter, then other". So a text is cut into words with the white space before
-them, found again by a 64-bit hash, and new words into runs of letters and of
-others; only runs not met before are encoded (runs of letters, which are never
-split again, by the merges alone), and the ids of a text are strung together.
-Words with an apostrophe or with characters beyond ASCII and Latin-1 letters
-are encoded whole, as are texts with white space beyond blank, tab and line
-ends.
+them, found again by a 64-bit hash and compared byte by byte, and new words
+into runs of letters and of others; only runs not met before are encoded (runs
+of letters, which are never split again, by the merges alone), and the ids of a
+text are strung together. Words with an apostrophe or with characters beyond
+ASCII and Latin-1 letters are encoded whole, as are texts with white space
+beyond blank, tab and line ends, and texts with the string of a special token.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from os.path import commonprefix
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
@@ -56,10 +57,10 @@ def _powers(factor: int, n: int) -> np.ndarray:
 
 
 class _Ids:
-    """Ids of numbered strings in one array, far below 2 to the 31 of them."""
+    """Ids (or bytes) of numbered strings in one array, far below 2 to the 31 of them."""
 
-    def __init__(self):
-        self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+    def __init__(self, kind: type = np.uint32):
+        self.ids, self.ends = np.empty(0, kind), np.zeros(1, np.int64)
 
     def append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         self.ids = np.concatenate([self.ids, ids])
@@ -96,7 +97,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # A string of a special token is one id wherever it stands.
+        self.special, self.mark = re.compile("|".join(map(re.escape, special)) or "(?!)", re.I), commonprefix(special).encode()
         self.blanks_count = self._ids([" a"])[0] != self._ids(["a"])[0]
         self.lower = self._ids(["A", "Ä"]) == self._ids(["a", "ä"])
         self.merge, self.memory = self.tokenizer.model.tokenize, MEMORY
@@ -108,6 +111,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.words, self.word_ids = Table(np.empty(0, np.uint64), np.empty(0, np.int64), -1), _Ids()
+        self.spelt, self.clashes = _Ids(np.uint8), {}
         self.pieces, self.piece_ids = _Numbers(), _Ids()
 
     def _one_by_one(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -142,12 +146,34 @@ class Encoder:
                 found[k] = ids
         self.piece_ids.append(np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
 
+    def _differ(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Which slices are not the words of these numbers: words of equal hash are told apart by their bytes."""
+        first, stop = self.spelt.ends[numbers], self.spelt.ends[numbers + 1]
+        wrong = stop - first != end - start
+        same = np.flatnonzero(~wrong)
+        held, _ = self.spelt.gather(numbers[same])
+        size = end[same] - start[same]
+        # Slices follow one another, so all of them are the data itself.
+        own = data if len(same) == len(start) else data[np.repeat(~wrong, end - start)]
+        at = np.flatnonzero(held != own)
+        wrong[same[np.unique(np.searchsorted(np.cumsum(size), at, side="right"))]] = True
+        return np.flatnonzero(wrong)
+
+    def _clash(self, word: bytes) -> int:
+        """The number of a word whose hash belongs to another one."""
+        if word not in self.clashes:
+            self.clashes[word] = len(self.word_ids.ends) - 1
+            self._learn_words([word.decode()])
+        return self.clashes[word]
+
     def _learn_words(self, new: list[str]) -> None:
+        coded = [w.encode() for w in new]
+        self.spelt.append(np.frombuffer(b"".join(coded), np.uint8), np.fromiter(map(len, coded), np.int64, len(coded)))
         # Words after one blank are cut together; every one of them starts with the only blank in it.
         plain = [i for i, w in enumerate(new) if w[0] == " " and w[1:2] not in _BLANKS]
         text = "".join([new[i] for i in plain])
-        if _WHOLE.search(text) or _ODD.search(text):
-            plain = [i for i in plain if not _WHOLE.search(new[i]) and not _ODD.search(new[i])]
+        if _WHOLE.search(text) or _ODD.search(text) or self.special.search(text):
+            plain = [i for i in plain if not _WHOLE.search(new[i]) and not _ODD.search(new[i]) and not self.special.search(new[i])]
             text = "".join([new[i] for i in plain])
         pieces = _PIECE.findall(text.lower() if self.lower else text)
         starts = np.fromiter((p[0] == " " for p in pieces), bool, len(pieces))
@@ -155,7 +181,7 @@ class Encoder:
         seen, alone, counts = set(plain), [], []
         for i, word in enumerate(new):
             if i not in seen:
-                own = [word] if _WHOLE.search(word) or _ODD.search(word) else _PIECE.findall(word.lower() if self.lower else word)
+                own = [word] if _WHOLE.search(word) or _ODD.search(word) or self.special.search(word) else _PIECE.findall(word.lower() if self.lower else word)
                 pieces += own
                 alone.append(i)
                 counts.append(len(own))
@@ -181,6 +207,10 @@ class Encoder:
         if _ODD_BYTE[data].any():
             for k in [k for k, t in enumerate(texts) if _ODD.search(t)]:
                 cut[first[k]:first[k] + sizes[k]] = False
+        joined = data.tobytes()
+        if self.mark in joined:
+            for k in [k for k, t in enumerate(texts) if self.special.search(t)]:
+                cut[first[k]:first[k] + sizes[k]] = False
         cut[first] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
@@ -193,12 +223,13 @@ class Encoder:
         missing = np.flatnonzero(numbers < 0)
         if len(missing):
             new, at, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
-            joined = data.tobytes()
             at = missing[at]
+            known = len(self.word_ids.ends) - 1 + np.arange(len(new))
             self._learn_words([joined[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist())])
-            known = np.arange(self.words.used, self.words.used + len(new))
             self.words.add(new, known)
             numbers[missing] = known[which]
+        for i in self._differ(data, start, end, numbers).tolist():
+            numbers[i] = self._clash(joined[start[i]:end[i]])
         ids, each = self.word_ids.gather(numbers)
         return ids, np.add.reduceat(each, np.searchsorted(start, first))
 

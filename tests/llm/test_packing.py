@@ -15,7 +15,6 @@ WORD = public_tokenizers.path("word_bpe_49k.json")
 
 def whole(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda x: t.encode(x, add_special_tokens=False).ids
 
 
@@ -23,6 +22,7 @@ def test_pieces_encode_like_whole_texts(spark):
     rng = random.Random(6)
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     marks = ["a", "B", "é", "ß", "́", "1", "23", " ", "  ", "\n", "\t", "\r\n", " ", "\x1c", " ", "'s", "'", "!!", "|", "<|endoftext|>", "漢", "​", "Σ", "_"]
+    texts += ["x<|endoftext|>y z", "<|ENDOFTEXT|>", "a <|startoftext|>", "<|endoftext|>" * 3, "word<|endoftext|> word <|endoftext |>", "\n<|endoftext|>\n\n a's"]
     texts += ["".join(rng.choice(marks) for _ in range(rng.randrange(25))) for _ in range(4000)]
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         path = public_tokenizers.path(name)
@@ -35,6 +35,19 @@ def test_pieces_encode_like_whole_texts(spark):
                 at += n
 
 
+def test_words_of_equal_hash_are_told_apart():
+    """Words of the Thue-Morse sequence have equal polynomial hashes modulo 2 to the 64, whatever the base."""
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    pairs = [("".join("ab"[b] for b in bits[:n]), "".join("ba"[b] for b in bits[:n])) for n in (512, 1024, 2048, 4096)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        encode, e = whole(public_tokenizers.path(name)), Encoder(public_tokenizers.path(name))
+        for texts in ([p[0] for p in pairs], [p[1] for p in pairs], [f"{x} {y} {x} end {y}" for x, y in pairs], [x + y for x, y in pairs]):
+            ids, sizes = e.encode(texts)
+            for text, part in zip(texts, np.split(ids, np.cumsum(sizes)[:-1])):
+                assert part.tolist() == encode(text)
+        assert e.clashes
+
+
 def test_pack(spark):
     docs = with_odd(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).repartition(7)
     encode, want = whole(WORD), defaultdict(int)
