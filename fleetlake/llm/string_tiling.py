@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .frames import small_batches, values
+from .frames import release, small_batches, values
 from .hashing import run_hashes
 
 LEAST = 5
@@ -72,53 +72,65 @@ def tile(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
 
 
 class Items:
-    """Test items as arrays of word numbers, with the seeds of all of them."""
+    """Test items as arrays of word numbers, with the seeds of all of them; an item of fewer words than a seed is one seed."""
 
     def __init__(self, texts: list[str | None], least: int):
         self.least, self.number = least, {}
         self.words = [
             np.array([self.number.setdefault(w, len(self.number)) for w in _WORD.findall((t or "").lower())], np.int64) for t in texts]
-        seeds, item, place = [np.empty(0, np.uint64)], [np.empty(0, int)], [np.empty(0, int)]
-        for k, ids in enumerate(self.words):
-            h = run_hashes(ids, least)
-            seeds.append(h)
-            item.append(np.full(len(h), k))
-            place.append(np.arange(len(h)))
-        seeds, item, place = map(np.concatenate, (seeds, item, place))
-        order = np.argsort(seeds, kind="stable")
-        self.seeds, self.item, self.place = seeds[order], item[order], place[order]
+        self.seeds = {}
+        for n in sorted({min(least, len(w)) for w in self.words} - {0}):
+            own = [k for k, w in enumerate(self.words) if min(least, len(w)) == n]
+            hashes = [run_hashes(self.words[k], n) for k in own]
+            seeds = np.concatenate(hashes)
+            item = np.repeat(own, [len(h) for h in hashes])
+            place = np.concatenate([np.arange(len(h)) for h in hashes])
+            order = np.argsort(seeds, kind="stable")
+            self.seeds[n] = seeds[order], item[order], place[order]
 
     def matches(self, text: str | None, coverage: float) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
-        """``(item, words covered, tiles)`` for every item whose tiles cover the share ``coverage``."""
-        words, least, get = _WORD.findall((text or "").lower()), self.least, self.number.get
-        if len(words) < least or not len(self.seeds):
-            return []
-        ids = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+        """``(item, words covered, tiles)`` for every item whose tiles cover the share ``coverage``.
+
+        A seed counts once however often the text has it, and only items that
+        the text's seeds could cover are tiled.
+        """
+        words, out = _WORD.findall((text or "").lower()), []
+        ids = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words)) if self.seeds else np.empty(0, np.int64)
         unknown = np.concatenate(([0], np.cumsum(ids < 0)))
-        at = np.flatnonzero(unknown[least:] == unknown[:-least])
-        if not len(at):
-            return []
-        h = run_hashes(ids, least)[at]
-        first = np.searchsorted(self.seeds, h)
-        n = np.searchsorted(self.seeds, h, side="right") - first
-        pair = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        item, place, at = self.item[pair], self.place[pair], np.repeat(at, n)
-        out = []
-        for k in np.unique(item).tolist():
-            mine, size = item == k, len(self.words[k])
-            seen = np.zeros(size, bool)
-            near = np.zeros(len(ids), bool)
-            for i in range(least):
-                seen[place[mine] + i] = True
-                near[at[mine] + i] = True
-            # Tiles cover no more of the item than its seeds do.
-            if seen.sum() < coverage * size:
+        for n, (seeds, items, places) in self.seeds.items():
+            if len(ids) < n:
+                continue
+            at = np.flatnonzero(unknown[n:] == unknown[:-n])
+            if not len(at):
                 continue
-            tiles = tile(np.where(near, ids, -1), self.words[k], least)
-            covered = sum(t[2] for t in tiles)
-            if covered >= coverage * size:
-                out.append((k, covered, tiles))
-        return out
+            h = run_hashes(ids, n)[at]
+            distinct = np.unique(h)
+            first = np.searchsorted(seeds, distinct)
+            many = np.searchsorted(seeds, distinct, side="right") - first
+            pair = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            pair = pair[np.lexsort((places[pair], items[pair]))]
+            item, place = items[pair], places[pair]
+            # Words of an item that its shared seeds cover: each up to the next seed.
+            last = np.append(item[1:] != item[:-1], True)
+            reach = np.where(last, n, np.minimum(n, np.append(place[1:], 0) - place))
+            begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(item)), bool), item[1:] != item[:-1])))
+            covered = np.add.reduceat(reach, begin) if len(begin) else begin
+            ends = np.append(begin[1:], len(item))
+            for a, b, seen in zip(begin.tolist(), ends.tolist(), covered.tolist()):
+                k = int(item[a])
+                size = len(self.words[k])
+                # Tiles cover no more of the item than its seeds do.
+                if seen < coverage * size:
+                    continue
+                near = np.zeros(len(ids), bool)
+                mine = at[np.isin(h, seeds[pair[a:b]])]
+                for i in range(n):
+                    near[mine + i] = True
+                tiles = tile(np.where(near, ids, -1), self.words[k], n)
+                total = sum(t[2] for t in tiles)
+                if total and total >= coverage * size:
+                    out.append((k, total, tiles))
+        return sorted(out)
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list]:
@@ -145,6 +157,7 @@ def _matched(items: list, kind: T.DataType, least: int, coverage: float, text: C
                 [{"item_id": names[k], "item_words": len(known.words[k]), "covered": covered,
                   "tiles": [dict(zip(("word", "item_word", "words"), t)) for t in tiles]}
                  for k, covered, tiles in known.matches(text, coverage)] for text in values(texts)], arrow)
+        release()
 
     return matched(text)
 
@@ -154,8 +167,9 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     """One row ``(id, item_id, item_words, covered, coverage, n_tiles, tiles)`` per document and item it contaminates.
 
     Words are runs of letters, digits and underscores in lower case. Documents
-    are never shuffled. Null and empty texts match nothing, as do items under
-    ``least`` words; repeated rows give repeated results, empty tables none.
+    are never shuffled. Null and empty texts match nothing; an item of fewer
+    than ``least`` words matches where all of it stands in a row. Repeated rows
+    give repeated results, empty tables none.
     """
     kind = items.schema[item_col].dataType
     found = None
