@@ -39,7 +39,11 @@ def test_numbers_and_names_must_agree():
     for text, want in (
         ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
         ("This work is licensed under the GNU General Public License, version 1.", []),
-        ("Licensed under CC BY-ND 4.0.", []), ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
+        ("Licensed under CC BY-ND 4.0.", ["CC-BY-ND-4.0"]), ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
+        ("Licensed under CC BY-XY 4.0.", []), ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", ["GPL-3.0"]),
+        ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", ["LGPL-3.0"]), ("Apache License Version 2.0, January 2004", ["Apache-2.0"]),
+        ("all tools are licensed under the BSD 3-Clause License", ["BSD-3-Clause"]), ("this is licensed under GPLv3", ["GPL-3.0"]),
+        ("this is licensed under GPLv4", []),
         ("ALL RIGHTS RESERVED.", ["LicenseRef-Proprietary"]), ("All animals reserved seats.", []),
         ("Copyright is a word about licenses and permission.", []), ("", []), (None, []),
     ):
