@@ -39,10 +39,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
                  shard_tokens: int = SHARD_TOKENS, memory: int = 1_000_000) -> None:
     """Encode every text, append ``end`` and write the shards below ``path``.
 
-    Documents are dealt by ranges of the identifier, so only the texts are
-    shuffled, once. A worker remembers up to ``memory`` distinct words from task
-    to task. Null and empty texts are the end id alone; null
-    identifiers come first, equal identifiers in order of their texts.
+    Documents are dealt by ranges of the identifier and, where it repeats or is
+    null, of the text's hash, so only the texts are shuffled, once. A worker
+    remembers up to ``memory`` distinct words from task to task. Null and empty
+    texts are the end id alone; null identifiers come first, equal identifiers
+    in order of their texts' hash, then text.
     """
     kind = docs.schema[id_col].dataType
     arrow = to_arrow_schema(_shard_type(kind))
@@ -83,7 +84,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
             yield shard()
 
     (small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-     .repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(shards, _shard_type(kind))
+     .repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text").mapInArrow(shards, _shard_type(kind))
      .write.option("maxRecordsPerFile", 1).option("compression", "zstd").parquet(path))
 
 
@@ -97,8 +98,11 @@ def _matrix(row: dict) -> WaveletMatrix:
 def shard_starts(spark: SparkSession, path: str) -> DataFrame:
     """``(part, shard, first)``: ids of all shards before each; reads the shards' sizes alone."""
     sizes = spark.read.parquet(path).select("part", "shard", "n_tokens")
-    order = Window.orderBy("part", "shard")
-    return sizes.select("part", "shard", (F.sum("n_tokens").over(order) - F.col("n_tokens")).alias("first"))
+    # Within a part by its shards; over all parts by one row each.
+    own = sizes.withColumn("inside", F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_tokens"))
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("all"))
+    parts = parts.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("ahead"))
+    return own.join(parts, "part").select("part", "shard", (F.col("ahead") + F.col("inside")).alias("first"))
 
 
 def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
