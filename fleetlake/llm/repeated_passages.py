@@ -17,27 +17,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .fm_index import FmIndex
-from .frames import cut_lineage, pieces_of, release, small_batches, values
+from .frames import pieces_of, release, shared_path, small_batches, values
 from .hashing import mixed, run_hashes
 
 LENGTH = 50
-GRAM = 16
-#: Bytes of text worked on at a time, and words of a long text.
+GRAM = 10
+#: Bytes of text (packed text) worked on at a time, and words of a long text.
 BLOCK_BYTES = 2_000_000
+PACKED_BYTES = 700_000
 PART_WORDS = 1 << 22
 PLACE_BITS = 23
+#: Bytes of distinct contexts a task holds before it sends them.
+FLUSH_BYTES = 16_000_000
 #: Bytes of distinct contexts in a shard on average at most; a shard is a task.
 SHARD_BYTES = 6_000_000
 #: An anchor in more distinct contexts than this is hot: its windows are dealt one by one.
 HOT_CONTEXTS = 20_000
 NO_ID = -(1 << 63)
 _KEY = ["key", "text_hash"]
+_CONTEXT_NAMES = [*_KEY, "anchor", "context", "start", "most", "words"]
 
 
 class _Hashes(dict):
@@ -78,77 +84,149 @@ def anchors(words: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarr
     return grams[at[cut]], text[cut], start[cut], start[np.append(cut[1:], len(at)) - 1]
 
 
-def _texts(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per row with anchors: its number, words, and hash, first start and number of windows of each anchor."""
-    hashes = _Hashes()
+def _texts(batch: pa.RecordBatch, length: int) -> Iterator[tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Words of all rows, and per anchor its hash, row, first window start and number of windows; a long text comes in parts."""
+    hashes, texts, row, parts, offset = _Hashes(), [], [], [], []
     for k, text in enumerate(values(batch.column("text"))):
-        words = text.split()
-        if len(words) < length:
-            continue
-        numbers = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-        found = []
-        for a in range(0, len(words) - length + 1, PART_WORDS):
-            part = numbers[a:a + PART_WORDS + length - 1]
-            h, _, first, last = anchors(part, np.array([len(part)]), length)
-            found.append((h, first + a, last - first + 1))
-        yield k, words, *[np.concatenate(x) for x in zip(*found)]
+        texts.append(text.split())
+        if len(texts[-1]) >= length:
+            numbers = np.fromiter(map(hashes.__getitem__, texts[-1]), np.uint64, len(texts[-1]))
+            for a in range(0, len(numbers) - length + 1, PART_WORDS):
+                row.append(k)
+                offset.append(a)
+                parts.append(numbers[a:a + PART_WORDS + length - 1])
+    first = 0
+    while first < len(parts):
+        last, held = first, 0
+        while last < len(parts) and (last == first or held + len(parts[last]) < PART_WORDS):
+            held += len(parts[last])
+            last += 1
+        sizes = np.array([len(x) for x in parts[first:last]])
+        h, text, start, stop = anchors(np.concatenate(parts[first:last]), sizes, length)
+        moved = np.array(offset[first:last]) - (np.cumsum(sizes) - sizes)
+        yield texts, h, np.array(row[first:last])[text], start + moved[text], stop - start + 1
+        first = last
+
+
+@F.arrow_udf(T.BinaryType())
+def _packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Texts compressed, as they travel to both joins."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for texts in batches:
+        yield pa.array([pack(t) for t in values(texts)], pa.binary())
+    release()
+
+
+def _unpacked(packed: pa.Array) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(t) for t in values(packed)], pa.large_binary())
 
 
 def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces_of(whole, "text", BLOCK_BYTES):
-                found, rows = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-                for k, _, h, _, _ in _texts(batch, length):
-                    found.append(np.unique(h))
-                    rows.append(np.full(len(found[-1]), k))
-                rows = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").take(pa.array(rows)), batch.column("text_hash").take(pa.array(rows)), pa.array(np.concatenate(found).view(np.int64))],
-                    names=[*_KEY, "anchor"])
+                for _, h, row, _, _ in _texts(batch, length):
+                    order = np.lexsort((h, row))
+                    h, row = h[order], row[order]
+                    once = np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (row[1:] != row[:-1])))
+                    rows = pa.array(row[once])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("key").take(rows), batch.column("text_hash").take(rows), pa.array(h[once].view(np.int64))], names=[*_KEY, "anchor"])
         release()
 
     return run
 
 
+_CONTEXTS = "key bigint, text_hash bigint, anchor bigint, context binary, start bigint, most bigint, words binary"
+
+
 def _context_rows(length: int):
-    """Texts with their shared anchors to rows of contexts; the words of equal ones in a block are told once."""
+    """Texts with their shared anchors to rows of contexts.
+
+    A row with ``start`` is where a document has a context; one with ``words``
+    tells a context's words, anchor, least and greatest (``key``, ``most``)
+    document number, once for all documents a task holds at a time.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: dict[bytes, list] = {}
+        held = 0
+
+        def tell() -> pa.RecordBatch:
+            n = len(told)
+            anchor, least, most, words = zip(*told.values())
+            columns = (least, [None] * n, anchor, list(told), [None] * n, most, words)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=_CONTEXT_NAMES)
+
         for whole in batches:
-            for batch in pieces_of(whole, "text", BLOCK_BYTES):
-                columns: list[list] = [[] for _ in range(5)]
-                known: set[bytes] = set()
+            for batch in pieces_of(whole, "text", PACKED_BYTES):
+                batch = batch.set_column(batch.schema.get_field_index("text"), "text", _unpacked(batch.column("text")))
+                keys = batch.column("key").to_numpy()
                 shared = [np.array(x, np.int64).view(np.uint64) for x in batch.column("shared").to_pylist()]
-                for k, words, h, start, n in _texts(batch, length):
-                    for i in np.flatnonzero(np.isin(h, shared[k])).tolist():
-                        a = int(start[i])
-                        text = b" ".join(words[a:a + int(n[i]) + length - 1])
-                        name = hashlib.blake2b(text, digest_size=16).digest()
-                        for column, value in zip(columns, (k, int(h[i].view(np.int64)), name, a, None if name in known else text)):
-                            column.append(value)
-                        known.add(name)
-                rows = pa.array(columns[0], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").take(rows), batch.column("text_hash").take(rows), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()),
-                     pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.binary())], names=[*_KEY, "anchor", "context", "start", "words"])
+                owner = np.repeat(np.arange(len(shared)), [len(x) for x in shared])
+                # One number per row and anchor; a rare equal number only adds a context.
+                known = np.unique(mixed(owner.astype(np.uint64)) ^ np.concatenate([np.empty(0, np.uint64), *shared]))
+                for texts, h, row, start, n in _texts(batch, length):
+                    hit = np.flatnonzero(np.isin(mixed(row.astype(np.uint64)) ^ h, known))
+                    names, anchor = [], h[hit].view(np.int64)
+                    for k, key, x, a, m in zip(row[hit].tolist(), keys[row[hit]].tolist(), anchor.tolist(), start[hit].tolist(), n[hit].tolist()):
+                        text = b" ".join(texts[k][a:a + m + length - 1])
+                        name = _name(text)
+                        names.append(name)
+                        if (old := told.get(name)) is None:
+                            told[name] = [x, key, key, text]
+                            held += len(text)
+                        elif key < old[1]:
+                            old[1] = key
+                        elif key > old[2]:
+                            old[2] = key
+                    rows, none = pa.array(row[hit]), pa.nulls(len(hit), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("key").take(rows), batch.column("text_hash").take(rows), none, pa.array(names, pa.binary()), pa.array(start[hit]),
+                         none, pa.nulls(len(hit), pa.binary())], names=_CONTEXT_NAMES)
+                    if held > FLUSH_BYTES:
+                        yield tell()
+                        told.clear()
+                        held = 0
+        if told:
+            yield tell()
+        told.clear()
         release()
 
     return run
 
 
+def _name(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
+
+
 def _windows(length: int):
-    """Distinct contexts to their windows, each with its words."""
+    """Distinct contexts to the names and places of their windows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                words = r["words"].split()
+                rows += [(_name(b" ".join(words[j:j + length])), r["context"], j, r["least"], r["most"]) for j in range(len(words) - length + 1)]
+            columns = list(zip(*rows)) or [[]] * 5
+            types = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["window", "context", "at", "least", "most"])
+
+    return run
+
+
+def _cut_windows(length: int):
+    """Contexts with the places of windows to the windows themselves, as contexts of their own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
                 words = r["words"].split()
-                for j in range(len(words) - length + 1):
-                    text = b" ".join(words[j:j + length])
-                    rows.append((hashlib.blake2b(text, digest_size=16).digest(), r["context"], j, r["least"], r["most"], text))
-            columns = list(zip(*rows)) or [[]] * 6
-            types = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["window", "context", "at", "least", "most", "words"])
+                rows += [(w["window"], w["least"], w["most"], b" ".join(words[w["at"]:w["at"] + length])) for w in r["windows"]]
+            columns = list(zip(*rows)) or [[]] * 4
+            types = (pa.binary(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["context", "least", "most", "words"])
 
     return run
 
@@ -159,17 +237,25 @@ _FIRSTS = "context binary, firsts array<struct<at:bigint,first:bigint>>"
 def _search_shard(length: int):
     """Index all contexts of a shard, stream them through it, and tell which windows an earlier document holds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, least, most, parts, numbers = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], _Numbers()
+        number: dict[bytes, int] = {}
+        least: list[int] = []
+        most: list[int] = []
         sizes: list[int] = []
+        parts, numbers = [np.empty(0, np.int64)], _Numbers()
         for batch in batches:
-            names += batch.column("context").to_pylist()
-            least.append(batch.column("least").to_numpy())
-            most.append(batch.column("most").to_numpy())
-            for text in values(batch.column("words")):
+            for name, low, high, text in zip(*[values(batch.column(c)) for c in ("context", "least", "most", "words")]):
+                # Several tasks may tell of a context.
+                k = number.setdefault(name, len(least))
+                if k < len(least):
+                    least[k], most[k] = min(least[k], low), max(most[k], high)
+                    continue
+                least.append(low)
+                most.append(high)
                 words = text.split()
                 sizes.append(len(words))
                 parts.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
-        words, sizes, least, most = np.concatenate(parts), np.array(sizes, np.int64), np.concatenate(least), np.concatenate(most)
+        names, words = list(number), np.concatenate(parts)
+        sizes, least, most = (np.array(x, np.int64) for x in (sizes, least, most))
         parts.clear()
         numbers.clear()
         if len(words):
@@ -200,15 +286,24 @@ def _span_rows(length: int):
     """Contexts of a document with the firsts of their windows to stretches of words to remove."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, text_hash, start, firsts in zip(*[values(batch.column(c)) for c in (*_KEY, "start", "firsts")]):
-                end = None
-                for at in sorted(f["at"] for f in firsts if f["first"] < key):
-                    if end is None or start + at > end:
-                        rows.append([key, text_hash, start + at, 0])
-                    end = rows[-1][3] = start + at + length
-            columns = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*_KEY, "from", "to"])
+            lists = batch.column("firsts")
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            pairs = lists.flatten()
+            at, first = (pairs.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            key, start = (batch.column(c).to_numpy() for c in ("key", "start"))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            hit = np.flatnonzero(first < key[row])
+            row, place = row[hit], start[row[hit]] + at[hit]
+            order = np.lexsort((place, row))
+            row, place = row[order], place[order]
+            # Windows that overlap or touch make one stretch.
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (place[1:] > place[:-1] + length)
+            begin = np.flatnonzero(new)
+            end = np.append(begin[1:], len(row))[:len(begin)] - 1
+            rows = pa.array(row[begin])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key").take(rows), batch.column("text_hash").take(rows), pa.array(place[begin]), pa.array(place[end] + length)], names=[*_KEY, "from", "to"])
 
     return run
 
@@ -220,8 +315,9 @@ def _removed():
     def remove(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, spans in batches:
             out = []
+            unpack = zstandard.ZstdDecompressor().decompress
             for text, found in zip(values(texts), values(spans)):
-                words = text.split()
+                words = unpack(text).split()
                 kept, at, n = [], 0, 0
                 end = -1
                 for a, b in sorted((s["from"], s["to"]) for s in found or []):
@@ -240,30 +336,44 @@ def _removed():
     return remove
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder, compressed, and read back."""
+    path = shared_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _shared_contexts(contexts: DataFrame, length: int) -> DataFrame:
     """``(context, firsts)``: the windows of each distinct context that an earlier document holds, with its number."""
-    distinct = cut_lineage(contexts.groupBy("context").agg(
-        F.first("anchor").alias("anchor"), F.min("key").alias("least"), F.max("key").alias("most"), F.first("words", ignorenulls=True).alias("words")))
-    many = cut_lineage(distinct.groupBy("anchor").count().where(F.col("count") > HOT_CONTEXTS).select("anchor"))
-    rows = distinct
+    rows = contexts.where(F.col("words").isNotNull()).select("anchor", "context", F.col("key").alias("least"), "most", "words")
     windows = None
+    # An anchor of which few contexts are told has few; only the others are counted again.
+    many = rows.groupBy("anchor").count().where(F.col("count") > HOT_CONTEXTS)
     if not many.isEmpty():
-        rows = distinct.join(many, "anchor", "left_anti")
-        windows = cut_lineage(distinct.join(many, "anchor", "left_semi").select("context", "least", "most", "words").mapInArrow(
-            _windows(length), "window binary, context binary, at bigint, least bigint, most bigint, words binary"))
-        single = windows.groupBy("window").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.first("words").alias("words"))
-        single = single.where("least != most").select(F.xxhash64("window").alias("anchor"), F.col("window").alias("context"), "least", "most", "words")
-        rows = rows.select("anchor", "context", "least", "most", "words").unionByName(single)
+        many = _written(rows.select("anchor", "context").distinct().groupBy("anchor").count().where(F.col("count") > HOT_CONTEXTS).select("anchor"), "anchors")
+        if not many.isEmpty():
+            hot = _written(rows.join(many, "anchor", "left_semi").groupBy("context").agg(
+                F.min("least").alias("least"), F.max("most").alias("most"), F.first("words").alias("words")), "contexts")
+            windows = _written(hot.mapInArrow(_windows(length), "window binary, context binary, at bigint, least bigint, most bigint"), "windows")
+            # Only windows of several documents go on; their words are cut from one of the contexts that hold them.
+            shared = windows.groupBy("window").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min(F.struct("context", "at")).alias("in"))
+            shared = shared.where("least != most").groupBy(F.col("in.context").alias("context")).agg(
+                F.collect_list(F.struct("window", "least", "most", "in.at")).alias("windows"))
+            single = hot.select("context", "words").join(shared, "context").select("words", "windows").mapInArrow(
+                _cut_windows(length), "context binary, least bigint, most bigint, words binary")
+            single = single.select(F.xxhash64("context").alias("anchor"), "context", "least", "most", "words")
+            rows = rows.join(many, "anchor", "left_anti").select("anchor", "context", "least", "most", "words").unionByName(single)
+    # Several tasks may tell of a context, so this is no less than what the shards hold.
     size = rows.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     shards = max(int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")).repartitionById(shards, "shard")
     firsts = dealt.select("context", "least", "most", "words").mapInArrow(_search_shard(length), _FIRSTS)
     if windows is None:
         return firsts
-    firsts = cut_lineage(firsts)
-    back = windows.join(firsts.select(F.col("context").alias("window"), F.col("firsts")[0]["first"].alias("first")), "window")
-    back = back.groupBy("context").agg(F.collect_list(F.struct("at", "first")).alias("firsts"))
-    return firsts.join(windows.select(F.col("window").alias("context")).distinct(), "context", "left_anti").unionByName(back)
+    firsts = _written(firsts, "firsts")
+    back = windows.select("window", "context", "at").join(firsts.select(F.col("context").alias("window"), F.col("firsts")[0]["first"].alias("first")), "window")
+    # The name of a window of its own is that of no other context a document was found to hold, or of one with the same firsts.
+    return firsts.unionByName(back.groupBy("context").agg(F.collect_list(F.struct("at", "first")).alias("firsts")))
 
 
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -279,14 +389,15 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = small_batches(docs).select(
         F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("key"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
-    found = cut_lineage(texts.select(*_KEY, "text").mapInArrow(_anchor_rows(length), "key bigint, text_hash bigint, anchor bigint"))
-    shared = found.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a != b").select("anchor")
+    found = _written(texts.select(*_KEY, "text").mapInArrow(_anchor_rows(length), "key bigint, text_hash bigint, anchor bigint"), "anchors")
+    # Written, so that the join below knows its size and sends it to the tasks only where it is small.
+    shared = _written(found.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a != b").select("anchor"), "shared")
     own = found.join(shared, "anchor").groupBy(*_KEY).agg(F.collect_set("anchor").alias("shared"))
-    contexts = cut_lineage(texts.select(*_KEY, "text").join(own, _KEY).select(*_KEY, "text", "shared").mapInArrow(
-        _context_rows(length), "key bigint, text_hash bigint, anchor bigint, context binary, start bigint, words binary"))
+    contexts = _written(texts.select(*_KEY, _packed("text").alias("text")).join(own, _KEY).select(*_KEY, "text", "shared").mapInArrow(
+        _context_rows(length), _CONTEXTS), "contexts")
     firsts = _shared_contexts(contexts, length)
-    spans = contexts.select(*_KEY, "context", "start").join(firsts, "context").select(*_KEY, "start", "firsts").mapInArrow(
+    spans = contexts.where(F.col("start").isNotNull()).select(*_KEY, "context", "start").join(firsts, "context").select(*_KEY, "start", "firsts").mapInArrow(
         _span_rows(length), "key bigint, text_hash bigint, from bigint, to bigint")
     spans = spans.groupBy(*_KEY).agg(F.collect_set(F.struct("from", "to")).alias("spans"))
-    rows = texts.join(spans, _KEY, "left")
+    rows = texts.select("id", *_KEY, _packed("text").alias("text")).join(spans, _KEY, "left")
     return rows.select(F.col("id").alias(id_col), _removed()("text", "spans").alias("r")).select(id_col, "r.*")

@@ -105,7 +105,7 @@ def test_long_texts_in_parts(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([(t or "").encode() for _, t in rows])], names=["text"])
 
     def windows():
-        return {(k, int(a) + j): int(x) for k, _, h, first, n in R._texts(batch, 50) for x, a, m in zip(h, first, n) for j in range(m)}
+        return {(k, a + j): x for _, *found in R._texts(batch, 50) for x, k, a, m in zip(*[c.tolist() for c in found]) for j in range(m)}
 
     whole = windows()
     monkeypatch.setattr(R, "PART_WORDS", 70)
