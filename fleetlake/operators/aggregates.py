@@ -311,15 +311,28 @@ def extensions(
 
 
 def estimated_rows(
-    stats: DataFrame, parents: Sequence[str], name: str = "relname", rows: str = "n_live_tup", by: Sequence[str] = (),
+    stats: DataFrame, parents: Sequence[str] | DataFrame, name: str = "relname", rows: str = "n_live_tup", by: Sequence[str] = (), parent: str = "parent",
 ) -> DataFrame:
-    """Rows of partitioned parents, summed over the children whose name starts with the parent's."""
-    known = F.array(*[F.lit(p) for p in parents])
-    own = F.filter(known, lambda p: F.startswith(F.lower(F.col(name)), F.lower(p)))
-    return (
-        stats.select(*by, F.explode(own).alias("parent"), F.col(rows).alias("_rows"))
-        .groupBy(*by, "parent").agg(F.sum("_rows").alias("estimated_rows"), F.count(F.lit(1)).alias("children"))
-    )
+    """Rows of partitioned parents, summed over the children whose name starts with the parent's, in either case.
+
+    Parents are a few names, or the column ``parent`` of a frame, with ``by`` if
+    they are those of one key only. A frame is joined on the beginnings of a
+    child's name that are as long as some parent's; a name has few lengths, so
+    neither side is compared name by name.
+    """
+    if isinstance(parents, DataFrame):
+        own = [c for c in by if c in parents.columns]
+        wanted = parents.select(*own, F.col(parent).alias("parent"), F.lower(parent).alias("_start")).filter(F.col(parent).isNotNull()).distinct()
+        lengths = [r[0] for r in wanted.select(F.length("_start")).distinct().collect()]
+        starts = F.array_distinct(F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(name)),
+                                              lambda n: F.left(F.lower(F.col(name)), n)))
+        children = stats.select(*by, F.col(rows).alias("_rows"), F.explode(starts).alias("_start"))
+        found = children.join(wanted, [*own, "_start"])
+    else:
+        known = F.array(*[F.lit(p) for p in parents])
+        found = stats.select(
+            *by, F.explode(F.filter(known, lambda p: F.startswith(F.lower(F.col(name)), F.lower(p)))).alias("parent"), F.col(rows).alias("_rows"))
+    return found.groupBy(*by, "parent").agg(F.sum("_rows").alias("estimated_rows"), F.count(F.lit(1)).alias("children"))
 
 
 def table_traffic(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import filters
 from ..operators.changes import decode_changes
 from ..sources import (
-    kv_scan, land_snapshot, land_targets, read_change_log, read_inventory, read_items, read_landed, read_lines_from, read_ops, read_snapshots, write_change_log,
+    kv_scan, land_snapshot, land_targets, read_change_log, read_inventory, read_items, read_landed, read_lines_from, read_lines_indexed, read_ops, read_snapshots, write_change_log,
     write_findings, write_inventory, write_tree,
 )
 from ..sources.findings import findings, read_findings
@@ -150,6 +150,21 @@ def _(t):
     return read_lines_from(t.spark, path, 500)
 
 
+@query("src10_resumed_lines", """
+    SELECT row_number() OVER (ORDER BY event_id) - 1 AS line_no, concat(CAST(event_id AS STRING), ' ', event_type) AS line FROM events QUALIFY line_no >= 700""")
+def _(t):
+    # The first read indexes half of the lines; the rest is appended in a file of its own, and the second read resumes.
+    path = scratch(t.spark, "resumed")
+    half = t.events.agg(F.floor(F.avg("event_id"))).first()[0]
+    text = t.events.select("event_id", F.concat(F.col("event_id").cast("string"), F.lit(" "), F.col("event_type")).alias("value"))
+    for k, part in enumerate([text.filter(F.col("event_id") <= half), text.filter(F.col("event_id") > half)]):
+        part.orderBy("event_id").select("value").write.text(f"{path}/in/part{k}")
+        found = read_lines_indexed(t.spark, f"{path}/in", f"{path}/index", 700, every=100)
+        if not k:
+            found.agg(F.max("line_no")).first()
+    return found
+
+
 @query("src11_read_ops", "SELECT opid, secs_running, wait_state AS \"WaitState\", ns, op FROM v_ops WHERE secs_running > 10 OR wait_state IS NOT NULL")
 def _(t):
     path = scratch(t.spark, "ops")

@@ -384,6 +384,14 @@ def _(t):
     return A.estimated_rows(t.v_tables, ["t1", "T2", "t25"]).withColumn("parent", F.lower("parent"))
 
 
+@query("agg19_parents_of_a_frame", """
+    SELECT concat('T', CAST(s_suppkey AS STRING)) AS parent, CAST(sum(n_live_tup) AS BIGINT) AS estimated_rows, count(*) AS children
+    FROM supplier JOIN v_tables ON starts_with(lower(relname), concat('t', CAST(s_suppkey AS STRING))) GROUP BY ALL""")
+def _(t):
+    parents = t.supplier.select(F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("parent"))
+    return A.estimated_rows(t.v_tables, parents)
+
+
 @query("agg20_table_traffic", """
     SELECT relid, seq_scan + idx_scan AS table_reads_count, n_live_tup + n_dead_tup AS table_writes_count FROM v_tables""")
 def _(t):
