@@ -51,15 +51,15 @@ def maintenance_due(
     names = [f"{prefix}_threshold", f"{prefix}_scale_factor"]
     rows, defaults = stats, [F.lit(threshold), F.lit(scale)]
     if settings is not None:
-        def only(n: str) -> Column:
-            several = F.raise_error(F.lit(f"settings: more than one row{' for one ' + ', '.join(on) if on else ''}"))
-            return F.when(F.count(F.lit(1)) > 1, several.cast(settings.schema[n].dataType)).otherwise(F.max(n))
-
+        several = F.raise_error(F.lit(f"settings: more than one row{' for one ' + ', '.join(on) if on else ''}"))
+        sums = [F.count(F.lit(1)).alias("_rows"), *[F.max(n).alias(f"_{n}") for n in names]]
+        # Without keys these are scalar subqueries, so an empty frame keeps every table.
         if on:
-            rows = stats.join(settings.groupBy(*on).agg(*[only(n).alias(f"_{n}") for n in names]), list(on), "left")
-            own = [F.col(f"_{n}") for n in names]
+            rows = stats.join(settings.groupBy(*on).agg(*sums), list(on), "left")
+            servers, own = F.col("_rows"), [F.col(f"_{n}") for n in names]
         else:
-            own = [settings.agg(only(n)).scalar() for n in names]
+            servers, *own = [settings.agg(c).scalar() for c in sums]
+        own = [F.when(servers > 1, several.cast(settings.schema[n].dataType)).otherwise(c) for n, c in zip(names, own)]
         defaults = [F.coalesce(c, d) for c, d in zip(own, defaults)]
     limit = option_or_default(options, names[0], defaults[0]) + option_or_default(options, names[1], defaults[1]) * F.col(live)
     last = [c for c in (f"last_{kind}", f"last_auto{kind}") if c in stats.columns]

@@ -15,10 +15,11 @@ from fleetlake.operators import windows as W
 from fleetlake.operators.health import maintenance_due
 from fleetlake.operators.joins import expand_range
 from fleetlake.sources import land_snapshot, read_change_log, read_lines_from, read_snapshots, write_change_log
+from fleetlake.sources import store
 from fleetlake.sources.change_log import bad_lines, log_lines, parse_envelopes
 from fleetlake.sources.findings import findings, read_findings, write_findings
 from fleetlake.streaming import apply_stream, compact, current_state, deduplicated
-from fleetlake.streaming.apply import folders, write_base
+from fleetlake.streaming.apply import numbers, write_base, write_batch
 
 KEYS, COLUMNS = {"id": "bigint"}, {"v": "string"}
 LINE = '{{"database": "d", "change": [{{"kind": "update", "schema": "s", "table": "t", "columnnames": ["id", "v"], "columnvalues": [{0}, "v{1}"], "oldkeys": {{"keynames": ["id"], "keyvalues": [{0}]}}}}]}}'
@@ -62,9 +63,10 @@ def test_compaction_drops_what_it_folded(spark, tmp_path):
     write_base(spark.range(3).select("id", F.lit("old").alias("v")), out)
     for b in range(3):
         flat = spark.createDataFrame([(b, "update", b, b, True, f"n{b}")], "_seq bigint, _kind string, _old_id bigint, _id bigint, _has_v boolean, v string")
-        flat.write.parquet(f"{out}/log/batch={b}")
+        write_batch(flat, out, b)
         assert compact(spark, out, ["id"], ["v"]) == b + 1
-    assert folders(spark, f"{out}/base", "version") == [2, 3] and folders(spark, f"{out}/log", "batch") == [2]
+    now = store.load(spark, out)
+    assert numbers(now, store.PART) == [2, 3] and numbers(now, store.LOG) == [2]
     assert rows(current_state(spark, out, ["id"], ["v"])) == [(0, "n0"), (1, "n1"), (2, "n2")]
 
 

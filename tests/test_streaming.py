@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetlake.sources import read_change_log
 from fleetlake.streaming import apply_stream, change_rate, compact, current_state, read_broker, write_slices
-from fleetlake.streaming.apply import write_base
+from fleetlake.streaming.apply import write_base, write_batch
 
 FLAT = "_seq bigint, _kind string, _old_id bigint, _id bigint, _has_v boolean, v string"
 
@@ -37,7 +37,7 @@ def test_repeated_batch_replaces_itself(spark, tmp_path):
     write_base(spark.createDataFrame([(1, "a")], "id bigint, v string"), state)
     batch = spark.createDataFrame([(1, "update", 1, 1, True, "c")], FLAT)
     for _ in range(2):
-        batch.write.mode("overwrite").parquet(f"{state}/log/batch=0")
+        write_batch(batch, state, 0)
     assert spark.read.parquet(f"{state}/log/batch=0").count() == 1
     assert current_state(spark, state, ["id"], ["v"]).first()["v"] == "c"
 
