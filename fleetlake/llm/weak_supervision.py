@@ -27,6 +27,7 @@ def _share(a: str, b: str) -> Column:
 
 
 #: Pseudo-documents per rule: votes (bad, good) on good documents, on bad ones. A rule seldom accuses a good document.
+#: They decide tables of fewer than some hundred documents, and say nothing next to large ones.
 PSEUDO = np.array([[[0.1, 99.9]], [[1.0, 1.0]]])
 
 

@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pytest
 from odd import with_odd
 from pyspark.sql import functions as F
 
@@ -38,3 +41,70 @@ def test_pairs_are_learnt():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     model = A.fit(x, y)
     assert ((model.score(x) >= 0.5) == y).mean() > 0.95
+
+
+def plain_score(model, row):
+    """Tables looked up one by one: a value's bin is the number of edges not greater than it."""
+    at = [sum(e <= v for e in edges) for edges, v in zip(model.edges, row)]
+    total = model.intercept
+    for j, b in enumerate(at):
+        total += model.tables[j][b]
+    for (i, j), grid in model.pairs.items():
+        total += grid[at[i]][at[j]]
+    return 1 / (1 + math.exp(-max(-35, min(35, total))))
+
+
+def test_scores_equal_tables_looked_up_one_by_one(spark):
+    docs, labels = with_odd(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet")), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = A.learn(docs, labels)
+    assert model.pairs and len(model.tables) == len(A.FEATURES)
+    rows = docs.select("doc_id", "text", A.quality_score(model, F.col("text")).alias("score")).collect()
+    for r in rows:
+        assert r.score == pytest.approx(plain_score(model, A.features((r.text or "").encode())), abs=1e-12)
+
+
+def plain_tree(g, h, leaves, least):
+    """Split whichever part gains most at its best cut, trying every cut."""
+    def best(a, b):
+        found = (0.0, 0)
+        whole = sum(g[a:b]) ** 2 / (sum(h[a:b]) + 1)
+        top = None
+        for k in range(a + 1, b):
+            hl, hr = sum(h[a:k]), sum(h[k:b])
+            if hl >= least and hr >= least:
+                parts = sum(g[a:k]) ** 2 / (hl + 1) + sum(g[k:b]) ** 2 / (hr + 1)
+                if parts > 0 and (top is None or parts > top + 1e-12):
+                    top, found = parts, (parts - whole, k)
+        return found
+
+    parts = [(0, len(g))]
+    while len(parts) < leaves:
+        gain, k, a, b = max((*best(a, b), a, b) for a, b in parts)
+        if gain <= 0:
+            break
+        parts.remove((a, b))
+        parts += [(a, k), (k, b)]
+    step = [0.0] * len(g)
+    for a, b in parts:
+        for i in range(a, b):
+            step[i] = sum(g[a:b]) / (sum(h[a:b]) + 1)
+    return step
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_a_boosting_step_equals_the_plain_one(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 14))
+    g, h = rng.normal(size=n) * 5, rng.random(n) * 3
+    assert A._tree(g, h).tolist() == pytest.approx(plain_tree(g.tolist(), h.tolist(), 3, 1.0), abs=1e-9)
+
+
+def test_a_round_lowers_the_loss():
+    rng = np.random.default_rng(4)
+    x = rng.random((500, 3))
+    y = (x[:, 0] + 0.3 * x[:, 1] + 0.1 * rng.normal(size=500) > 0.6).astype(float)
+    loss = []
+    for rounds in (0, 1, 5, 25):
+        p = np.clip(A.fit(x, y, rounds=rounds, pairs=1).score(x), 1e-9, 1 - 1e-9)
+        loss.append(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+    assert loss == sorted(loss, reverse=True) and loss[-1] < 0.5 * loss[0]

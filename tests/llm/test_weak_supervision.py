@@ -1,3 +1,4 @@
+import math
 from collections import Counter
 
 import numpy as np
@@ -44,3 +45,39 @@ def test_expectation_maximisation_finds_planted_accuracies():
     assert abs(model.prior - 0.8) < 0.03
     assert np.abs(np.array(model.accuracy) - right).max() < 0.03
     assert W.fit_votes(np.empty((0, 4), int), np.empty(0)).prior == 0.5
+
+
+def plain_em(votes, balance, rounds):
+    """Expectation-maximisation, one document and one rule at a time."""
+    m = len(votes[0])
+    good = [0.02 if -1 in v else 0.98 for v in votes]
+    for _ in range(rounds):
+        rates = []
+        for side in (0, 1):
+            rates.append([])
+            for r in range(m):
+                n = {x: float(np.broadcast_to(W.PSEUDO, (2, m, 2))[side][r][k]) for k, x in enumerate((-1, 1))}
+                for v, p in zip(votes, good):
+                    if v[r]:
+                        n[v[r]] += p if side == 0 else 1 - p
+                rates[side].append({x: c / sum(n.values()) for x, c in n.items()})
+        good = []
+        for v in votes:
+            logit = math.log(balance / (1 - balance))
+            for r, x in enumerate(v):
+                if x:
+                    logit += math.log(rates[0][r][x]) - math.log(rates[1][r][x])
+            good.append(1 / (1 + math.exp(-logit)))
+    return good
+
+
+def test_posteriors_equal_a_plain_expectation_maximisation(spark):
+    docs = with_odd(spark, spark.read.parquet(f"{SF}/documents.parquet"))
+    rows = W.judge(docs).collect()
+    names = [c for c in rows[0].asDict() if c.startswith("vote_")]
+    passed = [r for r in rows if not r.base_failed]
+    votes = [tuple(r[n] for n in names) for r in passed]
+    balance = (sum(-1 not in v for v in votes) + 1) / (len(votes) + 2)
+    want = plain_em(votes, balance, 200)
+    assert max(abs(r.quality - p) for r, p in zip(passed, want)) < 1e-6
+    assert all(r.kept == (p >= 0.5) for r, p in zip(passed, want))
