@@ -9,6 +9,7 @@ crosses a border is carried by a summary that has a few rows per block.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,13 +39,13 @@ def borders(df: DataFrame, key: str, rows: int = DEFAULT_SPAN) -> list[tuple[str
     start = F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(step))
     # The first rows of small tasks are as likely to be sampled as others.
     sample = df.select(F.col(key).alias("k"), F.pmod(place + start, F.lit(step)).alias("p")).where("p = 0 AND k IS NOT NULL").select("k")
-    # One task, as it only gets the sample.
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    blocks = F.least(F.floor(n * step / rows), F.lit(BORDERS))
-    passed = F.floor(F.row_number().over(Window.orderBy("k")) * blocks / (n + 1))
-    cuts = sample.select("k", passed.alias("b")).where("b > 0").groupBy("b").agg(F.min("k").alias("k"))
-    found = cuts.groupBy("k").agg(F.count(F.lit(1)).alias("times")).orderBy("k").select(F.col("k").cast("string"), "times")
-    return [tuple(r) for r in found.collect()]
+    # One task, as it only gets the sample; a row is a cut where the number of whole blocks up to it grows.
+    n, row = F.count(F.lit(1)).over(Window.partitionBy()), F.row_number().over(Window.orderBy("k"))
+    ranked = sample.select("k", row.alias("r"), n.alias("n")).withColumn("b", F.least(F.floor(F.col("n") * step / rows), F.lit(BORDERS)))
+    whole, before = (F.floor(r * F.col("b") / (F.col("n") + 1)) for r in (F.col("r"), F.col("r") - 1))
+    cuts = ranked.where(whole > before).select(F.col("k").cast("string"), "r").collect()
+    # Equal values have equal texts.
+    return list(Counter(k for k, _ in sorted(cuts, key=lambda c: c[1])).items())
 
 
 def range_of(key: Column, kind: T.DataType, values: Sequence[str]) -> Column:
@@ -74,7 +75,8 @@ def with_blocks(df: DataFrame, key: str, rows: int = DEFAULT_SPAN, name: str = "
         parts = F.element_at(F.array(*[F.lit(n) for _, n in hot]), F.greatest(place, F.lit(1)))
         # Rows equal to a hot border come before the others of its range.
         part = F.when(is_hot, F.pmod(F.xxhash64(*df.columns), parts).cast("int")).otherwise(F.lit(BORDERS))
-    return df.withColumn(name, F.struct(range_of(F.col(key), kind, [v for v, _ in cuts]).alias("range"), part.alias("part")))
+    # The range in the upper half, the part in the lower one.
+    return df.withColumn(name, F.shiftleft(range_of(F.col(key), kind, [v for v, _ in cuts]).cast("bigint"), 32) + part)
 
 
 def int_block(key: Column, span: int = DEFAULT_SPAN) -> Column:
