@@ -138,7 +138,10 @@ def net_effect(flat: DataFrame, keys: Sequence[str], columns: Sequence[str], gro
     listed, and it stands if it is not older than the reset; so the reset need
     not be known before the values are gathered. ``_moved`` tells whether some
     update takes a row away from the key. Text values make Spark sort by key for
-    this; joining positions back costs more (see ``windows.latest``).
+    this. The other way, hashed maxima of positions and a join of the winning
+    rows, was measured over 10 million changes (local[6], second run, beside
+    other work): 7.7 s against 6.5 s here with 1000 keys, 12.8 s against 8.7 s
+    with 2 million keys.
     """
     reset = F.col("_kind").isin("insert", "delete")
     aggs = [
