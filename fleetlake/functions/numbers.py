@@ -13,9 +13,14 @@ SIZE_SWITCH = 10240
 UNIT_POWERS = {"k": 1, "m": 2, "g": 3, "t": 4, "p": 5, "e": 6}
 
 
-def size_pretty(size: ColumnLike) -> Column:
-    """Bytes as text in the first unit whose half-up value stays below 10240."""
-    n = as_col(size).cast("bigint")
+def size_pretty(size: ColumnLike, wide: bool = False) -> Column:
+    """Bytes as text in the first unit whose half-up value stays below 10240.
+
+    Figures are 64-bit integers, with ``wide`` decimals of up to 38 digits.
+    """
+    figure = as_col(size).cast("decimal(38,0)" if wide else "bigint")
+    # What 64 bits do not hold is null here and has the largest unit.
+    n = F.nullif(figure.try_cast("bigint"), F.lit(-(1 << 63))) if wide else figure
     magnitude = F.abs(n)
     sign = F.when(n < 0, F.lit("-")).otherwise(F.lit(""))
 
@@ -29,6 +34,12 @@ def size_pretty(size: ColumnLike) -> Column:
             text = text.when(in_unit(power) < SIZE_SWITCH, rendered)
         else:
             text = text.when(n.isNotNull(), rendered)
+    if wide:
+        unit = F.lit(1 << 10 * len(SIZE_UNITS)).cast("decimal(20,0)")
+        shifted = F.abs(figure) + F.lit(1 << 10 * len(SIZE_UNITS) - 1)
+        # A quotient of decimals is rounded, so the remainder goes first.
+        most = ((shifted - shifted % unit) / unit).cast("decimal(38,0)").cast("string")
+        text = text.when(figure.isNotNull(), F.concat(F.when(figure < 0, F.lit("-")).otherwise(F.lit("")), most, F.lit(" " + SIZE_UNITS[-1])))
     return text
 
 

@@ -118,9 +118,10 @@ def _(t):
     SELECT relid, {size_sql('table_bytes')} AS size, {size_sql('(table_bytes * relid * 1000)')} AS large,
            {size_sql('(table_bytes * relid * -1000000)')} AS huge FROM v_tables""")
 def _(t):
-    b = F.col("table_bytes")
-    return t.v_tables.select("relid", X.size_pretty("table_bytes").alias("size"), X.size_pretty(b * F.col("relid") * 1000).alias("large"),
-                             X.size_pretty(b * F.col("relid") * -1000000).alias("huge"))
+    # The products outgrow 64 bits from half a million parts on.
+    b = F.col("table_bytes").cast("decimal(20,0)") * F.col("relid")
+    sizes = t.v_tables.select("relid", "table_bytes", (b * 1000).alias("large"), (b * -1000000).alias("huge"))
+    return sizes.select("relid", X.size_pretty("table_bytes").alias("size"), X.size_pretty("large", wide=True).alias("large"), X.size_pretty("huge", wide=True).alias("huge"))
 
 
 @query("prj3_bytes_to", """

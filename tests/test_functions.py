@@ -20,6 +20,30 @@ def test_size_pretty_switches_at_ten_times_the_unit(spark):
     assert got == cases
 
 
+def test_size_pretty_beyond_64_bits(spark):
+    """Wide figures agree with narrow ones where both exist, and go on behind them."""
+    small = [0, 1, -1, 10239, 10240, 10751, 10752, 10485247, 10485248, (1 << 50) - 1, -(1 << 50), (1 << 63) - 1]
+    df = spark.createDataFrame([(n,) for n in small], "n bigint")
+    for r in df.select("n", X.size_pretty("n").alias("a"), X.size_pretty("n", wide=True).alias("b")).collect():
+        assert r.a == r.b, r.n
+    big = F.lit(16_000_000).cast("decimal(20,0)") * F.lit(1_200_000).cast("bigint") * -1000000
+    assert one(spark, X.size_pretty(big, wide=True)) == f"-{(16 * 12 * 10 ** 17 + (1 << 39)) >> 40} TB"
+    assert one(spark, X.size_pretty(F.lit("9" * 30).cast("decimal(38,0)"), wide=True)) == f"{(int('9' * 30) + (1 << 39)) >> 40} TB"
+    assert one(spark, X.size_pretty(F.lit(None).cast("decimal(38,0)"), wide=True)) is None
+
+
+def test_prj2_size_pretty_of_many_parts(spark, tmp_path):
+    """Part keys of a table sixty times the size: the largest product needs 65 bits."""
+    from fleetlake.plans import catalog
+
+    spark.createDataFrame([(1_200_000, "b", 1800.5, 3), (7, "b", 1.0, 4)], "p_partkey bigint, p_brand string, p_retailprice double, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([], "l_orderkey bigint, l_partkey bigint, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.relid: tuple(r)[1:] for r in catalog.queries()["prj2_size_pretty"](spark, str(tmp_path)).collect()}
+    size = int(1800.5 * 8192) * 1_200_000
+    assert got[1_200_000] == ("14 MB", f"{(size * 1000 + (1 << 39)) >> 40} TB", f"-{(size * 10 ** 6 + (1 << 39)) >> 40} TB")
+    assert got[7] == ("8192 bytes", "55 MB", "-53 GB")
+
+
 def test_size_pretty_null(spark):
     assert one(spark, X.size_pretty(F.lit(None).cast("bigint"))) is None
 
