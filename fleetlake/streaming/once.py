@@ -1,9 +1,10 @@
 """Every record of a broker exactly once, however late it comes and however often it is repeated.
 
-A record's place is its partition and offset. Offsets are dense, so all places
-seen so far are a few intervals per partition. Each batch is compared with
-them, what is new is stored, and the intervals grow by it; both become current
-with one manifest (``sources.store``). No watermark is involved: a partition
+A record's place is its partition and offset. All places seen so far are
+intervals, cut at blocks of BLOCK offsets: one per block where offsets are
+dense, never more than there are records. Each batch meets them block by block,
+what is new is stored, and the intervals grow by it; both become current with
+one manifest (``sources.store``). No watermark is involved: a partition
 that lags by hours loses nothing, and a repeat after days is still one.
 """
 
@@ -16,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.blocks import join_null_safe
 from ..sources import store
 from ..sources.store import LOG, NOTE, PART, Entry
 
@@ -55,6 +55,39 @@ def merged(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return listed.select(*keys, F.col("_all.low").alias("lows"), F.col("_all.high").alias("highs"))
 
 
+def _start(offset: Column) -> Column:
+    """First offset of the block that holds an offset."""
+    wide = offset.cast("bigint")
+    return wide - F.pmod(wide, F.lit(BLOCK).cast("bigint"))
+
+
+def _cut(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Intervals ``(keys, _block, low, high)`` cut at the borders of blocks."""
+    starts = F.explode(F.sequence(_start(F.col("low")), _start(F.col("high")), F.lit(BLOCK).cast("bigint")))
+    rows = parts.select(*keys, "low", "high", starts.alias("_block"))
+    return rows.select(*keys, "_block", F.greatest("low", "_block").alias("low"), F.least("high", F.col("_block") + (BLOCK - 1)).alias("high"))
+
+
+def _seen(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The intervals stored so far, cut at blocks."""
+    listed = spark.read.parquet(path).select(*keys, F.explode(F.arrays_zip("lows", "highs")).alias("i"))
+    return _cut(listed.select(*keys, F.col("i.lows").cast("bigint").alias("low"), F.col("i.highs").cast("bigint").alias("high")), keys)
+
+
+def not_covered(records: DataFrame, seen: DataFrame, keys: Sequence[str], offset: str) -> DataFrame:
+    """The records no interval of ``seen`` (``keys, _block, low, high``) holds.
+
+    A block's records and intervals are sorted together, and the greatest end
+    so far tells; no list of intervals travels with a record.
+    """
+    marked = records.withColumns({"_block": _start(F.col(offset)), "_low": F.col(offset).cast("bigint"), "_own": F.lit(1)})
+    known = seen.select(*keys, "_block", F.col("low").alias("_low"), F.col("high").alias("_high"), F.lit(0).alias("_own"))
+    upto = Window.partitionBy(*keys, "_block").orderBy("_low", "_own").rowsBetween(Window.unboundedPreceding, 0)
+    rows = marked.unionByName(known, allowMissingColumns=True).withColumn("_end", F.max("_high").over(upto))
+    fresh = (F.col("_own") == 1) & (F.col("_end").isNull() | (F.col("_end") < F.col("_low")))
+    return rows.filter(fresh).select(*records.columns)
+
+
 def store_once(
     batch: DataFrame, root: str, keys: Sequence[str] = KEYS, offset: str = "offset", stream: str = "records", batch_id: int = 0,
 ) -> bool:
@@ -72,16 +105,16 @@ def store_once(
     placed = batch.filter(F.col(offset).isNotNull()).dropDuplicates([*keys, offset])
     fresh = placed
     if held:
-        # One row per partition of the broker.
-        seen = spark.read.parquet(f"{root}/{held}")
-        fresh = join_null_safe(placed, seen, keys, "left").filter(~is_covered(F.col(offset), F.col("lows"), F.col("highs"))).select(*batch.columns)
+        seen = _seen(spark, f"{root}/{held}", keys)
+        fresh = not_covered(placed, seen, keys, offset).select(*batch.columns)
     data = f"{LOG}/{stream}/batch={batch_id}"
     fresh.unionByName(batch.filter(F.col(offset).isNull())).write.mode("overwrite").parquet(f"{root}/{data}")
-    new = intervals(spark.read.schema(batch.schema).parquet(f"{root}/{data}").filter(F.col(offset).isNotNull()).select(*keys, offset), keys, offset)
-    if held:
-        new = new.unionByName(seen.select(*keys, F.explode(F.arrays_zip("lows", "highs")).alias("i")).select(*keys, F.col("i.lows").alias("low"), F.col("i.highs").alias("high")))
+    stored = spark.read.schema(batch.schema).parquet(f"{root}/{data}").filter(F.col(offset).isNotNull()).select(*keys, offset)
+    new = _cut(intervals(stored, keys, offset).withColumns({c: F.col(c).cast("bigint") for c in ("low", "high")}), keys)
     folder = store.folder_of(before, f"{stream}-{SEEN}")
-    merged(new, keys).write.mode("overwrite").parquet(f"{root}/{folder}")
+    # One row per block of a partition of the broker.
+    grown = merged(new.unionByName(seen) if held else new, [*keys, "_block"]).drop("_block")
+    grown.write.mode("overwrite").parquet(f"{root}/{folder}")
     kept = [e for e in before.entries if not (e.table == stream and (e.kind == NOTE or e.part == SEEN))]
     old = [Entry(stream, str(before.version + 1), store.OLD, held)] if held else []
     entries = [Entry(stream, "", LOG, data), Entry(stream, SEEN, PART, folder), Entry(stream, "", NOTE, str(batch_id))]

@@ -48,6 +48,32 @@ def test_late_and_repeated_records_are_stored_once(spark, tmp_path):
     assert once.read_once(spark, str(tmp_path / "none"), RECORD).count() == 0
 
 
+def test_places_far_apart_are_kept_in_blocks(spark, tmp_path, monkeypatch):
+    """Every third offset only, as when a filter reads a part of a broker's records: no list of places outgrows a block."""
+    monkeypatch.setattr(once, "BLOCK", 50)
+    path, batches = str(tmp_path / "s"), [range(0, 900, 3), range(300, 1500, 3), range(-90, 2, 3), range(1, 400)]
+    for n, offsets in enumerate(batches):
+        rows = [(d, 0, o, str(n)) for d in ("d", None) for o in offsets]
+        assert once.store_once(spark.createDataFrame(rows, RECORD), path, batch_id=n)
+    got = sorted((r.database or "", r.offset) for r in once.read_once(spark, path, RECORD).collect())
+    assert got == sorted((d, o) for d in ("d", "") for o in set().union(*batches))
+    now = once.store.load(spark, path)
+    folder = next(e.folder for e in now.of("records") if e.part == once.SEEN)
+    seen = spark.read.parquet(f"{path}/{folder}").collect()
+    assert max(len(r.lows) for r in seen) <= 17 and all(hi // 50 == lo // 50 for r in seen for lo, hi in zip(r.lows, r.highs))
+    held = {(r.database or "", x) for r in seen for lo, hi in zip(r.lows, r.highs) for x in range(lo, hi + 1)}
+    assert sorted(held) == got
+
+
+def test_intervals_stored_across_blocks_are_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(once, "BLOCK", 10)
+    spark.createDataFrame([("d", 0, [3, 40], [25, 41])], "database string, `partition` int, lows array<bigint>, highs array<bigint>").write.parquet(f"{tmp_path}/seen")
+    seen = once._seen(spark, f"{tmp_path}/seen", once.KEYS)
+    assert sorted(tuple(r)[3:] for r in seen.collect()) == [(3, 9), (10, 19), (20, 25), (40, 41)]
+    records = spark.createDataFrame([("d", 0, o, "v") for o in range(45)], RECORD)
+    assert sorted(r.offset for r in once.not_covered(records, seen, once.KEYS, "offset").collect()) == [0, 1, 2, *range(26, 40), 42, 43, 44]
+
+
 def test_live_trend_equals_the_trend_of_all_readings(spark, tmp_path):
     rng, rows = random.Random(7), []
     for i, instance in enumerate(("a", "b", "c")):
