@@ -8,6 +8,7 @@ from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import ordering as O
 from ..operators import windows as W
+from ..operators.blocks import join_null_safe
 from ..functions.times import epoch_seconds
 from .registry import query
 from .shapes import AS_OF, TABLES
@@ -436,8 +437,12 @@ def _(t):
     SELECT doc_id, count(*) AS words, max(p) AS last_position, max_by(w, p) AS last_word
     FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS p FROM documents) GROUP BY doc_id""")
 def _(t):
-    words = W.ordinal(t.documents.select("doc_id", F.split("text", " ").alias("words")), "words", ["doc_id"], "w", "p")
-    return words.groupBy("doc_id").agg(rows_count().alias("words"), F.max("p").alias("last_position"), F.max_by("w", "p").alias("last_word"))
+    listed = t.documents.select("doc_id", F.split("text", " ").alias("words")).withColumn("n", F.size("words"))
+    words = W.ordinal(listed, "words", ["doc_id", "n"], "w", "p")
+    counts = words.groupBy("doc_id").agg(rows_count().alias("words"), F.max("p").alias("last_position"))
+    # A maximum of texts is sorted for, so only the words that may be last meet it; counts are hashed.
+    last = words.filter(F.col("p") == F.col("n")).groupBy("doc_id").agg(F.max_by("w", "p").alias("last_word"))
+    return join_null_safe(counts, last, ["doc_id"])
 
 
 @query("win4_trend", """

@@ -194,3 +194,15 @@ def test_compare_counts_sees_changed_content(spark):
 def test_copy_range_skips_present_rows(spark):
     src = spark.createDataFrame([(i, i * 10) for i in range(6)], "id int, v int")
     assert rows(L.copy_range(src, src.filter("id in (2, 5)"), "id", 1, 4, ["id"])) == [(1, 10), (3, 30), (4, 40)]
+
+
+def test_win3_ordinal_counts_without_a_sort(spark, tmp_path):
+    """Null and repeated identifiers, null and empty texts; words are counted in a hash aggregate."""
+    from fleetlake.plans import catalog
+
+    rows = [(1, "a b  c"), (1, "d e"), (None, "x y z"), (None, "w"), (2, ""), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["win3_ordinal"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, 6, 4, "c"), (2, 1, 1, ""), (None, 4, 3, "z")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[doc_id" in plan.replace("ObjectHashAggregate", "")
