@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -8,7 +9,7 @@ from odd import with_odd
 from pyspark.sql import functions as F
 
 from fleetlake.llm import secret_grammar as S
-from fleetlake.llm.automata import infer
+from fleetlake.llm.automata import infer, symbols
 
 
 def plain(text):
@@ -106,3 +107,71 @@ def test_automaton_keeps_length_and_alphabet():
     for other in ("0" * 19, "a" * 21, "Z" * 20, "ghijklmnopqrstuvwxyz"):
         assert auto.score(other) < low
     assert infer([]) is None
+
+
+def test_every_credential_counts_however_many_and_long(spark):
+    """Two thousand and more examples, some of 300 characters: the automaton has seen each of them once."""
+    rng = random.Random(7)
+    make = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    made = [make(30) for _ in range(2300)] + [make(300) for _ in range(200)]
+    docs = spark.createDataFrame([(i, f"ein wort {v} und {made[i // 2]} mehr") for i, v in enumerate(made)], "doc_id long, text string")
+    (learnt,) = S.learn_scanner(docs).formats
+    end = [math.exp(x) for x in learnt.automaton.ends]
+    state, places = 0, [0]
+    for _ in range(300):
+        state = learnt.automaton.steps[state]["hex"][0]
+        places.append(state)
+    # The ends of both lengths are one state: 2500 values pass it at 30 characters, 200 again at 300.
+    assert places[30] == places[300] and abs(end[places[30]] - 2500.05 / 2701) < 1e-9
+    assert learnt.low <= learnt.automaton.score(made[0]) <= learnt.high and learnt.low <= learnt.automaton.score(made[-1]) <= learnt.high
+
+
+def test_the_automaton_of_counted_words_is_that_of_a_plain_tree():
+    """Whole prefix tree, tests of all pairs of states and folding, state by state."""
+    rng = random.Random(5)
+    words = ["ab-" + "".join(rng.choice("0fgzAZ") for _ in range(rng.choice((6, 9)))) for _ in range(1500)]
+    words += ["".join(rng.choice("09-_") for _ in range(12)) for _ in range(700)]
+
+    def node(found):
+        children = {}
+        for w in found:
+            if w:
+                children.setdefault(w[0], []).append(w[1:])
+        return {"n": len(found), "end": found.count([]), "count": {s: len(f) for s, f in children.items()}, "to": {s: node(f) for s, f in children.items()}}
+
+    def same(a, b):
+        bound = math.sqrt(0.5 * math.log(2 / 0.01)) * (a["n"] ** -0.5 + b["n"] ** -0.5)
+        if abs(a["end"] / a["n"] - b["end"] / b["n"]) > bound:
+            return False
+        if any(abs(a["count"].get(s, 0) / a["n"] - b["count"].get(s, 0) / b["n"]) > bound for s in {*a["count"], *b["count"]}):
+            return False
+        return all(same(a["to"][s], b["to"][s]) for s in {*a["to"]} & {*b["to"]})
+
+    def fold(a, b):
+        a["n"] += b["n"]
+        a["end"] += b["end"]
+        for s, n in b["count"].items():
+            a["count"][s] = a["count"].get(s, 0) + n
+            if s in a["to"]:
+                fold(a["to"][s], b["to"][s])
+            else:
+                a["to"][s] = b["to"][s]
+
+    settled = [node([symbols(w) for w in words])]
+    letter = {"hex": "0", "g-z": "z", "A-Z": "A"}
+    while fringe := [(-b["n"], i, letter.get(s, s), s) for i, r in enumerate(settled) for s, b in r["to"].items() if not any(b is x for x in settled)]:
+        _, i, _, s = min(fringe)
+        b = settled[i]["to"][s]
+        for a in settled:
+            if same(a, b):
+                settled[i]["to"][s] = a
+                fold(a, b)
+                break
+        else:
+            settled.append(b)
+    auto = infer(words)
+    assert len(auto.steps) == len(settled) > 3
+    for x, step, end in zip(settled, auto.steps, auto.ends):
+        assert abs(end - math.log((x["end"] + 0.05) / (x["n"] + 1))) < 1e-12
+        assert {s: to for s, (to, _) in step.items()} == {s: next(i for i, y in enumerate(settled) if y is x["to"][s]) for s in x["to"]}
+        assert all(abs(p - math.log(x["count"][s] / (x["n"] + 1))) < 1e-12 for s, (_, p) in step.items())
