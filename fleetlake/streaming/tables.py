@@ -10,6 +10,7 @@ folds the changes in and writes anew only the buckets they touch.
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -64,6 +65,21 @@ def create_table(df: DataFrame, root: str, table: StoredTable) -> None:
     store.commit(spark, root, before, [*others, *old, *[Entry(table.name, p, PART, folder) for p in parts]])
 
 
+def _misfits(tables: Sequence[StoredTable]) -> list[Column]:
+    """For each column and type and either map: what is wrong with a value that does not fit, or null."""
+    having: dict[tuple[str, str], list[str]] = defaultdict(list)
+    for t in tables:
+        for typed in {**t.keys, **t.columns}.items():
+            having[typed].append(t.name)
+    found = []
+    for (c, kind), names in having.items():
+        for m in ("cols", "oldkeys"):
+            value = F.try_element_at(F.col(m), F.lit(c))
+            wrong = F.col("_table").isin(names) & value.isNotNull() & value.try_cast(kind).isNull()
+            found.append(F.when(wrong, F.concat("_table", F.lit(f".{c} is no {kind}: "), value)))
+    return found
+
+
 def _typed(batch: DataFrame, tables: Sequence[StoredTable], seq: Column) -> DataFrame:
     """Decoded changes of the wanted tables, values as text, with the buckets of the old and the new key."""
     def text(m: str) -> Column:
@@ -78,21 +94,19 @@ def _typed(batch: DataFrame, tables: Sequence[StoredTable], seq: Column) -> Data
         F.concat_ws(".", "schema", "table").alias("_table"), F.col("kind"), seq.alias("seq"), text("cols").alias("cols"), text("oldkeys").alias("oldkeys"))
     rows = rows.where(F.col("_table").isin([t.name for t in tables]))
     before = after = F.lit(None).cast("int")
-    checked = F.lit(None).cast("string")
+    # Tables of the same keys, or with the same column, share an expression: one function of too many is never compiled by the JVM.
+    alike: dict[tuple, list[str]] = defaultdict(list)
     for t in tables:
-        own = F.col("_table") == t.name
+        alike[tuple(t.keys.items()), t.buckets].append(t.name)
+    for (keys, buckets), names in alike.items():
+        own = F.col("_table").isin(names)
 
         def place(m: str, other: str) -> Column:
-            return F.pmod(F.xxhash64(*[key(m, k, other).try_cast(kind) for k, kind in t.keys.items()]), F.lit(t.buckets)).cast("int")
+            return F.pmod(F.xxhash64(*[key(m, k, other).try_cast(kind) for k, kind in keys]), F.lit(buckets)).cast("int")
 
         before = F.when(own, place("oldkeys", "cols")).otherwise(before)
         after = F.when(own, place("cols", "oldkeys")).otherwise(after)
-        if t.strict:
-            for c, kind in {**t.keys, **t.columns}.items():
-                for m in ("cols", "oldkeys"):
-                    value = F.try_element_at(F.col(m), F.lit(c))
-                    wrong = own & value.isNotNull() & value.try_cast(kind).isNull()
-                    checked = F.when(wrong, F.concat(F.lit(f"{t.name}.{c} is no {kind}: "), value)).otherwise(checked)
+    checked = F.coalesce(F.lit(None).cast("string"), *_misfits([t for t in tables if t.strict]))
     kind = F.when(checked.isNull(), F.col("kind")).otherwise(F.raise_error(checked))
     return rows.select("_table", kind.alias("kind"), "seq", "cols", "oldkeys", before.alias("_from"), after.alias("_to"))
 

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetlake.sources import read_change_log
@@ -65,3 +66,29 @@ def test_change_rate_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("rate").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.table("rate").collect()} == batch
+
+
+def test_checks_of_alike_tables_are_made_once(spark):
+    """The checks of a batch do not grow with tables of the same columns, and still name the table and the column."""
+    import contextlib
+    import io
+
+    from fleetlake.operators.changes import CHANGE_TYPE, decode_changes
+    from fleetlake.streaming.tables import StoredTable, _typed
+
+    lines = [(i, f'[{{"kind":"insert","schema":"public","table":"t{i}","columnnames":["key","amount"],"columnvalues":[{i},"{v}"]}}]') for i, v in enumerate(("1.5", "2", "much"))]
+    changes = decode_changes(spark.createDataFrame(lines, "seq long, value string").select("seq", F.from_json("value", CHANGE_TYPE).alias("change")), ["seq"])
+
+    def typed(kinds):
+        return _typed(changes, [StoredTable(f"t{i}", {"key": "bigint"}, {"amount": kind}) for i, kind in enumerate(kinds)], F.col("seq"))
+
+    def looks(df):
+        with contextlib.redirect_stdout(io.StringIO()) as text:
+            df.explain()
+        return text.getvalue().count("element_at(")
+
+    assert looks(typed(["double"] * 9)) == looks(typed(["double"]))
+    assert sorted((r["_table"], r.cols["amount"], r["_from"] == r["_to"]) for r in typed(["double", "bigint", "string"]).collect()) == [
+        ("public.t0", "1.5", True), ("public.t1", "2", True), ("public.t2", "much", True)]
+    with pytest.raises(Exception, match="public.t2.amount is no double: much"):
+        typed(["double"] * 3).collect()
