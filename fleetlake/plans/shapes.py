@@ -11,6 +11,9 @@ TABLES = [
     "pages", "benchmark", "labels", "conversations",
 ]
 AS_OF = "2024-01-31 00:00:00"
+#: Shapes with about as many groups as their table has rows: the table's rows are dealt by this column, so many to a task.
+DEALT = {"v_indexes": ("lineitem", "l_partkey")}
+DEALT_ROWS = 1 << 18
 
 SHAPES = {
     "v_activity": """
@@ -105,16 +108,29 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name in DEALT:
+            table, column = DEALT[name]
+            return self.sql(SHAPES[name], **{table: self.dealt(table, column)})
         if name in SHAPES:
             return self.sql(SHAPES[name])
         raise AttributeError(name)
 
-    def sql(self, text: str) -> DataFrame:
-        """Run SQL whose FROM and JOIN items are tables or shapes of this folder."""
+    def dealt(self, table: str, column: str) -> DataFrame:
+        """The rows of a table by the hash of a column, in tasks of DEALT_ROWS however large the table is.
+
+        The number of shuffle partitions is fixed and small ones are merged by
+        their bytes, so groups that nearly every row has one of would fill a
+        task's memory.
+        """
+        rows = getattr(self, table)
+        return rows.repartition(max(self.spark.sparkContext.defaultParallelism, -(-rows.count() // DEALT_ROWS)), column)
+
+    def sql(self, text: str, **given: DataFrame) -> DataFrame:
+        """Run SQL whose FROM and JOIN items are tables or shapes of this folder, or the frames given in their place."""
         names = set(re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", text)) & (set(TABLES) | set(SHAPES))
         for name in names:
             text = re.sub(rf"\b(FROM|JOIN)(\s+){name}\b", rf"\1\2{{{name}}}", text)
-        return self.spark.sql(text, **{n: getattr(self, n) for n in names})
+        return self.spark.sql(text, **{n: given[n] if n in given else getattr(self, n) for n in names})
 
 
 def with_shapes(text: str) -> str:

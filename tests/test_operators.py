@@ -206,3 +206,23 @@ def test_win3_ordinal_counts_without_a_sort(spark, tmp_path):
     assert sorted(map(tuple, got.collect()), key=str) == [(1, 6, 4, "c"), (2, 1, 1, ""), (None, 4, 3, "z")]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate(keys=[doc_id" in plan.replace("ObjectHashAggregate", "")
+
+
+def test_index_shape_keeps_its_tasks_small(spark, tmp_path, monkeypatch):
+    """With few shuffle partitions a task still gets about as many lines as it may, and the rows are those of the plain shape."""
+    from fleetlake.plans import shapes
+
+    lines = spark.range(8000).select(
+        (F.col("id") % 1000).alias("l_partkey"), (F.col("id") % 7).alias("l_suppkey"), F.col("id").cast("double").alias("l_extendedprice"))
+    lines.unionByName(lines.limit(50)).unionByName(lines.limit(1).withColumn("l_partkey", F.lit(None).cast("bigint"))).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(shapes, "DEALT_ROWS", 400, raising=False)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        t = shapes.Tables(spark, str(tmp_path))
+        got = t.v_indexes
+        assert got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 800
+        plain = spark.sql(shapes.SHAPES["v_indexes"].replace("FROM lineitem", "FROM {lineitem}"), lineitem=t.lineitem)
+        assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty() and got.count() > 6000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
